@@ -25,7 +25,20 @@ n AS (SELECT lower(regexp_replace(normalized_name, '[^\\p{L}\\p{N}]', '', 'g'))
 g AS (SELECT normalized_name, CAST(sum(c) AS BIGINT) AS total, count(DISTINCT tag_id) AS n_tags FROM n WHERE normalized_name <> '' GROUP BY normalized_name),
 r AS (SELECT *, CASE WHEN total < 5 THEN 'rare' WHEN total * 250 >= (SELECT sum(c) FROM n) THEN 'common' END AS mark FROM g)"""
 
+_WINDOWS = """
+SELECT {id} AS id, array_to_string(w[i:i + {n} - 1], '{sep}') AS win FROM
+(SELECT {id}, w, unnest(range(1, len(w) - {n} + 2)) AS i FROM (SELECT {id}, {units} AS w FROM {t} WHERE text IS NOT NULL AND {cond}))"""
+_PLAIN = "lower(strip_accents(text))"
+_WORDS = f"regexp_extract_all({_PLAIN}, '[\\p{{L}}\\p{{N}}]+')"
+_CHARS = f"regexp_extract_all({_PLAIN}, '[\\p{{L}}\\p{{N}}]')"
+_CJK = "2 * len(regexp_extract_all(text, '[\\p{Han}\\p{Hiragana}\\p{Katakana}]')) > len(regexp_extract_all(text, '\\p{L}'))"
+_LEAKS = " UNION ".join(
+    f"SELECT DISTINCT d.id AS doc_id, b.id AS item_id FROM ({_WINDOWS.format(id='doc_id', t='documents', units=u, n=n, sep=s, cond='true')}) d JOIN ({_WINDOWS.format(id='item_id', t='benchmark', units=u, n=n, sep=s, cond=c)}) b ON d.win = b.win"
+    for u, n, s, c in ((_WORDS, 12, " ", f"NOT ({_CJK})"), (_CHARS, 25, "", _CJK))
+)
+
 SQL = {
+    "p6_found": _LEAKS,
     "p1_found": f"{_PAIRS} SELECT tag_a, tag_b FROM p JOIN c x ON x.tag = tag_a JOIN c y ON y.tag = tag_b, t WHERE n_ab * t.n >= 8 * x.n * y.n",
     "p1_lift": f"{_PAIRS} SELECT tag_a, tag_b, x.n AS n_a, y.n AS n_b, n_ab, t.n AS n_baskets, round(n_ab::DOUBLE * t.n / (x.n::DOUBLE * y.n), 6) AS lift, round(log2(n_ab::DOUBLE * t.n / (x.n::DOUBLE * y.n)), 6) AS pmi FROM p JOIN c x ON x.tag = tag_a JOIN c y ON y.tag = tag_b, t",
     "p2_found": f"{_SIMILAR} SELECT least(x.fileid, y.fileid) AS fileid_a, greatest(x.fileid, y.fileid) AS fileid_b FROM (SELECT a, b FROM l UNION ALL SELECT cid, cid FROM k) q JOIN g x ON x.cid = q.a JOIN g y ON y.cid = q.b WHERE q.a < q.b OR x.fileid < y.fileid",

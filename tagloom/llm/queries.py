@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tagloom.llm import cooccurrence, mixing, similar_sets, vocabulary
+from tagloom.llm import cooccurrence, leakage, mixing, similar_sets, vocabulary
 from tagloom.llm.oracle import SQL  # noqa: F401
 from tagloom.operators.snapshots import latest
 from tagloom.util import table
@@ -60,6 +60,19 @@ def p4_terms(spark, d):
     return _terms(spark, d).select(F.col("term").alias("normalized_name"), "total", F.col("n_records").alias("n_tags"), "mark")
 
 
+def _passages(spark, d):
+    return leakage.leaked_passages(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text")
+
+
+def p6_found(spark, d):
+    return leakage.leaks(_passages(spark, d)).filter("edits = 0").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p6_leaks(spark, d):
+    """Every document and item with a passage in common, changed by up to two edits or not."""
+    return leakage.leaks(_passages(spark, d)).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_places", "edits")
+
+
 def _mixed(spark, d):
     docs = mixing.token_counts(table(spark, d, "documents").select("doc_id", "source", "text"), "text")
     return mixing.mixture(docs, "doc_id", "source", "n_tokens", table(spark, d, "mix_targets"))
@@ -73,4 +86,4 @@ def p7_shares(spark, d):
     return _mixed(spark, d)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_lift, p2_found, p2_classes, p4_found, p4_terms, p7_mixture, p7_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_lift, p2_found, p2_classes, p4_found, p4_terms, p6_found, p6_leaks, p7_mixture, p7_shares)}
