@@ -32,6 +32,10 @@ _LETTER = regex.compile(r"\p{L}")
 _GOLD, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
+def _scaled(n: int) -> np.uint64:
+    return np.uint64(n * int(_GOLD) % 2**64)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * _A
     x = (x ^ (x >> np.uint64(33))) * _B
@@ -98,12 +102,12 @@ def embed_keys(units: np.ndarray, starts: np.ndarray, width: int, seed: int, sam
     belonging to the unit and the step says so. Two windows of edit distance e then differ in O(e * e) places.
     """
     at, end = starts.copy(), starts + width
-    key = np.full(len(starts), np.uint64(seed + 1) * _GOLD)
+    key = np.full(len(starts), _scaled(seed + 1))
     steps, last = set(sampled.tolist()), len(units) - 1
     bits = None
     for j in range(int(sampled.max()) + 1):
         if j % 64 == 0:
-            bits = _mix(units ^ (np.uint64(seed * 64 + j // 64 + 1) * _GOLD))
+            bits = _mix(units ^ _scaled(seed * 64 + j // 64 + 1))
         inside = at < end
         here = np.minimum(at, last)
         if j in steps:
