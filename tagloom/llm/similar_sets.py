@@ -16,10 +16,14 @@ from tagloom.util import cut, members, ratio, whole
 BRANCHES = 2.5
 #: A node with at most so many records is compared by brute force.
 SMALL_NODE = 48
-#: Tokens in at least this share of the records count as frequent; at most (mean set size / share) tokens can be.
-FREQUENT_SHARE = 0.0005
-#: A path is at most so long; records of nodes still large then are split by whole tokens, exactly.
-MAX_DEPTH = 12
+#: Tokens are counted in so many buckets: a table of fixed size tells every path how common its tokens are at most.
+BUCKETS = 1 << 20
+#: A path grows by at most so many tokens before its node is counted, and nodes are counted so many times.
+MAX_DEPTH, MAX_TURNS = 12, 6
+#: A record of a large node that has on average this share of the threshold in common with it is compared, not branched.
+DENSE = 0.7
+#: Records of a large node that one task compares with the rest of the node.
+SLICE = 2000
 
 _GOLD, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -43,15 +47,35 @@ def trees_for(recall: float, similarity: float, branches: float = BRANCHES, dept
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(similarity, branches, depth))))
 
 
-def _paths(trees: int, seed: int, branches: float, frequent: dict[int, float], rare: float, target: float):
-    """A function for mapInArrow: (cid, toks, root, logp, used) -> the nodes at which the record's paths end.
+def _bucket(tokens: np.ndarray) -> np.ndarray:
+    return (_mix(tokens.astype("uint64") * _B) % np.uint64(BUCKETS)).astype("int64")
+
+
+def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(BUCKETS, "int64")
+    for b in batches:
+        counts += np.bincount(_bucket(np.asarray(b.column(0).flatten()).astype("int64")), minlength=BUCKETS)
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["bucket", "c"])
+
+
+def token_levels(sets: DataFrame, n_sets: int) -> np.ndarray:
+    """An upper bound of each token's share, by bucket, as a power of two in eighths: BUCKETS bytes, whatever the data."""
+    rows = sets.select("toks").mapInArrow(_count_buckets, "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c"))
+    level = np.full(BUCKETS, 255, "uint8")
+    got = rows.toArrow()
+    shares = np.asarray(got.column("c")).astype("float64") / n_sets
+    level[np.asarray(got.column("bucket"))] = np.minimum(255, np.floor(-8 * np.log2(np.minimum(1.0, shares)))).astype("uint8")
+    return level
+
+
+def _paths(trees: int, seed: int, branches: float, levels: np.ndarray, target: float, emit_used: bool):
+    """A function for mapInArrow: (cid, toks, root, logp, used, b0, b1) -> the nodes at which the record's paths end.
 
     A path ends where the product of its tokens' shares says that a node holds ``target`` records or fewer. Everything it
     decides depends on the record's own tokens and the path alone, so records that share tokens walk together.
     """
-    known = np.array(sorted(frequent), dtype="int64")
-    shares = np.log(np.array([frequent[t] for t in known.tolist()], dtype="float64")) if len(known) else np.zeros(0)
-    log_rare, stop = math.log(rare), math.log(target)
+    stop = math.log(target)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
@@ -66,9 +90,7 @@ def _paths(trees: int, seed: int, branches: float, frequent: dict[int, float], r
         first = np.concatenate([[0], np.cumsum(n)[:-1]])
         if not len(flat):
             return
-        place = np.searchsorted(known, flat) if len(known) else np.zeros(len(flat), "int64")
-        hit = (known[np.minimum(place, len(known) - 1)] == flat) if len(known) else np.zeros(len(flat), bool)
-        logp = np.where(hit, shares[np.minimum(place, max(0, len(known) - 1))] if len(known) else 0.0, log_rare)
+        logp = levels[_bucket(flat)] * (-math.log(2) / 8)
         roots = np.asarray(b.column(2)).view("uint64")
         base = np.asarray(b.column(3))
         sub = np.asarray(b.column(4).flatten()).astype("int64")
@@ -102,10 +124,15 @@ def _paths(trees: int, seed: int, branches: float, frequent: dict[int, float], r
             rec, path, score, used = rec[~over], path[~over], score[~over], used[~over]
         if len(rec):
             ends.append((rec, path, used))
+        b0, b1 = np.asarray(b.column(5)), np.asarray(b.column(6))
         for r, p, u in ends:
             if len(r):
-                flat_used = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(r) + 1) * u.shape[1], u.shape[1], dtype="int32")), pa.array(u.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([pa.array(p.view("int64")), pa.array(cid[r]), pa.array(n[r].astype("int32")), flat_used], names=["node", "cid", "n", "used"])
+                cols = {"node": pa.array(p.view("int64")), "cid": pa.array(cid[r])}
+                if emit_used:
+                    cols["used"] = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(r) + 1) * u.shape[1], u.shape[1], dtype="int32")), pa.array(u.reshape(-1)))
+                else:
+                    cols |= {"n": pa.array(n[r].astype("int32")), "spent": pa.array(u.shape[1] >= n[r]), "b0": pa.array(b0[r]), "b1": pa.array(b1[r])}
+                yield pa.RecordBatch.from_pydict(cols)
 
     return walk
 
@@ -132,9 +159,9 @@ def set_classes(records: DataFrame, record: str, values: str, min_size: int = 1)
     kind = records.schema[values].dataType.elementType.typeName()
     s = F.col(values) if kind in ("long", "integer", "short", "byte") else F.transform(values, lambda x: F.when(x.isNotNull(), F.xxhash64(x)))
     sets = records.select(F.col(record).cast("long").alias("record"), members(s).cast("array<long>").alias("toks")).filter(F.col("record").isNotNull() & (F.size("toks") >= min_size))
-    sets = cut(sets.withColumn("h", F.xxhash64("toks")))
-    classes = cut(sets.groupBy("h", "toks").agg(F.min("record").alias("cid")))
-    member = sets.join(classes.select("h", F.col("toks").alias("t2"), "cid"), "h").filter(F.col("toks") == F.col("t2")).select("record", "cid")
+    sets = cut(sets)
+    classes = cut(sets.groupBy(F.xxhash64("toks").alias("h"), "toks").agg(F.min("record").alias("cid")))
+    member = sets.withColumn("h", F.xxhash64("toks")).join(classes.select("h", F.col("toks").alias("t2"), "cid"), "h").filter(F.col("toks") == F.col("t2")).select("record", "cid")
     return member, classes.select("cid", "toks", F.size("toks").alias("n"))
 
 
@@ -143,10 +170,10 @@ def similar_classes(classes: DataFrame, threshold: float, recall: float = 0.995,
 
     Chosen paths: at a node of a tree, a record follows those of its tokens that the node's own hash picks, BRANCHES of them
     on average; records at one node share all tokens of its path. A path goes on until its tokens' shares say that the node
-    is small, so frequent tokens never end one. Nodes that are larger than foreseen, as their tokens occur together, are
-    found by counting and branched again from where they are. Nodes of up to ``small_node`` records are compared by brute
-    force, sizes and a bitmap sieve the pairs, and the rest is verified on the sets themselves. A record whose tokens are
-    all used up is compared with every record at its node, which contain it.
+    is small, so frequent tokens never end one. Nodes of up to ``small_node`` records are compared by brute force, sizes and
+    a bitmap sieve the pairs, and the rest is verified on the sets themselves. Nodes that are larger than foreseen, as their
+    tokens occur together, are found by counting: those of their records that are like most of the node, or have no token
+    left, are compared with the whole node in slices, the others are branched again from where they are.
 
     As many independent trees grow as give ``recall`` to a pair at the threshold. What is returned is exact.
     """
@@ -156,30 +183,30 @@ def similar_classes(classes: DataFrame, threshold: float, recall: float = 0.995,
     schema = "cid_a long, cid_b long, n_common long, n_union long"
     if n_classes < 2:
         return classes.sparkSession.createDataFrame([], schema)
-    tokens = classes.select(F.explode("toks").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("c"))
-    frequent = {r.t: r.c / n_classes for r in tokens.filter(F.col("c") > max(small_node, FREQUENT_SHARE * n_classes)).collect()}
-    # A token that isn't frequent has at most this share.
-    rare = min(1.0, max(small_node, FREQUENT_SHARE * n_classes) / n_classes)
-    sketch = classes.select("cid", "n", _bits(F.col("toks"), 1).alias("b0"), _bits(F.col("toks"), 2).alias("b1"))
-    sets = classes.select("cid", "toks")
-    todo = sets.select("cid", "toks", F.lit(0).cast("long").alias("root"), F.lit(0.0).alias("logp"), F.array().cast("array<long>").alias("used"))
+    sets = classes.select("cid", "toks", _bits(F.col("toks"), 1).alias("b0"), _bits(F.col("toks"), 2).alias("b1"))
+    levels = token_levels(classes, n_classes)
+    todo = sets.select("cid", "toks", F.lit(0).cast("long").alias("root"), F.lit(0.0).alias("logp"), F.array().cast("array<long>").alias("used"), "b0", "b1")
     target, found, grown = small_node / n_classes, [], trees
-    for turn in range(MAX_DEPTH):
-        walked = todo.mapInArrow(_paths(grown, seed + turn, BRANCHES, frequent, rare, target), "node long, cid long, n int, used array<long>")
-        nodes = cut(walked.select("node", "cid", "n", (F.size("used") >= F.col("n")).alias("spent"), "used"))
-        sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-        small = nodes.join(sizes.filter(F.col("c") <= small_node).select("node"), "node", "left_semi").join(sketch.select("cid", "b0", "b1"), "cid")
-        found.append(_brute(small, small, num, den))
-        large = sizes.filter(F.col("c") > small_node)
-        held = cut(nodes.join(large, "node"))
-        if held.isEmpty():
+    for turn in range(MAX_TURNS):
+        walk = lambda rows, emit: rows.mapInArrow(_paths(grown, seed + turn, BRANCHES, levels, target, emit), "node long, cid long, " + ("used array<long>" if emit else "n int, spent boolean, b0 long, b1 long"))  # noqa: B023, E731
+        nodes = cut(walk(todo, False))
+        large = cut(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > small_node))
+        found.append(_brute(nodes.join(large.select("node"), "node", "left_anti"), num, den))
+        if large.isEmpty():
             break
-        # One set can be all of a path at a node; it is compared with the rest of the node, which is linear.
-        whole_sets = held.filter("spent").join(sketch.select("cid", "b0", "b1"), "cid")
-        found.append(_brute(whole_sets, held.join(sketch.select("cid", "b0", "b1"), "cid"), num, den))
-        rest = held.filter("not spent")
-        # Each pair is already in one node here, so one more branching from it, with new hashes, is enough for its recall.
-        todo = rest.join(sets, "cid").select("cid", "toks", F.col("node").alias("root"), F.log(F.col("c") / n_classes).alias("logp"), "used")
+        held = nodes.join(large, "node")
+        # Of the last turn, and of records like most of their node, every pair is compared: branching would not part them.
+        each = held.join(sets.select("cid", "toks"), "cid").select("node", "cid", "n", "c", F.explode("toks").alias("t"))
+        shared = each.groupBy("node", "t").agg(F.count(F.lit(1)).alias("k"))
+        alike = each.join(shared, ["node", "t"]).groupBy("node", "cid").agg((F.sum("k") / F.first(F.col("c") * F.col("n"))).alias("alike"))
+        held = cut(held.join(alike, ["node", "cid"]).withColumn("dense", F.col("spent") | (F.col("alike") >= DENSE * threshold) | F.lit(turn == MAX_TURNS - 1)))
+        found.append(_brute_against(held.filter("dense"), held, num, den))
+        rest = held.filter("not dense").select("node", "cid", "c")
+        if rest.isEmpty():
+            break
+        again = walk(todo.join(rest.select("cid").distinct(), "cid", "left_semi"), True)
+        todo = cut(rest.join(again, ["node", "cid"]).join(sets, "cid").select("cid", "toks", F.col("node").alias("root"), F.log(F.col("c") / n_classes).alias("logp"), "used", "b0", "b1"))
+        # A pair at the threshold is in one node here already; from there on it needs fewer trees.
         grown = 2
     pairs = found[0]
     for f in found[1:]:
@@ -191,16 +218,25 @@ def similar_classes(classes: DataFrame, threshold: float, recall: float = 0.995,
     return counted.filter(whole(F.col("n_common")) * den >= whole(F.col("n_union")) * num)
 
 
-def _brute(left: DataFrame, right: DataFrame, num: int, den: int) -> DataFrame:
-    a = left.select("node", F.struct("cid", "n", "b0", "b1").alias("x"))
-    b = right.select("node", F.struct("cid", "n", "b0", "b1").alias("y"))
-    if left is right:
-        pairs = a.join(b, "node").filter((F.col("x.cid") < F.col("y.cid")) & _close("x", "y", num, den))
-        return pairs.select(F.col("x.cid").alias("cid_a"), F.col("y.cid").alias("cid_b"))
-    pairs = a.join(b, "node").filter((F.col("x.cid") != F.col("y.cid")) & _close("x", "y", num, den))
+def _sides(left: DataFrame, right: DataFrame, on: list[str], condition: str, num: int, den: int) -> DataFrame:
+    a, b = left.select(*on, F.struct("cid", "n", "b0", "b1").alias("x")), right.select(*on, F.struct("cid", "n", "b0", "b1").alias("y"))
+    pairs = a.join(b, on).filter(F.expr(condition) & _close("x", "y", num, den))
     return pairs.select(F.least("x.cid", "y.cid").alias("cid_a"), F.greatest("x.cid", "y.cid").alias("cid_b"))
 
 
+def _brute(nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of records at one small node that may reach the threshold."""
+    return _sides(nodes, nodes, ["node"], "x.cid < y.cid", num, den)
+
+
+def _brute_against(some: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of ``some`` records with all at their large node, in slices of the node."""
+    slices = F.ceil(F.col("c") / SLICE).cast("int")
+    a = some.withColumn("slice", F.pmod(F.xxhash64("cid"), slices).cast("int"))
+    b = nodes.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
+    return _sides(a, b, ["node", "slice"], "x.cid <> y.cid", num, den)
+
+
 def similar_pairs(records: DataFrame, record: str, values: str, threshold: float, min_size: int = 1, recall: float = 0.995) -> DataFrame:
     """All pairs of records with Jaccard similarity ``threshold`` or more, copies included: (a, b, n_common, n_union), a < b.
 
@@ -208,7 +244,6 @@ def similar_pairs(records: DataFrame, record: str, values: str, threshold: float
     joins on the class, whose output is the result itself.
     """
     member, classes = set_classes(records, record, values, min_size)
-    classes = cut(classes)
     member = cut(member)
     links = similar_classes(classes, threshold, recall)
     m1, m2 = member.select(F.col("record").alias("r1"), F.col("cid").alias("cid_a")), member.select(F.col("record").alias("r2"), F.col("cid").alias("cid_b"))
