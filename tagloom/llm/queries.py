@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tagloom.llm import cooccurrence, leakage, mixing, similar_sets, vocabulary
+from tagloom.llm import sentences as sentence
 from tagloom.llm.oracle import SQL  # noqa: F401
 from tagloom.operators.snapshots import latest
 from tagloom.util import table
@@ -86,4 +87,13 @@ def p7_shares(spark, d):
     return _mixed(spark, d)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_lift, p2_found, p2_classes, p4_found, p4_terms, p6_found, p6_leaks, p7_mixture, p7_shares)}
+def p8_found(spark, d):
+    return sentence.sentences(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "start_char", "end_char")
+
+
+def p8_sentences(spark, d):
+    """Every sentence itself."""
+    return sentence.sentences(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_lift, p2_found, p2_classes, p4_found, p4_terms, p6_found, p6_leaks, p7_mixture, p7_shares, p8_found, p8_sentences)}

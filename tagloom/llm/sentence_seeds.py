@@ -1,0 +1,57 @@
+"""A small table of sentences with known borders, to train the sentence splitter on.
+
+Placeholders: {n} a number, {d} a decimal, {v} a version, {w} a word, {N} a family name, {L} an initial.
+"""
+
+SEEDS: dict[str, list[str]] = {
+    "en": [
+        "The old index was rebuilt on the spare disk.", "iMage previews load slowly on the {w} node.", "Mr. {N} and Mrs. {N} agree about the {w} folder.",
+        "Dr. {N} sorted the {w} files before lunch.", "Prof. {N} calls it \"a rather {w} sort of {w}\" in vol. {n}.", "The St. {N} library holds {n} books vs. {n} in ours.",
+        "See p. {n} for the list, cf. the remark on page {n}.", "Fig. {n} shows the {w} and the {w} side by side.", "It opens at 9 a.m. and closes at {n} p.m. local time.",
+        "They met between {n} a.m. and noon.", "The list was shared by the U.S. office last week.", "Approved by the U.K. team, it went live.", "We need crops, scans, drafts, etc.",
+        "It has pens, inks, etc. but no paper.", "The rate fell by {d} percent, i.e. about {n} rows a day.", "Some tags, e.g. {w} and {w}, are old.", "The box has {n} items, incl. {n} from the {w}.",
+        "Sgt. {N}'s own list is short.", "She signed it \"{L}. {L}. {N}\" and left.", "{L}. {L}. {N} drew the {w} twice.", "The patch (see issue no. {n}) helps a lot.", "They moved it to shelf no. {n}.",
+        "It has been fixed since rev. {n}.", "\"Where is the {w}?\" she asked.", "\"Do not touch the {w}.\" was written on the door.", "\"Is it ready?\" asked the editor, and nobody spoke.",
+        "She wrote: \"The {w} is empty. The {w} is not.\"", "He said: \"Stop! Wait!\"", "Pick one and press \"Open...\" in the bar.", "It was slow... almost too slow for a {w}.", "Nobody knew why...", "Really?!", "What a {w} day!", "Who took the {w}?",
+        "(The {w} was dropped in June.)", "(Nobody saw the {w}.)", "Use the pool (it has {n} rows) for tests.", "Our site at files.example.net lists it in section {d}.", "Paths like a/b/c.tar.zst break the parser.", "See cover.draft.jpg for the {w} one.",
+        "Version {v} fixed the importer.", "{n} of the {n} links were dead.", "The {w} tag is at approx. {n} files.", "Wait for {d} s, at most {n} s, until it answers.", "If it returns {n}, wait; if not, go on.", "Step {n} is done.", "It ran for {d} hours and then stopped!", "It covers {n},{n}00 files.",
+        "The tag was made in {n}.", "Gen. {N} and Lt. {N} wrote chapter {n}.", "The queue at 10.0.0.{n} is empty.", "In short: keep the {w}, drop the {w}, and never guess!", "The clerk read pages {n}, {n}, etc. and skipped the rest.", "Someone pasted \"which of them is left {w}\" under the text.", "The score rose from {d} to {d} after that.", "Why does it keep {n} orphan tags?", "After that the count fell by {d} percent of the whole.", "It is the {n}th time that this happened.",
+        "He kept it until Jan. {n} and then until Dec. {n}.", "We sent {n} rows to store no. {n}.", "{n} rows were moved at night.", "{n} of them came back.", "{n} files are new.", "{n}-page books are rare.", "The call took {d} s.", "The rope is {n} m.", "Nobody knew about it.", "The {w} kept its own tag.", "It has a new id.", "Pick a {w} one.", "The list is up.", "He gave it a box.", "They tried it out.", "We keep the set.", "She sold the {w} to us.", "It weighs {n} kg.", "The page loads in {d} ms.", "(The old {w} was kept.)", "(See the {w} in chapter {n}.)",
+    ],
+    "de": [
+        "Der neue Katalog ist fertig.", "Dr. {N} hat das Bild am {n}. Mai geprüft.", "Prof. {N} nennt es ein Beispiel, das man evtl. ändern sollte.", "Im {n}. Jahrhundert gab es das nicht.", "Am {n}.{n}. wurden {n} Bilder geprüft.",
+        "Das Heft Nr. {n} gehört u. a. zur Reihe {w}.", "Die Liste liefert ca. {n} Treffer.", "Sie enthält Karten, z. B. Skizzen und Pläne.", "Die Datei wird bzw. wurde neu geladen.", "Wir haben alles geprüft: Namen, Größen usw.", "Er fragte: „Ist es warm?“", "„Nichts anfassen.“ stand an der Tür.", "„Wer war das?“ fragte sie.",
+        "Es blieb dunkel … fast zu dunkel.", "Niemand weiß es …", "Warum fehlen {n} Zeilen?", "Der Anteil stieg auf {n},{n} Prozent!", "Version {v} behebt den Fehler.", "Das Modell kennt {n}.{n}00 Wörter.", "Die Schlange nimmt {n} Aufträge an; der Rest wartet.", "Wie heißt das Bild auf Seite {n}?", "Hr. {N} und Fr. {N} sind da.", "Sie kam am {n}. Juni, d. h. zu spät.", "Am {n}. Januar war alles leer.", "Jemand schrieb „noch übrig wenn alles fehlt“ unter das Bild.", "Vgl. Abb. {n} im Anhang.", "Er las Band {n} und Band {n}.", "Was für ein Glück!", "Die Straße war, wie o. g., gesperrt.", "Der Ordner hat {n} Dateien, z. B. Entwürfe.", "Auf der Karte steht u. a. Folgendes.", "Um {n} Uhr war Schluss.", "{n} Seiten fehlen noch.", "{n} Bilder sind neu.", "(Das war im Mai.)", "Es dauerte {n} s.",
+    ],
+    "fr": [
+        "Le nouveau catalogue est prêt.", "M. {N} a changé le titre hier soir.", "Mme {N} préfère la version {v}.", "Le Dr {N} range {w} avec {w}, c.-à-d. dans la boîte {n}.", "L'image no. {n} vient de la série {w}.", "La liste donne env. {n} lignes.", "Il contient des dessins, p. ex. des plans.", "Cf. la page {n} pour la suite.", "Il demanda : « Est-ce prêt ? »", "« Ne touchez à rien. » disait la porte.", "« Qui est là ? » demanda-t-elle.",
+        "Pourquoi manque-t-il {n} pages ?", "Quelle chance !", "On a tout vu : les noms, les tailles, etc.", "Les noms, les dates, etc. sont là.", "Après cela, il restait {n} images vides…", "Le taux est de {n},{n} pour cent en mai.", "La file prend {n} tâches ; le reste attend.", "MM. {N} et {N} sont venus.", "Entre {n} h et {n} h, {n} liens ont été lus !", "Voir p. {n} et fig. {n}.", "Quelqu'un a collé « reste-t-il quand tout manque » sous la page.", "C'était lent… presque trop lent.", "Le lot {n} est dans la boîte {n}.", "Elle a dit : « Attendez ! Pas encore ! »", "{n} pages sont vides.", "(La page {n} est vide.)", "Il a duré {n} s.",
+    ],
+    "es": [
+        "El nuevo catálogo está listo.", "El Sr. {N} cambió el título ayer.", "La Sra. {N} lo vio.", "La Dra. {N} prefiere la versión {v}.", "El Dr. {N} junta {w} con {w}, es decir, en la caja {n}.", "La imagen núm. {n} es de la serie {w}.", "La lista da aprox. {n} filas.", "Guarda dibujos, p. ej. planos y pruebas.", "Véase la pág. {n} para más.", "Y luego preguntó: «¿Está listo?»", "«No toquen nada.» decía la puerta.", "«¿Quién es?» preguntó ella.",
+        "¿Por qué faltan {n} filas?", "¡Qué suerte!", "¿Y si {w} ya no está?", "Vimos todo: nombres, fechas, etc.", "Los nombres, las fechas, etc. están aquí.", "Al final quedaron {n} hojas vacías...", "Entre las {n} y las {n} a. m. se leyeron {n} enlaces.", "A las {n} p. m. se cerró.", "La tasa es de {n},{n} por ciento en mayo.", "La cola admite {n} tareas; el resto espera.", "Alguien pegó «queda cuando falta todo» bajo la página.", "Era lento... casi demasiado lento.", "Está en el grupo {n}.", "Ud. y EE. UU. firmaron.", "Dijo: «¡Esperen! ¡Aún no!»", "{n} hojas son nuevas.", "(La hoja {n} está vacía.)", "Duró {n} s.",
+    ],
+    "ru": [
+        "Новый каталог готов.", "Г. {N} был тут.", "Мы проверили имена, даты и т. д. до ужина.", "В ящике лежит {n} листов, т. е. рисунки и планы.", "См. рис. {n} и табл. {n} в конце.", "Рисунок на стр. {n} относится к новой серии.", "Список дал ок. {n} строк.", "{Lr}. {Lr}. {Nr} хранит {n} ссылок, из них {n} старых.", "Он сказал: «Всё готово?»", "«Ничего не трогайте.» было написано на двери.", "«Кто там?» спросила она.", "Почему не хватает {n} строк?", "Какая удача!", "В конце осталось {n} пустых листов…", "Было тихо… даже слишком.", "Доля выросла до {n},{n} процента.", "Очередь берёт {n} заданий; остальные ждут.", "Версия {v} работает лучше.", "Это было в {n} г. в мае.", "Он живёт на ул. {Nr} в доме {n}.", "Она сказала: «Стойте! Подождите!»", "Это глава {n}.", "{n} листов пусты.", "(Это было в мае.)",
+    ],
+    "el": [
+        "Ο νέος κατάλογος είναι έτοιμος.", "Ο κ. {N} άλλαξε τον τίτλο χθες.", "Η κα. {N} ήρθε.", "Η λίστα δίνει περ. {n} γραμμές.", "Έχει σχέδια, π.χ. σκίτσα και χάρτες, στις {n}/{n}.", "Πού είναι η εικόνα της σελ. {n};", "Είναι έτοιμο;", "Γιατί λείπουν {n} γραμμές;", "Τι τύχη!", "«Μην αγγίξετε τίποτα.» έγραφε η πόρτα.", "Ρώτησε: «Είναι έτοιμο;»", "Η ουρά έχει {n} θέσεις· οι άλλες περιμένουν.", "Το ποσοστό είναι {n},{n} τοις εκατό.", "Η έκδοση {v} είναι καλή.", "Ο φάκελος έχει {n} αρχεία.", "Δείτε τη σελ. {n} και το κεφ. {n}.", "Ονόματα, ημερομηνίες κ.λπ. είναι εδώ.", "Έμειναν {n} κενές…", "Ο Δρ. {N} το είδε.",
+    ],
+    "hi": [
+        "नई सूची तैयार है।", "डॉ. {N} ने कल नाम बदल दिया।", "श्री. {N} आए।", "पृ. {n} वाला पन्ना कहाँ है?", "\"कुछ मत छुओ।\" दरवाज़े पर यही लिखा था।", "\"कौन है?\" उसने पूछा।", "खोज में लगभग {n} नाम मिले।", "सूची में {n} पंक्तियाँ हैं; बाकी कल आएँगी।", "अनुपात {d} प्रतिशत हो गया।", "संस्करण {v} ठीक है।", "वाह!", "क्या बात है!", "{n} कड़ियाँ देखी गईं, जिनमें {n} बंद मिलीं।", "इसमें {n} फ़ाइलें हैं।", "यह क्यों नहीं है?",
+    ],
+    "ar": [
+        "القائمة الجديدة جاهزة.", "غيّر د. {N} الاسم أمس.", "أين صورة ص. {n}؟", "«لا تلمسوا شيئا.» هكذا كتب على الباب.", "«من هناك؟» سألت المديرة.", "أعاد البحث نحو {n} سطرا.", "لماذا ينقص {n} سطرا؟", "يا للحظ!", "بلغت النسبة {d} في المئة.", "الإصدار {v} جيد.", "الصورة قديمة؛ أما الرسم فجديد.", "يقبل الطابور {n} مهمة، والباقي ينتظر.", "فُحص {n} رابطا، منها {n} معطل.", "في المجلد {n} ملفا.", "كتب أ. {N} الرسالة.",
+    ],
+    "zh": [
+        "新的目录准备好了。", "第{n}页的图属于新系列。", "这里有{n}个文件。", "为什么少了{n}行？", "太好了！", "他问：“准备好了吗？”", "她说：“等等！别走！”", "“什么都别碰。”门上这样写着。", "“是谁？”她问道。", "她只写下一句“快点！别停！”就离开了。", "有人贴了“剩下哪一个”在下面。", "比例到了{d}％。", "版本{v}很好。", "队列有{n}个任务；其余的等着。", "还在等待……", "搜索返回{n}条结果。", "检查了{n}个链接，其中{n}个失效！", "图里是港口的场面（夜。雨。）和一座桥。", "满了，所以我们停下了。",
+    ],
+    "ja": [
+        "新しい目録ができました。", "{n}ページの絵は新しい連作です。", "ここには{n}件のファイルがあります。", "なぜ{n}行足りないのですか？", "すごい！", "「できた？」と彼女は言った。", "「何も触らないでください。」と扉に書いてありました。", "彼は「待って！まだ！」とだけ言いました。", "第{n}章は町の場面（朝。雪。）から始まります。", "夜の間に作り直した…。", "比率は{d}％です。", "版{v}で直りました。", "一段だけ見ます（深さは{n}です）。", "結果は約{n}件でした。", "一杯になったので、止めました。", "古いリンクが{n}本ありました！", "誰かが「どれが残るか」と下に貼った。", "彼女は聞いた：「準備はいい？」",
+    ],
+    "th": ["รายการใหม่พร้อมแล้ว", "ไฟล์นี้มี {n} หน้า", "รุ่น {v} ใช้ได้แล้ว", "ทำไมขาดไป {n} แถว", "ป้าย {w} ใช้กับภาพเก่า", "ดิสก์เต็มแล้ว"],
+}
+
+WORDS = ["lamp", "river", "cloak", "plain", "bright", "acorn", "hollow", "stone", "amber", "quiet"]
+NAMES = ["Ashford", "Bellamy", "Corwin", "Delacroix", "Eriksen", "Fontaine", "Garrido", "Hartwell", "Ivanova", "Jansson"]
+NAMES_RU = ["Петров", "Лесной", "Крылова"]
