@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tagloom.llm import cooccurrence, leakage, mixing, similar_sets, vocabulary
+from tagloom.llm import cooccurrence, leakage, mixing, pii, similar_sets, vocabulary
 from tagloom.llm import sentences as sentence
 from tagloom.llm.oracle import SQL  # noqa: F401
 from tagloom.operators.snapshots import latest
@@ -61,6 +61,16 @@ def p4_terms(spark, d):
     return _terms(spark, d).select(F.col("term").alias("normalized_name"), "total", F.col("n_records").alias("n_tags"), "mark")
 
 
+def p5_redacted(spark, d):
+    """Every post and comment with its items, and with placeholders in their place."""
+    rows = [table(spark, d, t).select(F.lit(t).alias("tbl"), "id", "content") for t in ("post_item", "comment_item")]
+    return pii.find_pii(rows[0].unionByName(rows[1]), "content", ["tbl", "id"])
+
+
+def p5_found(spark, d):
+    return p5_redacted(spark, d).select("tbl", "id", F.explode(F.transform("items", lambda x: x["kind"])).alias("kind")).distinct()
+
+
 def _passages(spark, d):
     return leakage.leaked_passages(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text")
 
@@ -96,4 +106,4 @@ def p8_sentences(spark, d):
     return sentence.sentences(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_lift, p2_found, p2_classes, p4_found, p4_terms, p6_found, p6_leaks, p7_mixture, p7_shares, p8_found, p8_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_lift, p2_found, p2_classes, p4_found, p4_terms, p5_found, p5_redacted, p6_found, p6_leaks, p7_mixture, p7_shares, p8_found, p8_sentences)}
