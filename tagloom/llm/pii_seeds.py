@@ -24,7 +24,7 @@ LINES = [
 PLAIN = [
     "+1", "first", "wow", "🔥🔥🔥", "the ratio is 16:9 not 4:3", "{n} layers and counting, wow", "seed {n8}, steps {n}, cfg 7.5", "job {n4}-{n4} stuck since 2024-05-{n2}", "id {n4}-{n} keeps failing", "id {n4}-{n2} keeps failing", "got post {n7} twice, hash 5f{n4}ab{n4}c9", "build 0.{n2}.{n}-rc{d} crashes on import", "version of 12/{n2}/2024 is better", "version of {d}/{d}/2024 is better", "file {d}.{n2}.{d} won't open for me :(", "user {n4} level {n2} here",
     "1920x1080 looks fine, 3840x2160 is {w}", "0:{n2} is the best part", "mirror: files.example.org/p/{n4}/{n}", "icon@2x.png is missing from the zip", "logo@3x.png too", "thanks @inkmoth for the {w} brush", "merci @{w}{w}", "Danke @{w}_{n2}", "gracias @inkmoth", "paid 12.50 for this, worth it", "paid {n2}.50 for {n2} prints", "Mill Street palette > everything", "{W} Street palette is the best", "the {W} Road arc was long", "St. {W} Bridge arc next please", "Lady {W} returns in chapter {n2}!!", "Lord {W} is back", "Captain {W} dies in part {d}", "{W} {W} is still my favourite series", "the {W} {W} chapter made me cry", "Grace and Hope are my favourite characters", "Rose and May palettes when?", "Will this be April's wallpaper?", "more of June and Iris please", "Clara is so cute here", "I like Max and Lena", "thanks Peter!",
-    "any chance of a {w} version?", "love the {w} {w} in this one", "{w} {w} or {w} {w}, which one wins?", "the {w} looks {w} but the {w} behind it is too {w} for me", "The {w} on page {n2} is gorgeous!", "re-tag as {w} please", "Das Motiv auf Seite {n2} ist toll!", "{n} Ebenen, Wahnsinn", "Version {d}.{n2}.{d} startet nicht", "Kapitel {n2} fehlt noch", "Gibt es das auch in 300 dpi?", "falta el archivo {d}.{n2}.{d}", "capítulo {n2} por favor", "La página {n2} es preciosa!", "{n} capas, increíble", "version {d}.{n2}.{d} plantée chez moi", "{n} calques, bravo", "La page {n2} est superbe !", "le zip est incomplet", "{n2}ページ目が好きです。", "版{d}.{n2}.{d}が開けません。", "続きを待っています！", "第{n2}話が好きです。", "Fotos von 2019 bis 2021", "it took 3 hours 25 minutes", "order {n8} shipped", "ticket #{n4} is open", "part no. {n4}-{n}", "ISBN 978-3-16-148410-0", "ip 10.0.0.{n2} is down", "10000 x 4000 px", "rated {d}.{d} of 10", "{n4} x {n4} at {n2} fps", "see chapter {n2}, page {n}", "size {n} MB, {n2} files", "commit {n7} broke it", "on 2024-0{d}-1{d} it worked", "1,{n} likes", "the new {W} looks great", "The {W} and the {W}", "{W} of the {W} is my favourite book", "@{w}.{w} drew it", "see {w}.example.org/{w}", "http://www.example.com/{w}/{n}", "at {n2}:{n2} it crashed", "dot to dot at home", "look at the dot", "at the gate at dawn", "new {W} City map", "where is {W} Hill?", "Old {W} Lane theme when?", "el capítulo {n2} de {W}", "Der {W} aus Kapitel {n2}", "Le {W} du tome {d}", "My name is not on the list", "Ask for help at the counter", "drawn by hand, not by me", "Signed copy please", "tel me more", "call me later", "number {n2} is the best", "Credit goes to the team please.", "my teacher would love this",
+    "any chance of a {w} version?", "love the {w} {w} in this one", "{w} {w} or {w} {w}, which one wins?", "the {w} looks {w} but the {w} behind it is too {w} for me", "The {w} on page {n2} is gorgeous!", "re-tag as {w} please", "Das Motiv auf Seite {n2} ist toll!", "{n} Ebenen, Wahnsinn", "Version {d}.{n2}.{d} startet nicht", "Kapitel {n2} fehlt noch", "Gibt es das auch in 300 dpi?", "falta el archivo {d}.{n2}.{d}", "capítulo {n2} por favor", "La página {n2} es preciosa!", "{n} capas, increíble", "version {d}.{n2}.{d} plantée chez moi", "{n} calques, bravo", "La page {n2} est superbe !", "le zip est incomplet", "{n2}ページ目が好きです。", "版{d}.{n2}.{d}が開けません。", "続きを待っています！", "第{n2}話が好きです。", "Fotos von 2019 bis 2021", "it took 3 hours 25 minutes", "order {n8} shipped", "ticket #{n4} is open", "part no. {n4}-{n}", "ISBN 978-3-16-148410-0", "ip 10.0.0.{n2} is down", "10000 x 4000 px", "rated {d}.{d} of 10", "{n4} x {n4} at {n2} fps", "see chapter {n2}, page {n}", "size {n} MB, {n2} files", "commit {n7} broke it", "on 2024-0{d}-1{d} it worked", "1,{n} likes", "the new {W} looks great", "The {W} and the {W}", "{W} of the {W} is my favourite book", "@{w}.{w} drew it", "see {w}.example.org/{w}", "http://www.example.com/{w}/{n}", "mirror: {w}.example.org/{w}/{n4}/{n2}", "backup: files.example.net/{w}", "files.example.com is down", "the {w}.example page", "at {n2}:{n2} it crashed", "dot to dot at home", "look at the dot", "at the gate at dawn", "new {W} City map", "where is {W} Hill?", "Old {W} Lane theme when?", "el capítulo {n2} de {W}", "Der {W} aus Kapitel {n2}", "Le {W} du tome {d}", "My name is not on the list", "Ask for help at the counter", "drawn by hand, not by me", "Signed copy please", "tel me more", "call me later", "number {n2} is the best", "Credit goes to the team please.", "my teacher would love this",
 ]
 
 GIVEN = """Alice Andre Anna Antonio Beatrice Carmen Carlos Charlotte Clara Claire Daniel David Diego Elena Emil Emma Erik Eva Felix Franz Frida Gabriel Georg Greta Hanna Hans Helena Henrik Henri Hugo Ida Ines Ingrid
