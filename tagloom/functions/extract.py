@@ -93,7 +93,7 @@ def html_title(c: Column) -> Column:
 def json_ld(c: Column) -> Column:
     """The first script of JSON-LD in a page that can be read, as text."""
     found = F.regexp_extract_all(c, F.lit(r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
-    return F.element_at(F.filter(found, lambda x: F.try_parse_json(x).isNotNull()), 1)
+    return F.get(F.filter(found, lambda x: F.try_parse_json(x).isNotNull()), F.lit(0))
 
 
 def _read_html(html: str) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tagloom.catalog import TagCatalog
 from tagloom.operators.ids import dense_ids
-from tagloom.util import shared_folder, table
+from tagloom.util import cut, shared_folder, table
 
 _kept: dict[tuple[str, str], TagCatalog] = {}
 
@@ -22,7 +22,7 @@ def _build(spark: SparkSession, d: str) -> TagCatalog:
     structural = part.select(F.inline(F.array(pair("color", word(1)), pair("noun", word(2)))))
     every = linked.select("ns", "name").unionByName(structural).filter("name is not null").distinct()
     namespace = dense_ids(every.select("ns").distinct(), ["ns"]).select("id", F.col("ns").alias("name"), F.lit(None).cast("string").alias("description"))
-    tag0 = dense_ids(every, ["ns", "name"]).join(namespace.select(F.col("id").alias("namespace"), F.col("name").alias("ns")), "ns")
+    tag0 = cut(dense_ids(every, ["ns", "name"]).join(namespace.select(F.col("id").alias("namespace"), F.col("name").alias("ns")), "ns"))
     on_part = linked.join(tag0, ["ns", "name"]).select("p_partkey", F.col("id").alias("tag_id"), "namespace")
     rel = lines.select(F.col("l_orderkey").alias("file_id"), F.col("l_partkey").alias("p_partkey")).join(on_part, "p_partkey").select("file_id", "tag_id", "namespace").distinct()
     counts = rel.groupBy("tag_id").agg(F.count(F.lit(1)).alias("count"))
