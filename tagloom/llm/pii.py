@@ -149,20 +149,28 @@ class Tagger:
         names = ["edge", *[f for f, c in counts.items() if c >= 6 and f != "edge"]]
         index = {f: i for i, f in enumerate(names)}
         pairs = np.array([(t, index[f]) for t, fs in enumerate(named) for f in fs if f in index], dtype="int64")
-        by_feature = np.argsort(pairs[:, 1], kind="stable")
-        feature_cuts = np.searchsorted(pairs[by_feature, 1], np.arange(len(names)))
         wide, n_l = 2 * REACH + 1, len(LABELS)
         w, moves = np.zeros((len(names), wide * n_l), "float32"), np.zeros((n_l, n_l), "float32")
         square, square_m = np.full_like(w, 1e-6), np.full_like(moves, 1e-6)
         rng = np.random.default_rng(seed)
         order = np.argsort([len(t) for t, _ in rows], kind="stable")
         parts = [p for p in np.array_split(order, batches) if len(p)]
-        type_cuts = np.searchsorted(pairs[:, 0], np.arange(len(keys)))
+        ready = []
+        for part in parts:
+            # A batch only scores the types it has.
+            flat, starts = _flat([rows[i][0] for i in part])
+            types, flat = np.unique(flat, return_inverse=True)
+            rank = np.full(len(keys), -1)
+            rank[types] = np.arange(len(types))
+            own = pairs[rank[pairs[:, 0]] >= 0]
+            by_type = np.argsort(rank[own[:, 0]], kind="stable")
+            by_feature = np.argsort(own[:, 1], kind="stable")
+            features, feature_cuts = np.unique(own[by_feature, 1], return_index=True)
+            ready.append((part, flat, starts, len(types), own[by_type, 1], np.searchsorted(rank[own[by_type, 0]], np.arange(len(types))), rank[own[by_feature, 0]], features, feature_cuts))
         for _ in range(passes):
-            for k in rng.permutation(len(parts)):
-                part = parts[k]
-                scored = np.add.reduceat(w[pairs[:, 1]], type_cuts, axis=0).reshape(len(keys), wide, n_l)
-                flat, starts = _flat([rows[i][0] for i in part])
+            for k in rng.permutation(len(ready)):
+                part, flat, starts, n_types, type_features, type_cuts, feature_types, features, feature_cuts = ready[k]
+                scored = np.add.reduceat(w[type_features], type_cuts, axis=0).reshape(n_types, wide, n_l)
                 sizes = np.array([len(rows[i][0]) for i in part])
                 e = sum(scored[flat[REACH + o:len(flat) - REACH + o], REACH + o] for o in range(-REACH, REACH + 1))
                 at = (starts - REACH)[:, None] + np.arange(sizes.max())
@@ -176,19 +184,19 @@ class Tagger:
                 slope[np.arange(len(part))[:, None], np.arange(y.shape[1]), y] -= live
                 g = np.zeros((len(flat), n_l), "float32")
                 g[(at + REACH)[live]] = slope[live]
-                per_type = np.zeros((len(keys), wide, n_l), "float32")
+                inner = g[REACH:len(flat) - REACH]
+                per_type = np.zeros((n_types, wide, n_l), "float32")
                 for o in range(-REACH, REACH + 1):
-                    inner = g[REACH:len(flat) - REACH]
                     target = flat[REACH + o:len(flat) - REACH + o]
                     for label in range(n_l):
-                        per_type[:, REACH + o, label] = np.bincount(target, inner[:, label], minlength=len(keys))
-                slope_w = np.add.reduceat(per_type.reshape(len(keys), -1)[pairs[by_feature, 0]], feature_cuts, axis=0) / len(part) + ridge * w
+                        per_type[:, REACH + o, label] = np.bincount(target, inner[:, label], minlength=n_types)
+                slope_w = np.add.reduceat(per_type.reshape(n_types, -1)[feature_types], feature_cuts, axis=0) / len(part) + ridge * w[features]
                 pair_live = live[:, 1:]
                 np.subtract.at(both, (y[:, :-1][pair_live], y[:, 1:][pair_live]), 1)
                 slope_m = both / len(part) + ridge * moves
-                square += slope_w * slope_w
+                square[features] += slope_w * slope_w
                 square_m += slope_m * slope_m
-                w -= rate * slope_w / np.sqrt(square)
+                w[features] -= rate * slope_w / np.sqrt(square[features])
                 moves -= rate * slope_m / np.sqrt(square_m)
         for a, la in enumerate(LABELS):
             for b, lb in enumerate(LABELS):
