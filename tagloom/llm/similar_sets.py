@@ -22,6 +22,8 @@ BUCKETS = 1 << 20
 MAX_DEPTH, MAX_TURNS = 12, 6
 #: A record of a large node that has on average this share of the threshold in common with it is compared, not branched.
 DENSE = 0.7
+#: Up to so many ids of large nodes (8 bytes each) are broadcast.
+BROADCAST_NODES = 200_000
 #: Records of a large node that one task compares with the rest of the node.
 SLICE = 2000
 
@@ -70,7 +72,7 @@ def token_levels(sets: DataFrame, n_sets: int) -> np.ndarray:
 
 
 def _paths(trees: int, seed: int, branches: float, levels: np.ndarray, target: float, emit_used: bool):
-    """A function for mapInArrow: (cid, toks, root, logp, used, b0, b1) -> the nodes at which the record's paths end.
+    """A function for mapInArrow: (cid, toks, root, logp, used, b0) -> the nodes at which the record's paths end.
 
     A path ends where the product of its tokens' shares says that a node holds ``target`` records or fewer. Everything it
     decides depends on the record's own tokens and the path alone, so records that share tokens walk together.
@@ -124,32 +126,71 @@ def _paths(trees: int, seed: int, branches: float, levels: np.ndarray, target: f
             rec, path, score, used = rec[~over], path[~over], score[~over], used[~over]
         if len(rec):
             ends.append((rec, path, used))
-        b0, b1 = np.asarray(b.column(5)), np.asarray(b.column(6))
+        b0 = np.asarray(b.column(5))
         for r, p, u in ends:
             if len(r):
                 cols = {"node": pa.array(p.view("int64")), "cid": pa.array(cid[r])}
                 if emit_used:
                     cols["used"] = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(r) + 1) * u.shape[1], u.shape[1], dtype="int32")), pa.array(u.reshape(-1)))
                 else:
-                    cols |= {"n": pa.array(n[r].astype("int32")), "spent": pa.array(u.shape[1] >= n[r]), "b0": pa.array(b0[r]), "b1": pa.array(b1[r])}
+                    cols |= {"n": pa.array(n[r].astype("int32")), "spent": pa.array(u.shape[1] >= n[r]), "b0": pa.array(b0[r])}
                 yield pa.RecordBatch.from_pydict(cols)
 
     return walk
 
 
-def _bits(toks: Column, seed: int) -> Column:
+def _bits(toks: Column) -> Column:
     """64 bits of a set, one for each token's hash: differing bits bound the symmetric difference from below."""
-    return F.aggregate(toks, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(t, F.lit(seed)), F.lit(64)).cast("int"))))
+    return F.aggregate(toks, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(t), F.lit(64)).cast("int"))))
 
 
 def _close(a: str, b: str, num: int, den: int) -> Column:
     """Can the two records reach the threshold, by their sizes and bits? Never false for a pair that does."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differ = F.greatest(F.bit_count(F.col(f"{a}.b0").bitwiseXOR(F.col(f"{b}.b0"))), F.bit_count(F.col(f"{a}.b1").bitwiseXOR(F.col(f"{b}.b1"))))
+    differ = F.bit_count(F.col(f"{a}.b0").bitwiseXOR(F.col(f"{b}.b0")))
     # |a & b| = (na + nb - differing) / 2 and |a | b| = (na + nb + differing) / 2, with differing >= differ.
     return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & ((na + nb - differ) * den >= (na + nb + differ) * num)
 
 
+def _scan(num: int, den: int):
+    """Brute force over rows (node, cid, n, b0) sorted by node: each row is held against those after it at its node."""
+
+    def pairs(node, cid, n, b0) -> pa.RecordBatch:
+        left, right = [], []
+        here = np.arange(len(node))
+        step = 0
+        while len(here):
+            step += 1
+            here = here[here + step < len(node)]
+            here = here[node[here] == node[here + step]]
+            i, j = here, here + step
+            both, differ = n[i] + n[j], np.bitwise_count((b0[i] ^ b0[j]).view("uint64")).astype("int64")
+            ok = (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num) & ((both - differ) * den >= (both + differ) * num) & (cid[i] != cid[j])
+            left.append(cid[i[ok]])
+            right.append(cid[j[ok]])
+        a, b = np.concatenate(left or [np.zeros(0, "int64")]), np.concatenate(right or [np.zeros(0, "int64")])
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["cid_a", "cid_b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [np.asarray(b.column(i)) for i in range(4)]
+            cols[2] = cols[2].astype("int64")
+            if held is not None:
+                cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
+            # The last node of a batch may go on in the next one; a small node's rows are few.
+            cut_at = int(np.searchsorted(cols[0], cols[0][-1], "left"))
+            if cut_at:
+                yield pairs(*[c[:cut_at] for c in cols])
+            held = [c[cut_at:] for c in cols]
+        if held is not None:
+            yield pairs(*held)
+
+    return run
+
+
 def set_classes(records: DataFrame, record: str, values: str, min_size: int = 1) -> tuple[DataFrame, DataFrame]:
     """Classes of records with equal sets: membership (record, cid long), and (cid, toks, n) of each class.
 
@@ -183,16 +224,18 @@ def similar_classes(classes: DataFrame, threshold: float, recall: float = 0.995,
     schema = "cid_a long, cid_b long, n_common long, n_union long"
     if n_classes < 2:
         return classes.sparkSession.createDataFrame([], schema)
-    sets = classes.select("cid", "toks", _bits(F.col("toks"), 1).alias("b0"), _bits(F.col("toks"), 2).alias("b1"))
+    sets = classes.select("cid", "toks", _bits(F.col("toks")).alias("b0"))
     levels = token_levels(classes, n_classes)
-    todo = sets.select("cid", "toks", F.lit(0).cast("long").alias("root"), F.lit(0.0).alias("logp"), F.array().cast("array<long>").alias("used"), "b0", "b1")
+    todo = sets.select("cid", "toks", F.lit(0).cast("long").alias("root"), F.lit(0.0).alias("logp"), F.array().cast("array<long>").alias("used"), "b0")
     target, found, grown = small_node / n_classes, [], trees
     for turn in range(MAX_TURNS):
-        walk = lambda rows, emit: rows.mapInArrow(_paths(grown, seed + turn, BRANCHES, levels, target, emit), "node long, cid long, " + ("used array<long>" if emit else "n int, spent boolean, b0 long, b1 long"))  # noqa: B023, E731
+        walk = lambda rows, emit: rows.mapInArrow(_paths(grown, seed + turn, BRANCHES, levels, target, emit), "node long, cid long, " + ("used array<long>" if emit else "n int, spent boolean, b0 long"))  # noqa: B023, E731
         nodes = cut(walk(todo, False))
         large = cut(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > small_node))
-        found.append(_brute(nodes.join(large.select("node"), "node", "left_anti"), num, den))
-        if large.isEmpty():
+        n_large = large.count()
+        named = large.select("node")
+        found.append(_brute(nodes.join(F.broadcast(named) if n_large <= BROADCAST_NODES else named, "node", "left_anti") if n_large else nodes, num, den))
+        if not n_large:
             break
         held = nodes.join(large, "node")
         # Of the last turn, and of records like most of their node, every pair is compared: branching would not part them.
@@ -205,7 +248,7 @@ def similar_classes(classes: DataFrame, threshold: float, recall: float = 0.995,
         if rest.isEmpty():
             break
         again = walk(todo.join(rest.select("cid").distinct(), "cid", "left_semi"), True)
-        todo = cut(rest.join(again, ["node", "cid"]).join(sets, "cid").select("cid", "toks", F.col("node").alias("root"), F.log(F.col("c") / n_classes).alias("logp"), "used", "b0", "b1"))
+        todo = cut(rest.join(again, ["node", "cid"]).join(sets, "cid").select("cid", "toks", F.col("node").alias("root"), F.log(F.col("c") / n_classes).alias("logp"), "used", "b0"))
         # A pair at the threshold is in one node here already; from there on it needs fewer trees.
         grown = 2
     pairs = found[0]
@@ -218,23 +261,23 @@ def similar_classes(classes: DataFrame, threshold: float, recall: float = 0.995,
     return counted.filter(whole(F.col("n_common")) * den >= whole(F.col("n_union")) * num)
 
 
-def _sides(left: DataFrame, right: DataFrame, on: list[str], condition: str, num: int, den: int) -> DataFrame:
-    a, b = left.select(*on, F.struct("cid", "n", "b0", "b1").alias("x")), right.select(*on, F.struct("cid", "n", "b0", "b1").alias("y"))
-    pairs = a.join(b, on).filter(F.expr(condition) & _close("x", "y", num, den))
-    return pairs.select(F.least("x.cid", "y.cid").alias("cid_a"), F.greatest("x.cid", "y.cid").alias("cid_b"))
-
-
 def _brute(nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of records at one small node that may reach the threshold."""
-    return _sides(nodes, nodes, ["node"], "x.cid < y.cid", num, den)
+    """Pairs of records at one small node that may reach the threshold; rows are gathered by node once.
+
+    They are dealt out by a hash of the node, not by the node itself: where a join on the node comes before, the planner takes
+    rows as dealt out already, and may still read them map by map when that join turns into a broadcast.
+    """
+    ordered = nodes.select("node", "cid", "n", "b0").repartition(F.xxhash64("node")).sortWithinPartitions("node")
+    return ordered.mapInArrow(_scan(num, den), "cid_a long, cid_b long")
 
 
 def _brute_against(some: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of ``some`` records with all at their large node, in slices of the node."""
     slices = F.ceil(F.col("c") / SLICE).cast("int")
-    a = some.withColumn("slice", F.pmod(F.xxhash64("cid"), slices).cast("int"))
-    b = nodes.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
-    return _sides(a, b, ["node", "slice"], "x.cid <> y.cid", num, den)
+    a = some.withColumn("slice", F.pmod(F.xxhash64("cid"), slices).cast("int")).select("node", "slice", F.struct("cid", "n", "b0").alias("x"))
+    b = nodes.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1))).select("node", "slice", F.struct("cid", "n", "b0").alias("y"))
+    pairs = a.join(b, ["node", "slice"]).filter((F.col("x.cid") != F.col("y.cid")) & _close("x", "y", num, den))
+    return pairs.select(F.least("x.cid", "y.cid").alias("cid_a"), F.greatest("x.cid", "y.cid").alias("cid_b"))
 
 
 def similar_pairs(records: DataFrame, record: str, values: str, threshold: float, min_size: int = 1, recall: float = 0.995) -> DataFrame:
