@@ -8,13 +8,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import spread
+from tagloom.llm.common import runs_of, spread
 
 #: Units of a passage: words, or letters and digits where a script has no spaces.
 WORD_WINDOW, CHAR_WINDOW = 12, 25
@@ -22,8 +21,8 @@ WORD_WINDOW, CHAR_WINDOW = 12, 25
 SAMPLED = 6
 #: Windows of items that are searched for at once; more items are searched for in several passes over the corpus.
 BLOCK_WINDOWS = 150_000
-#: Windows that are embedded at once.
-STEP = 200_000
+#: Windows that are embedded at once, and characters of texts that are taken apart at once.
+STEP, CHARS = 200_000, 2_000_000
 
 _UNIT = regex.compile(r"[\p{L}\p{N}]+")
 _MARKS = regex.compile(r"\p{M}+")
@@ -245,12 +244,11 @@ def _build(items: list[tuple[int, str]], max_edits: int, recall: float) -> list[
 
 def _search(indexes: list[_Index]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole_batch in batches:
-            for at in range(0, whole_batch.num_rows, 500):
-                b = whole_batch.slice(at, 500)
-                b = b.filter(pc.is_valid(b.column(1)))
-                texts = [plain(t) for t in b.column(1).to_pylist()]
-                ids = np.asarray(b.column(0))
+        for batch in batches:
+            contents = batch.column(1).to_pylist()
+            for lo, hi in runs_of(contents, 500, CHARS):
+                texts = [plain(t) for t in contents[lo:hi]]
+                ids = np.asarray(batch.column(0).slice(lo, hi - lo))
                 for hashes, index in zip((word_hashes, char_hashes), indexes):
                     if not len(index.item):
                         continue

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import spread
+from tagloom.llm.common import runs_of, spread
 from tagloom.llm.pii_seeds import GIVEN, KINDS, texts
 
 #: Labelled texts that the model is trained on.
@@ -20,6 +20,8 @@ TRAINING_TEXTS = 6000
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
 #: A token sees so many tokens on either side.
 REACH = 3
+#: Texts are labelled together while they have at most so many places for tokens, or characters.
+CELLS, CHARS = 1_000_000, 1_500_000
 #: Items with fewer digits are none: a number needs so many, an address a house number.
 MIN_DIGITS = {"phone": 6, "id_number": 6, "address": 1}
 
@@ -227,8 +229,12 @@ class Tagger:
         out: list[list[tuple[int, int, str]]] = [[] for _ in batch]
         order = np.argsort(sizes, kind="stable")
         order = order[sizes[order] > 0]
-        for lo in range(0, len(order), 256):
-            part = order[lo:lo + 256]
+        lo = 0
+        while lo < len(order):
+            hi = lo + 1
+            while hi < len(order) and hi - lo < 256 and (hi - lo + 1) * sizes[order[hi]] <= CELLS:
+                hi += 1
+            part, lo = order[lo:hi], hi
             for i, path in zip(part.tolist(), _viterbi(e, starts[part] - REACH, sizes[part], self.moves)):
                 if path.any():
                     out[i] = self._items(batch[i], toks[i], path.tolist())
@@ -321,14 +327,14 @@ def find_pii(df: DataFrame, text: str, keep: list[str], tagger: Tagger | None =
     struct = pa.struct([("kind", pa.string()), ("start_char", pa.int64()), ("end_char", pa.int64()), ("item", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
-                contents = b.column(b.num_columns - 1).to_pylist()
-                found = model.find([t or "" for t in contents])
-                items = [None if t is None else [{"kind": k, "start_char": s, "end_char": e, "item": t[s:e]} for s, e, k in f] for t, f in zip(contents, found)]
-                clean = [None if t is None else redacted(t, f) if f else t for t, f in zip(contents, found)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(items, pa.list_(struct)), pa.array(clean, pa.string())], names=[*[f"c{i}" for i in range(len(keep))], "items", "redacted"])
+        for b in batches:
+            contents = b.column(b.num_columns - 1).to_pylist()
+            for lo, hi in runs_of(contents, 2000, CHARS):
+                part = contents[lo:hi]
+                found = model.find([t or "" for t in part])
+                items = [None if t is None else [{"kind": k, "start_char": s, "end_char": e, "item": t[s:e]} for s, e, k in f] for t, f in zip(part, found)]
+                clean = [None if t is None else redacted(t, f) if f else t for t, f in zip(part, found)]
+                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in b.columns[:-1]], pa.array(items, pa.list_(struct)), pa.array(clean, pa.string())], names=[*[f"c{i}" for i in range(len(keep))], "items", "redacted"])
 
     inner = spread(df.select(*[F.col(k).alias(f"c{i}") for i, k in enumerate(keep)], F.col(text).alias("t")))
     schema = ", ".join([*[f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)], "items array<struct<kind string, start_char long, end_char long, item string>>, redacted string"])
