@@ -31,10 +31,28 @@ class TagCatalog:
         return TagCatalog(**{f.name: spark.read.schema(getattr(schema, f.name.upper())).parquet(f"{root}/{f.name}") for f in fields(TagCatalog)})
 
     def write(self, root: str) -> None:
-        """A snapshot under ``root``; the edges are gathered by namespace first, so a namespace has few files."""
+        """A snapshot under ``root``.
+
+        Edges are gathered by namespace, so a namespace has few files, and lie in the order of their tags there, so a search
+        skips the row groups without its tags.
+        """
+        self.write_edges(root)
         for f in fields(self):
-            df = getattr(self, f.name)
-            if f.name == "rel":
-                df.repartition("namespace", df["file_id"] % 64).write.mode("overwrite").partitionBy("namespace").parquet(f"{root}/rel")
-            else:
-                df.write.mode("overwrite").parquet(f"{root}/{f.name}")
+            if f.name != "rel":
+                getattr(self, f.name).write.mode("overwrite").parquet(f"{root}/{f.name}")
+
+    def write_edges(self, root: str, name: str | None = None, buckets: int | None = None) -> DataFrame:
+        """Write the edges alone, and return them as they lie there.
+
+        With a ``name`` they become a table in ``buckets`` (as many as a shuffle has partitions, unless given) by file: a
+        search then groups its edges by file without a shuffle.
+        """
+        spark = self.rel.sparkSession
+        if name is None:
+            edges = self.rel.repartition("namespace", self.rel["file_id"] % 64).sortWithinPartitions("namespace", "tag_id", "file_id")
+            edges.write.mode("overwrite").partitionBy("namespace").parquet(f"{root}/rel")
+            return spark.read.schema(schema.REL).parquet(f"{root}/rel")
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        writer = self.rel.repartition(n, "file_id").write.mode("overwrite").format("parquet").option("path", f"{root}/rel")
+        writer.partitionBy("namespace").bucketBy(n, "file_id").sortBy("tag_id").saveAsTable(name)
+        return spark.table(name).select("file_id", "tag_id", "namespace")

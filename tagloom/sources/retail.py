@@ -15,6 +15,7 @@ _kept: dict[tuple[str, str], TagCatalog] = {}
 
 
 def _build(spark: SparkSession, d: str) -> TagCatalog:
+    """The graph without the tags' counts, which come from the edges once they are written."""
     part, lines, orders, events = (table(spark, d, t) for t in ("part", "lineitem", "orders", "events"))
     word = lambda i: F.split_part("p_name", F.lit(" "), F.lit(i))
     pair = lambda ns, c: F.struct(F.lit(ns).alias("ns"), c.cast("string").alias("name"))
@@ -25,8 +26,7 @@ def _build(spark: SparkSession, d: str) -> TagCatalog:
     tag0 = cut(dense_ids(every, ["ns", "name"]).join(namespace.select(F.col("id").alias("namespace"), F.col("name").alias("ns")), "ns"))
     on_part = linked.join(tag0, ["ns", "name"]).select("p_partkey", F.col("id").alias("tag_id"), "namespace")
     rel = lines.select(F.col("l_orderkey").alias("file_id"), F.col("l_partkey").alias("p_partkey")).join(on_part, "p_partkey").select("file_id", "tag_id", "namespace").distinct()
-    counts = rel.groupBy("tag_id").agg(F.count(F.lit(1)).alias("count"))
-    tags = tag0.join(counts, tag0.id == counts.tag_id, "left").select("id", "name", "namespace", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+    tags = tag0.select("id", "name", "namespace", F.lit(None).cast("long").alias("count"))
     named = lambda ns, col, out: tag0.filter(F.col("ns") == ns).select(F.col("name").alias(col), F.col("id").alias(out))
     owned = part.join(named("name", "p_name", "tag_id"), "p_name")
     scoped = owned.join(named("brand", "p_brand", "relate_tag_id"), "p_brand").join(named("type", "p_type", "limit_to"), "p_type").select("tag_id", "relate_tag_id", "limit_to")
@@ -48,9 +48,16 @@ def catalog(spark: SparkSession, d: str) -> TagCatalog:
     """The graph of folder ``d``: written once a session to the shared folder, then read from there."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _kept:
-        root = f"{shared_folder(spark)}/graph-{hashlib.md5(d.encode()).hexdigest()}"
-        _build(spark, d).write(root)
+        mark = hashlib.md5(f"{key}".encode()).hexdigest()
+        root = f"{shared_folder(spark)}/graph-{mark}"
+        c = _build(spark, d)
+        edges = c.write_edges(root, f"edges_{mark}")
+        n = edges.groupBy(F.col("tag_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+        c.tags = c.tags.join(n, "id", "left").select("id", "name", "namespace", F.coalesce("n", F.lit(0)).cast("long").alias("count"))
+        for name in ("namespace", "tags", "parents", "files", "file_hashes", "jobs", "dead_urls"):
+            getattr(c, name).write.mode("overwrite").parquet(f"{root}/{name}")
         _kept[key] = TagCatalog.from_parquet(spark, root)
+        _kept[key].rel = edges
     return _kept[key]
 
 
