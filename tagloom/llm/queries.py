@@ -8,7 +8,7 @@ from tagloom.llm import cooccurrence, leakage, mixing, pii, similar_sets, vocabu
 from tagloom.llm import sentences as sentence
 from tagloom.llm.oracle import SQL  # noqa: F401
 from tagloom.operators.snapshots import latest
-from tagloom.util import table
+from tagloom.util import cut, table
 
 #: Fixed values of the queries' definitions.
 MIN_TOGETHER, MIN_LIFT = 30, 8
@@ -47,7 +47,7 @@ def p2_classes(spark, d):
 
 
 def _terms(spark, d):
-    tags = latest(table(spark, d, "tag_entry"), "tag_id", "loaded_at", "normalized_name", "count")
+    tags = cut(latest(table(spark, d, "tag_entry"), "tag_id", "loaded_at", "normalized_name", "count"))
     total = tags.agg(F.sum("count")).first()[0] or 0
     return vocabulary.mark_terms(vocabulary.term_counts(tags, vocabulary.normal_form(F.col("normalized_name")), F.col("tag_id"), F.col("count")), total, RARE_BELOW, COMMON_SHARE)
 
