@@ -22,7 +22,7 @@ BUCKETS = 1 << 20
 MAX_DEPTH, MAX_TURNS = 12, 6
 #: A record of a large node that has on average this share of the threshold in common with it is compared, not branched.
 DENSE = 0.7
-#: Up to so many ids of large nodes (8 bytes each) are broadcast.
+#: Up to so many large nodes (16 bytes each) are broadcast.
 BROADCAST_NODES = 200_000
 #: Records of a large node that one task compares with the rest of the node.
 SLICE = 2000
@@ -233,8 +233,9 @@ def similar_classes(classes: DataFrame, threshold: float, recall: float = 0.995,
         nodes = cut(walk(todo, False))
         large = cut(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > small_node))
         n_large = large.count()
-        named = large.select("node")
-        found.append(_brute(nodes.join(F.broadcast(named) if n_large <= BROADCAST_NODES else named, "node", "left_anti") if n_large else nodes, num, den))
+        if n_large <= BROADCAST_NODES:
+            large = F.broadcast(large)
+        found.append(_brute(nodes.join(large, "node", "left_anti") if n_large else nodes, num, den))
         if not n_large:
             break
         held = nodes.join(large, "node")
