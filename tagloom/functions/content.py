@@ -27,6 +27,11 @@ def sharded_path(root: Column, digest: Column, extension: Column) -> Column:
     return F.when(F.length(digest) > 6, F.concat_ws("/", root, part(1), part(3), part(5), F.concat(digest, F.lit("."), extension)))
 
 
+def thumbnail_path(root: str, content: Column) -> Column:
+    """Where a file's thumbnail lies, by the digest of its contents."""
+    return sharded_path(F.lit(root), F.upper(F.sha2(content, 256)), F.lit("webp"))
+
+
 def dated_path(root: str, epoch: Column) -> Column:
     """root/year/month/day of a time in epoch seconds."""
     return F.concat(F.lit(root + "/"), F.date_format(F.timestamp_seconds(epoch), "yyyy/MM/dd"))

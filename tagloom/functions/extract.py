@@ -160,3 +160,9 @@ def error_kind(message: Column) -> Column:
     """quota, blocked or other, by what a message says."""
     low = F.lower(message)
     return F.when(low.contains("quota") | low.contains("over limit"), "quota").when(low.contains("blocked") | low.contains("denied"), "blocked").otherwise("other")
+
+
+def params(text: Column) -> Column:
+    """Words of a job's parameter as (kind, value): addresses are `Url`, all else `Normal`."""
+    words = F.filter(F.split(text, " "), lambda x: x != "")
+    return F.transform(words, lambda x: F.struct(F.when(x.rlike("^https?://[^/]+"), "Url").otherwise("Normal").alias("kind"), x.alias("value")))

@@ -132,6 +132,15 @@ def merge(into: TagCatalog, other: TagCatalog) -> TagCatalog:
     return out
 
 
+def put_tags(c: TagCatalog, actions: DataFrame) -> DataFrame:
+    """``rel`` with every tag that ``actions`` name, those they relate to and their scopes linked to the file; the operation doesn't matter."""
+    t = actions.select("file_id", F.explode("tags").alias("t")).filter("t.tag_type in ('Normal', 'NormalNoRegex')")
+    pair = lambda n, s: F.struct(F.col(n).alias("name"), F.col(s).alias("ns"))
+    named = t.select("file_id", F.inline(F.array(pair("t.name", "t.ns"), pair("t.relates_to.name", "t.relates_to.ns"), pair("t.relates_to.limit_name", "t.relates_to.limit_ns"))))
+    ids = c.tags.select(F.col("id").alias("tag_id"), "name", "namespace").join(c.namespace.select(F.col("id").alias("namespace"), F.col("name").alias("ns")), "namespace").select("tag_id", "name", "ns")
+    return add_edges(c, named.join(ids, ["name", "ns"]).select("file_id", "tag_id").distinct())
+
+
 def exact_counts(tags: DataFrame, rel: DataFrame) -> DataFrame:
     """``tags`` with ``count`` as the number of distinct files."""
     n = rel.groupBy("tag_id", "file_id").agg(F.lit(1)).groupBy("tag_id").agg(F.count(F.lit(1)).alias("_n"))

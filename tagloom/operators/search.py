@@ -58,6 +58,13 @@ def search_files(rel: DataFrame, spec: SearchSpec, limit: int | None = None, off
     return ordered if limit is None else ordered.limit(min(limit, 2**31 - 1))
 
 
+def has_edges(rel: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` (file_id, tag_id) with ``present``: is there such an edge?"""
+    asked = pairs.select("file_id", "tag_id").filter("file_id is not null and tag_id is not null").distinct()
+    known = rel.select("file_id", "tag_id").distinct().withColumn("_e", F.lit(True))
+    return asked.join(known, ["file_id", "tag_id"], "left").select("file_id", "tag_id", F.col("_e").isNotNull().alias("present"))
+
+
 def file_count_by_tag(rel: DataFrame) -> DataFrame:
     """Distinct files of each tag: (tag_id, count)."""
     return rel.groupBy("tag_id", "file_id").agg(F.lit(1)).groupBy("tag_id").agg(F.count("file_id").alias("count"))

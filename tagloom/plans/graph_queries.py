@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tagloom.functions import content, extract
-from tagloom.operators import audit, bitmaps, hierarchy, ingest, jobs, lookup, policy, search, snapshots, textsearch
+from tagloom.functions import content, extract, posts
+from tagloom.operators import audit, bitmaps, hierarchy, ingest, jobs, lookup, policy, search, settings, snapshots, textsearch
 from tagloom.operators.ids import page_after, page_at
 from tagloom.operators.search import SearchQuery, SearchSpec, search_files
 from tagloom.plans.graph_sql import SQL  # noqa: F401
@@ -780,3 +780,104 @@ def policy_search(spark, d):
     c = catalog(spark, d)
     hits = search_files(c.rel, SearchSpec(tag_ids(c, B2)), limit=500)
     return policy.permitted(c, hits, extensions=[".F", "o"], deny=["small"], require=["BRAND#2"])
+
+
+@query
+def edge_membership(spark, d):
+    c = catalog(spark, d)
+    (b2,) = tag_ids(c, B2)
+    return search.has_edges(c.rel, c.files.filter("id % 100 = 0").select(F.col("id").alias("file_id"), F.lit(b2).alias("tag_id")))
+
+
+@query
+def put_tags(spark, d):
+    c = catalog(spark, d)
+    return ingest.put_tags(c, _actions(spark, d)).filter("file_id % 20 < 6").select("file_id", "tag_id")
+
+
+@query
+def settings_put(spark, d):
+    have = table(spark, d, "region").select(F.col("r_name").alias("name"), F.lit(None).cast("string").alias("description"), F.col("r_regionkey").cast("long").alias("num"), F.lit("a").alias("param"))
+    new = have.filter("num % 2 = 0").withColumn("param", F.lit("b")).unionByName(spark.createDataFrame([("NEW", "d", None, None)], "name string, description string, num long, param string"))
+    return settings.put(have, new, ["name"])
+
+
+@query
+def setting_get(spark, d):
+    return table(spark, d, "region").filter("r_name = 'ASIA'").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("num"))
+
+
+@query
+def dead_url_add(spark, d):
+    return settings.put(catalog(spark, d).dead_urls, _mirrors(spark, d).filter("url like '%1'"), ["url"])
+
+
+@query
+def storage_get_or_create(spark, d):
+    have = table(spark, d, "nation").filter("n_nationkey < 5").select((F.col("n_nationkey") + 1).cast("long").alias("id"), F.col("n_name").alias("location"))
+    return settings.get_or_create(have, table(spark, d, "nation").select(F.col("n_name").alias("location")), "location")
+
+
+@query
+def file_hash_add(spark, d):
+    c = catalog(spark, d)
+    new = c.files.filter("id % 2 = 0").select(F.col("id").alias("file_id"), F.lit("MD5").alias("algorithm"), F.when(F.col("id") % 8 == 0, F.lit("")).otherwise(F.lower("hash")).alias("digest"))
+    return settings.add_digests(c.file_hashes, new)
+
+
+@query
+def file_location(spark, d):
+    c = catalog(spark, d)
+    storage = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, location string")
+    path = F.regexp_replace(content.sharded_path(F.lit(""), F.col("hash"), F.col("extension")), "^/", "")
+    listing = c.files.filter("id % 5 <> 0").select(F.explode(F.when(F.col("id") % 2 == 0, F.array(F.lit("c"), F.lit("b"))).otherwise(F.array(F.lit("a")))).alias("location"), path.alias("path"))
+    return settings.located(c.files, storage, listing)
+
+
+@query
+def json_post_tags(spark, d):
+    """Posts as a site would deliver them, written as JSON and read again."""
+    tags = F.transform(F.split("tags", "[,;]"), lambda x: F.trim(x))
+    p = table(spark, d, "post_item").filter("tags is not null").select("id", "tags", "user_id", "service").distinct()
+    one = F.struct(F.col("id").cast("long").alias("id"), F.lit("s").alias("rating"), F.array("service").alias("sources"), F.create_map(F.lit("general"), tags, F.lit("artist"), F.array("user_id")).alias("tags"))
+    bodies = p.groupBy(F.pmod(F.col("id").cast("long"), F.lit(50)).alias("page")).agg(F.to_json(F.struct(F.collect_list(one).alias("posts"))).alias("body"))
+    return posts.post_tags(posts.posts(bodies, "body"))
+
+
+@query
+def static_urls(spark, d):
+    return table(spark, d, "files").select("id", posts.static_url("https://s.example", F.col("hash"), F.col("extension")).alias("url")).distinct()
+
+
+@query
+def parent_ids(spark, d):
+    made = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 4 == 0, "").when(F.col("event_id") % 4 == 1, "0").when(F.col("event_id") % 4 == 2, F.col("user_id").cast("string")).otherwise("x").alias("t"))
+    return made.select("event_id", posts.parent_id(F.col("t")).alias("parent"))
+
+
+@query
+def pool_positions(spark, d):
+    p = table(spark, d, "relationship_roaring_tagid").filter("tagid is not null and fileid_bitmap is not null").groupBy("tagid").agg(F.min(F.array_sort(F.filter("fileid_bitmap", lambda x: x.isNotNull()))).alias("m"))
+    return posts.pool_positions(p, "tagid", "m")
+
+
+@query
+def catalog_hits(spark, d):
+    return table(spark, d, "post_item").filter(posts.catalog_hit(F.col("title"), F.col("content"), "CASTLE")).select("id").distinct()
+
+
+@query
+def chapter_numbers(spark, d):
+    p = table(spark, d, "post_item").filter("tags is not null").select("id", "tags").distinct().select("id", F.split("tags", "[,;]").alias("names"))
+    return posts.chapter_order(p, "id", "names")
+
+
+@query
+def job_params(spark, d):
+    made = table(spark, d, "events").select("event_id", F.concat(F.col("event_type"), F.lit(" https://a.example/"), F.col("user_id"), F.lit("  x")).alias("t"))
+    return made.select("event_id", F.inline(extract.params(F.col("t"))))
+
+
+@query
+def thumbnail_paths(spark, d):
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", content.thumbnail_path("thumbs", F.col("text")).alias("path"))

@@ -201,4 +201,21 @@ UNION ALL SELECT (SELECT max(id) FROM gfiles) + row_number() OVER (ORDER BY hash
         f"SELECT h.file_id FROM h JOIN gfiles f ON f.id = h.file_id WHERE f.extension IN ('f', 'o') AND h.file_id NOT IN (SELECT file_id FROM rel WHERE tag_id IN (SELECT id FROM tag0 WHERE lower(name) = 'small')) AND h.file_id IN (SELECT file_id FROM rel WHERE tag_id = {_B2})",
         f"h AS (SELECT DISTINCT file_id FROM rel WHERE tag_id = {_B2} ORDER BY file_id DESC LIMIT 500)",
     ),
+    "edge_membership": _g(f"SELECT f.id AS file_id, {_B2} AS tag_id, f.id IN (SELECT file_id FROM rel WHERE tag_id = {_B2}) AS present FROM gfiles f WHERE f.id % 100 = 0"),
+    "put_tags": _g("SELECT file_id, tag_id FROM rel WHERE file_id % 20 < 6 UNION SELECT file_id, tag_id FROM act", _ACTIONS),
+    "settings_put": "SELECT r_name AS name, NULL AS description, r_regionkey AS num, CASE WHEN r_regionkey % 2 = 0 THEN 'b' ELSE 'a' END AS param FROM region UNION ALL SELECT 'NEW', 'd', NULL, NULL",
+    "setting_get": "SELECT r_name AS name, r_regionkey AS num FROM region WHERE r_name = 'ASIA'",
+    "dead_url_add": _g("SELECT url FROM dead UNION SELECT url FROM mirrors WHERE url LIKE '%1'"),
+    "storage_get_or_create": "SELECT n_nationkey + 1 AS id, n_name AS location FROM nation WHERE n_nationkey < 5 UNION ALL SELECT 5 + row_number() OVER (ORDER BY n_name), n_name FROM nation WHERE n_name NOT IN (SELECT n_name FROM nation WHERE n_nationkey < 5)",
+    "file_hash_add": "SELECT o_orderkey AS file_id, a AS algorithm, CASE a WHEN 'MD5' THEN md5(CAST(o_orderkey AS VARCHAR)) WHEN 'SHA1' THEN upper(sha1(CAST(o_orderkey AS VARCHAR))) ELSE upper(sha256(CAST(o_orderkey AS VARCHAR))) END AS digest FROM orders, (SELECT unnest(['MD5', 'SHA1', 'SHA256']) AS a) WHERE o_orderkey % 4 <> 0 OR (a = 'MD5' AND o_orderkey % 8 <> 0)",
+    "file_location": _g(f"SELECT id, CASE WHEN id % 2 = 0 THEN 'b' ELSE 'a' END || {_SHARD.format(root=repr(''))} AS path FROM gfiles WHERE id % 5 <> 0"),
+    "json_post_tags": """WITH p AS (SELECT DISTINCT CAST(id AS BIGINT) AS id, tags, user_id, service FROM post_item WHERE tags IS NOT NULL)
+SELECT DISTINCT * FROM (SELECT id, 'general' AS ns, trim(unnest(regexp_split_to_array(tags, '[,;]'))) AS name FROM p UNION ALL SELECT id, 'artist', user_id FROM p UNION ALL SELECT id, 'rating', 's' FROM p UNION ALL SELECT id, 'source', service FROM p) WHERE name <> ''""",
+    "static_urls": "SELECT DISTINCT id, CASE WHEN regexp_matches(hash, '^[0-9a-fA-F]{4,}$') THEN 'https://s.example/' || substr(hash, 1, 2) || '/' || substr(hash, 3, 2) || '/' || hash || '.' || extension END AS url FROM files",
+    "parent_ids": "SELECT event_id, CASE WHEN event_id % 4 = 2 AND user_id <> 0 THEN user_id END AS parent FROM events",
+    "pool_positions": "WITH m AS (SELECT tagid, min(list_sort(list_filter(fileid_bitmap, lambda x: x IS NOT NULL))) AS l FROM relationship_roaring_tagid WHERE tagid IS NOT NULL AND fileid_bitmap IS NOT NULL GROUP BY tagid) SELECT tagid, CAST(i - 1 AS INTEGER) AS position, l[i] AS post_id FROM (SELECT tagid, l, unnest(range(1, len(l) + 1)) AS i FROM m)",
+    "catalog_hits": "SELECT DISTINCT id FROM post_item WHERE contains(lower(coalesce(title, '')), 'castle') OR contains(lower(coalesce(content, '')), 'castle')",
+    "chapter_numbers": "SELECT id, l[i] AS chapter, CAST(len(l) - i + 1 AS INTEGER) AS number FROM (SELECT id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT id, regexp_split_to_array(tags, '[,;]') AS l FROM (SELECT DISTINCT id, tags FROM post_item WHERE tags IS NOT NULL)))",
+    "job_params": "SELECT event_id, 'Normal' AS kind, event_type AS value FROM events UNION ALL SELECT event_id, 'Url', 'https://a.example/' || user_id FROM events UNION ALL SELECT event_id, 'Normal', 'x' FROM events",
+    "thumbnail_paths": f"SELECT doc_id, {_SHARD.format(root="'thumbs'").replace('hash', 'h').replace('extension', "'webp'")} AS path FROM (SELECT doc_id, upper(sha256(text)) AS h FROM documents WHERE text IS NOT NULL)",
 }
