@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
+import os
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -20,18 +22,23 @@ MAX_BLOCKS = 20_000
 MAX_SOURCES = 10_000
 
 
+@functools.lru_cache(maxsize=2)
+def _tokenizer(path: str):
+    """A tokenizer, read once in each Python worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    return t
+
+
 def token_counts(df: DataFrame, text: str, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.json", name: str = "n_tokens") -> DataFrame:
     """``df`` without ``text`` and with the number of its tokens; a null text has 0."""
     kept = [f for f in df.schema.fields if f.name != text]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(tokenizer)
-        t.encode_special_tokens = True
+        t = _tokenizer(tokenizer)
         for b in batches:
             sizes = []
             texts = b.column(b.schema.get_field_index("_text")).to_pylist()
