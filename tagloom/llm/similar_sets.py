@@ -71,11 +71,13 @@ def token_levels(sets: DataFrame, n_sets: int) -> np.ndarray:
     return level
 
 
-def _paths(trees: int, seed: int, branches: float, levels: np.ndarray, target: float, emit_used: bool):
-    """A function for mapInArrow: (cid, toks, root, logp, used, b0) -> the nodes at which the record's paths end.
+def _paths(trees: int, seed: int, branches: float, levels: np.ndarray, target: float, emit_used: bool, num: int, den: int):
+    """A function for mapInArrow: (cid, toks, root, logp, used, b0) -> the nodes at which the record's paths end, and those it passes.
 
     A path ends where the product of its tokens' shares says that a node holds ``target`` records or fewer. Everything it
-    decides depends on the record's own tokens and the path alone, so records that share tokens walk together.
+    decides depends on the record's own tokens and the path alone, so records that share tokens walk together. Two records
+    whose tokens in common are used up before a path ends part there: a record is emitted as ``passing`` at each node whose
+    path holds all it may have in common with a partner at the threshold num / den.
     """
     stop = math.log(target)
 
@@ -105,8 +107,8 @@ def _paths(trees: int, seed: int, branches: float, levels: np.ndarray, target: f
         if width:
             old[np.repeat(np.arange(len(cid)), n_used), np.arange(len(sub)) - np.repeat(np.cumsum(n_used) - n_used, n_used)] = sub
         used = np.repeat(old, trees, axis=0)
-        ends: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for _ in range(MAX_DEPTH):
+        ends: list[tuple[np.ndarray, np.ndarray, np.ndarray, bool]] = []
+        for step in range(MAX_DEPTH):
             if not len(rec):
                 break
             k = n[rec]
@@ -114,26 +116,33 @@ def _paths(trees: int, seed: int, branches: float, levels: np.ndarray, target: f
             pos = np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k) + first[rec[row]]
             tok = flat[pos]
             h = _mix(path[row] ^ _mix(tok.astype("uint64") * _GOLD))
-            left = np.maximum(1, k - used.shape[1])[row]
+            left = np.maximum(1, k - n_used[rec] - step)[row]
             chosen = (h >> np.uint64(11)).astype("float64") * (left / 2.0**53) < branches
             for j in range(used.shape[1]):
-                chosen &= used[row, j] != tok
+                # Records of one turn may come with paths of different lengths; what fills up the shorter is no token.
+                chosen &= (used[row, j] != tok) | (n_used[rec[row]] <= j if j < width else False)
             row, pos, tok, h = row[chosen], pos[chosen], tok[chosen], h[chosen]
             rec, path, score = rec[row], _mix(h + _GOLD), score[row] + logp[pos]
             used = np.concatenate([used[row], tok[:, None]], axis=1)
-            over = (score <= stop) | (used.shape[1] >= n[rec])
-            ends.append((rec[over], path[over], used[over]))
-            rec, path, score, used = rec[~over], path[~over], score[~over], used[~over]
-        if len(rec):
-            ends.append((rec, path, used))
+            depth = n_used[rec] + step + 1
+            over = score <= stop if step + 1 < MAX_DEPTH else np.ones(len(rec), bool)
+            ends.append((rec[over], path[over], used[over], False))
+            if not emit_used:
+                near = ~over & (depth * den >= n[rec] * num)
+                ends.append((rec[near], path[near], used[near], True))
+            on = ~over & (depth < n[rec])
+            rec, path, score, used = rec[on], path[on], score[on], used[on]
         b0 = np.asarray(b.column(5))
-        for r, p, u in ends:
+        for r, p, u, passing in ends:
             if len(r):
+                depth = n_used[r] + u.shape[1] - width
                 cols = {"node": pa.array(p.view("int64")), "cid": pa.array(cid[r])}
                 if emit_used:
-                    cols["used"] = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(r) + 1) * u.shape[1], u.shape[1], dtype="int32")), pa.array(u.reshape(-1)))
+                    at = np.arange(u.shape[1])
+                    held = (at < n_used[r][:, None]) | (at >= width)
+                    cols["used"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(depth)]).astype("int32")), pa.array(u[held]))
                 else:
-                    cols |= {"n": pa.array(n[r].astype("int32")), "spent": pa.array(u.shape[1] >= n[r]), "b0": pa.array(b0[r])}
+                    cols |= {"n": pa.array(n[r].astype("int32")), "depth": pa.array(depth.astype("int32")), "passing": pa.array(np.full(len(r), passing)), "b0": pa.array(b0[r])}
                 yield pa.RecordBatch.from_pydict(cols)
 
     return walk
@@ -214,7 +223,9 @@ def similar_classes(classes: DataFrame, threshold: float, recall: float = 0.995,
     is small, so frequent tokens never end one. Nodes of up to ``small_node`` records are compared by brute force, sizes and
     a bitmap sieve the pairs, and the rest is verified on the sets themselves. Nodes that are larger than foreseen, as their
     tokens occur together, are found by counting: those of their records that are like most of the node, or have no token
-    left, are compared with the whole node in slices, the others are branched again from where they are.
+    left, are compared with the whole node in slices, the others are branched again from where they are. Records whose common
+    tokens are all on the path by then would part at the next token: at nodes passed or branched again, those whose sizes and
+    the path's length prove the threshold are paired.
 
     As many independent trees grow as give ``recall`` to a pair at the threshold. What is returned is exact.
     """
@@ -229,8 +240,10 @@ def similar_classes(classes: DataFrame, threshold: float, recall: float = 0.995,
     todo = sets.select("cid", "toks", F.lit(0).cast("long").alias("root"), F.lit(0.0).alias("logp"), F.array().cast("array<long>").alias("used"), "b0")
     target, found, grown = small_node / n_classes, [], trees
     for turn in range(MAX_TURNS):
-        walk = lambda rows, emit: rows.mapInArrow(_paths(grown, seed + turn, BRANCHES, levels, target, emit), "node long, cid long, " + ("used array<long>" if emit else "n int, spent boolean, b0 long"))  # noqa: B023, E731
-        nodes = cut(walk(todo, False))
+        walk = lambda rows, emit: rows.mapInArrow(_paths(grown, seed + turn, BRANCHES, levels, target, emit, num, den), "node long, cid long, " + ("used array<long>" if emit else "n int, depth int, passing boolean, b0 long"))  # noqa: B023, E731
+        walked = cut(walk(todo, False))
+        nodes = walked.filter("not passing").drop("passing")
+        found.append(_proved(walked.filter("passing"), num, den))
         large = cut(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > small_node))
         n_large = large.count()
         if n_large <= BROADCAST_NODES:
@@ -243,8 +256,9 @@ def similar_classes(classes: DataFrame, threshold: float, recall: float = 0.995,
         each = held.join(sets.select("cid", "toks"), "cid").select("node", "cid", "n", "c", F.explode("toks").alias("t"))
         shared = each.groupBy("node", "t").agg(F.count(F.lit(1)).alias("k"))
         alike = each.join(shared, ["node", "t"]).groupBy("node", "cid").agg((F.sum("k") / F.first(F.col("c") * F.col("n"))).alias("alike"))
-        held = cut(held.join(alike, ["node", "cid"]).withColumn("dense", F.col("spent") | (F.col("alike") >= DENSE * threshold) | F.lit(turn == MAX_TURNS - 1)))
+        held = cut(held.join(alike, ["node", "cid"]).withColumn("dense", (F.col("depth") >= F.col("n")) | (F.col("alike") >= DENSE * threshold) | F.lit(turn == MAX_TURNS - 1)))
         found.append(_brute_against(held.filter("dense"), held, num, den))
+        found.append(_proved(held.filter("not dense"), num, den))
         rest = held.filter("not dense").select("node", "cid", "c")
         if rest.isEmpty():
             break
@@ -281,6 +295,18 @@ def _brute_against(some: DataFrame, nodes: DataFrame, num: int, den: int) -> Dat
     return pairs.select(F.least("x.cid", "y.cid").alias("cid_a"), F.greatest("x.cid", "y.cid").alias("cid_b"))
 
 
+def _proved(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of records at one node that share at least its path, where that with their sizes proves the threshold.
+
+    A record has n - depth tokens beside the path, and those of both may be depth * (den - num) / num at most. The join is on
+    the number of them too, so that it makes no other pair than those.
+    """
+    beside = rows.select("node", "cid", (F.col("n") - F.col("depth")).alias("e"), F.expr(f"cast(depth * {den - num}L div {num}L as int)").alias("most"))
+    a = beside.filter("2 * e <= most").select("node", F.col("cid").alias("x"), F.col("e").alias("ex"), F.explode(F.sequence("e", F.col("most") - F.col("e"))).alias("e"))
+    pairs = a.join(beside.select("node", "e", F.col("cid").alias("y")), ["node", "e"]).filter("ex < e or x < y")
+    return pairs.select(F.least("x", "y").alias("cid_a"), F.greatest("x", "y").alias("cid_b"))
+
+
 def similar_pairs(records: DataFrame, record: str, values: str, threshold: float, min_size: int = 1, recall: float = 0.995) -> DataFrame:
     """All pairs of records with Jaccard similarity ``threshold`` or more, copies included: (a, b, n_common, n_union), a < b.
 

@@ -81,6 +81,42 @@ def test_similar_pairs(spark, threshold, broadcast, ids, monkeypatch):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_similar_sets_of_popular_tokens_only(spark):
+    """Their common tokens are used up before the shares of these say that a node is small."""
+    r = random.Random(11)
+    sets = {i: [t for t in range(12) if r.random() < 0.4] + [100 + 6 * i + j for j in range(6)] for i in range(20_000)}
+    want = set()
+    for k in (4, 5, 6, 7, 8):
+        for _ in range(12):
+            base = r.sample(range(12), k)
+            both = [base, base + [10**6 + len(sets)]]
+            if k == 8:
+                both = [base + [10**6 + len(sets)], base + [10**7 + len(sets)]]
+            for b in both:
+                sets[len(sets)] = b
+            want.add((len(sets) - 2, len(sets) - 1))
+    df = spark.createDataFrame(list(sets.items()), "id long, toks array<long>").repartition(4)
+    got = {(x.a, x.b) for x in similar_sets.similar_pairs(df, "id", "toks", 0.8, 4).collect()}
+    assert len(want & got) >= 0.95 * len(want)
+    assert all(jaccard(set(sets[a]), set(sets[b])) >= 0.8 for a, b in got)
+
+
+def test_paths_do_not_depend_on_the_others_of_a_batch():
+    import numpy as np
+    import pyarrow as pa
+
+    def ends(rows, emit):
+        cid, used = [r[0] for r in rows], [r[1] for r in rows]
+        cols = [pa.array(cid), pa.array([list(range(12))] * len(rows)), pa.array([77] * len(rows)), pa.array([-0.5] * len(rows)), pa.array(used, pa.list_(pa.int64())), pa.array([0] * len(rows))]
+        walk = similar_sets._paths(2, 1, 2.5, np.full(similar_sets.BUCKETS, 8, "uint8"), 0.02, emit, 4, 5)
+        out = pa.Table.from_batches(list(walk([pa.RecordBatch.from_arrays(cols, names=list("abcdef"))]))).to_pylist()
+        return sorted((tuple(sorted(x.items(), key=str)) for x in out if x["cid"] == 1), key=str)
+
+    for emit in (False, True):
+        assert len(ends([(1, [3])], emit)) > 0
+        assert str(ends([(1, [3])], emit)) == str(ends([(1, [3]), (2, [0, 1, 2, 3, 4, 5])], emit))
+
+
 def test_similar_pairs_of_text_between_tables(spark):
     a = spark.createDataFrame([(1, ["a", "b", "c", "d", "e"]), (2, ["x"])], "id long, t array<string>")
     b = spark.createDataFrame([(1, ["a", "b", "c", "d", "e", None]), (2, ["a", "b", "c", "d", "f"]), (3, ["a", "b", "c", "d", "e", "g"])], "id long, t array<string>")
