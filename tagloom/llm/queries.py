@@ -32,6 +32,12 @@ def p1_lift(spark, d):
     return pairs.select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"), "n_a", "n_b", "n_ab", "n_baskets", F.round("lift", 6).alias("lift"), F.round("pmi", 6).alias("pmi"))
 
 
+def p1_pairs(spark, d):
+    """Every pair that files carry together, be it in one file only, with its count and lift as they are, not rounded."""
+    pairs = cooccurrence.cooccurrences(file_sets(spark, d), "fileid", "tagid_bitmap")
+    return pairs.select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"), "n_a", "n_b", "n_ab", "n_baskets", "lift")
+
+
 def p2_found(spark, d):
     pairs = similar_sets.similar_pairs(file_sets(spark, d), "fileid", "tagid_bitmap", SIMILARITY, MIN_MEMBERS)
     return pairs.select(F.col("a").alias("fileid_a"), F.col("b").alias("fileid_b"))
@@ -106,4 +112,4 @@ def p8_sentences(spark, d):
     return sentence.sentences(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_lift, p2_found, p2_classes, p4_found, p4_terms, p5_found, p5_redacted, p6_found, p6_leaks, p7_mixture, p7_shares, p8_found, p8_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_lift, p1_pairs, p2_found, p2_classes, p4_found, p4_terms, p5_found, p5_redacted, p6_found, p6_leaks, p7_mixture, p7_shares, p8_found, p8_sentences)}

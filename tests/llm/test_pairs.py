@@ -37,6 +37,14 @@ def test_cooccurrences_of_nothing(spark):
     assert cooccurrence.cooccurrences(df, "id", "items").count() == 0
 
 
+def test_all_pairs_of_tags_come_out(spark, rows, tmp_path):
+    import __spark_entry__ as entry
+
+    sets = spark.createDataFrame([(1, [1, 2, None]), (2, [2, 3, 1]), (3, []), (4, [4])], "fileid long, tagid_bitmap array<long>")
+    sets.withColumn("written_at", F.lit("2020-01-01").cast("timestamp")).write.parquet(f"{tmp_path}/relationship_roaring_fileid.parquet")
+    assert rows(entry.queries()["p1_pairs"](spark, str(tmp_path)).select("tag_a", "tag_b", "n_ab", "n_baskets", "lift")) == [(1, 2, 2, 3, 1.5), (1, 3, 1, 3, 1.5), (2, 3, 1, 3, 1.5)]
+
+
 def jaccard(a, b):
     return len(a & b) / len(a | b)
 
