@@ -506,6 +506,12 @@ def apply_actions_edges(spark, d):
     return ingest.apply_actions(c, _actions(spark, d)).filter("file_id % 20 < 6").select("file_id", "tag_id")
 
 
+@query
+def apply_actions_all(spark, d):
+    """The whole edge table after the actions."""
+    return ingest.apply_actions(catalog(spark, d), _actions(spark, d)).select("file_id", "tag_id")
+
+
 @query
 def ingest_tags_new_ids(spark, d):
     """Tags of posts, added to the graph: their text is split at commas and semicolons."""
@@ -543,6 +549,14 @@ def rel_add(spark, d):
     return ingest.add_edges(c, new).filter("file_id % 50 = 0").select("file_id", "tag_id")
 
 
+@query
+def rel_add_all(spark, d):
+    """The whole edge table with two tags, and one that isn't known, added to every file."""
+    c = catalog(spark, d)
+    new = c.files.select(F.col("id").alias("file_id"), F.explode(F.array(*[F.lit(i).cast("long") for i in (1, 2, 10**12)])).alias("tag_id"))
+    return ingest.add_edges(c, new).select("file_id", "tag_id")
+
+
 @query
 def rel_delete(spark, d):
     c = catalog(spark, d)
@@ -762,8 +776,17 @@ def page_fanout(spark, d):
 @query
 def chunk_by_10(spark, d):
     """Ids that aren't known yet, in lists of ten."""
-    c = catalog(spark, d)
-    fresh = c.tags.filter("id <= 100").join(c.parents.select(F.col("tag_id").alias("id")), "id", "left_anti").select("id")
+    return _chunks(catalog(spark, d), "id <= 100")
+
+
+@query
+def chunk_by_10_all(spark, d):
+    """All ids that aren't known yet, in lists of ten."""
+    return _chunks(catalog(spark, d), "true")
+
+
+def _chunks(c, which):
+    fresh = c.tags.filter(which).join(c.parents.select(F.col("tag_id").alias("id")), "id", "left_anti").select("id")
     from tagloom.operators.ids import dense_ids
 
     return dense_ids(fresh, ["id"], start=0, name="n").groupBy(F.floor(F.col("n") / 10).alias("chunk")).agg(F.array_join(F.sort_array(F.collect_list("id")).cast("array<string>"), ",").alias("ids"))
@@ -795,6 +818,12 @@ def put_tags(spark, d):
     return ingest.put_tags(c, _actions(spark, d)).filter("file_id % 20 < 6").select("file_id", "tag_id")
 
 
+@query
+def put_tags_all(spark, d):
+    """The whole edge table with the tags put."""
+    return ingest.put_tags(catalog(spark, d), _actions(spark, d)).select("file_id", "tag_id")
+
+
 @query
 def settings_put(spark, d):
     have = table(spark, d, "region").select(F.col("r_name").alias("name"), F.lit(None).cast("string").alias("description"), F.col("r_regionkey").cast("long").alias("num"), F.lit("a").alias("param"))

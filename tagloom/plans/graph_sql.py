@@ -141,6 +141,7 @@ f AS (SELECT * FROM l WHERE (time, reptime, site, param) NOT IN (SELECT (time, r
     "job_param_json": "SELECT event_id AS id, CAST(props ->> '$.k' AS BIGINT) AS k FROM events",
     "skip_if_file_tag": _g("SELECT id FROM jobs WHERE k NOT IN (SELECT tag_id FROM rel)"),
     "should_download_urls": _g("SELECT url FROM mirrors WHERE url NOT IN (SELECT url FROM dead)"),
+    "apply_actions_all": _g("SELECT file_id, tag_id FROM (SELECT file_id, tag_id FROM rel UNION SELECT file_id, tag_id FROM added) WHERE (file_id, tag_id) NOT IN (SELECT (file_id, tag_id) FROM gone)", _ACTIONS),
     "apply_actions_edges": _g("SELECT file_id, tag_id FROM (SELECT file_id, tag_id FROM rel UNION SELECT file_id, tag_id FROM added) WHERE file_id % 20 < 6 AND (file_id, tag_id) NOT IN (SELECT (file_id, tag_id) FROM gone)", _ACTIONS),
     "ingest_tags_new_ids": _g(
         """SELECT id, ns, name, CASE WHEN ns = 'post' THEN 1 ELSE coalesce((SELECT count(*) FROM parents p WHERE p.tag_id = t.id), 0) END AS n_parents FROM (SELECT id, ns, name FROM tag0 UNION ALL
@@ -159,6 +160,7 @@ UNION ALL SELECT (SELECT max(id) FROM gfiles) + row_number() OVER (ORDER BY hash
     ),
     "parents_dedupe_nullsafe": _g("SELECT * FROM parents UNION SELECT tag_id, relate_tag_id, NULL FROM parents"),
     "rel_add": _g("SELECT file_id, tag_id FROM rel WHERE file_id % 50 = 0 UNION SELECT f.id, t.id FROM gfiles f, (SELECT unnest([1, 2]) AS id) t WHERE f.id % 50 = 0"),
+    "rel_add_all": _g("SELECT file_id, tag_id FROM rel UNION SELECT f.id, t.id FROM gfiles f, (SELECT unnest([1, 2]) AS id) t"),
     "rel_delete": _g("SELECT file_id, tag_id FROM rel WHERE file_id % 10 = 0"),
     "tag_cascade_delete": _g("SELECT DISTINCT tag_id, relate_tag_id, CASE WHEN limit_to % 3 <> 0 THEN limit_to END AS limit_to FROM parents WHERE tag_id % 3 <> 0 AND relate_tag_id % 3 <> 0"),
     "namespace_cascade_delete": _g("SELECT namespace, count(*) AS n FROM rel WHERE namespace <> (SELECT id FROM namespace WHERE name = 'type') GROUP BY namespace"),
@@ -196,6 +198,7 @@ UNION ALL SELECT (SELECT max(id) FROM gfiles) + row_number() OVER (ORDER BY hash
     "comment_scopes": "SELECT c.id, c.post_id, c.commenter, concat_ws('/', p.service, p.user_id) AS scope FROM (SELECT DISTINCT id, post_id, commenter FROM comment_item WHERE commenter IS NOT NULL) c JOIN (SELECT DISTINCT id, user_id, service FROM post_item) p ON c.post_id = p.id",
     "page_fanout": "SELECT job, unnest(range(0, 256, 50)) AS offset FROM range(1, 4) t(job)",
     "chunk_by_10": _g("SELECT (n - 1) // 10 AS chunk, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM (SELECT id, row_number() OVER (ORDER BY id) AS n FROM gtags WHERE id <= 100 AND id NOT IN (SELECT tag_id FROM parents)) GROUP BY 1"),
+    "chunk_by_10_all": _g("SELECT (n - 1) // 10 AS chunk, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM (SELECT id, row_number() OVER (ORDER BY id) AS n FROM gtags WHERE id NOT IN (SELECT tag_id FROM parents)) GROUP BY 1"),
     "search_addresses": "SELECT DISTINCT id, 'https://s.example/posts?tags=' || array_to_string(list_sort(regexp_split_to_array(tags, ' *[,;] *')), '+') || '&page=1' AS url FROM post_item WHERE tags IS NOT NULL",
     "policy_search": _g(
         f"SELECT h.file_id FROM h JOIN gfiles f ON f.id = h.file_id WHERE f.extension IN ('f', 'o') AND h.file_id NOT IN (SELECT file_id FROM rel WHERE tag_id IN (SELECT id FROM tag0 WHERE lower(name) = 'small')) AND h.file_id IN (SELECT file_id FROM rel WHERE tag_id = {_B2})",
@@ -203,6 +206,7 @@ UNION ALL SELECT (SELECT max(id) FROM gfiles) + row_number() OVER (ORDER BY hash
     ),
     "edge_membership": _g(f"SELECT f.id AS file_id, {_B2} AS tag_id, f.id IN (SELECT file_id FROM rel WHERE tag_id = {_B2}) AS present FROM gfiles f WHERE f.id % 100 = 0"),
     "put_tags": _g("SELECT file_id, tag_id FROM rel WHERE file_id % 20 < 6 UNION SELECT file_id, tag_id FROM act", _ACTIONS),
+    "put_tags_all": _g("SELECT file_id, tag_id FROM rel UNION SELECT file_id, tag_id FROM act", _ACTIONS),
     "settings_put": "SELECT r_name AS name, NULL AS description, r_regionkey AS num, CASE WHEN r_regionkey % 2 = 0 THEN 'b' ELSE 'a' END AS param FROM region UNION ALL SELECT 'NEW', 'd', NULL, NULL",
     "setting_get": "SELECT r_name AS name, r_regionkey AS num FROM region WHERE r_name = 'ASIA'",
     "dead_url_add": _g("SELECT url FROM dead UNION SELECT url FROM mirrors WHERE url LIKE '%1'"),

@@ -189,3 +189,20 @@ def test_snapshot_round_trip(c, spark, rows, tmp_path):
     assert rows(back.rel) == rows(c.rel) and rows(back.files) == rows(c.files)
     plan = back.rel.filter("namespace = 1")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(namespace" in plan
+
+
+def test_queries_on_edges_give_whole_tables(spark, rows, monkeypatch):
+    from tagloom.plans import graph_queries as g
+
+    whole = TagCatalog.empty(spark)
+    whole.namespace = spark.createDataFrame([(1, "color", None)], "id long, name string, description string")
+    whole.tags = spark.createDataFrame([(i, f"t{i}", 1, 1) for i in [*range(1, 13), 150, 151]], "id long, name string, namespace long, count long")
+    whole.rel = spark.createDataFrame([(1, 3, 1), (7, 3, 1), (19, 4, 1), (50, 1, 1)], REL)
+    whole.files = spark.createDataFrame([(i, f"h{i}", "x", 1, 1) for i in (1, 7, 19, 50)], "id long, hash string, extension string, storage_id long, size_bytes long")
+    whole.parents = spark.createDataFrame([(2, 3, None)], "tag_id long, relate_tag_id long, limit_to long")
+    monkeypatch.setattr(g, "catalog", lambda spark, d: whole)
+    monkeypatch.setattr(g, "_actions", lambda spark, d: action(spark, [(1, "Add", [("t4", "color", "Normal")]), (19, "Del", [("t4", "color", "Normal")])]))
+    assert rows(g.QUERIES["apply_actions_all"](spark, "")) == [(1, 3), (1, 4), (50, 1), (7, 3)]
+    assert rows(g.QUERIES["put_tags_all"](spark, "")) == [(1, 3), (1, 4), (19, 4), (50, 1), (7, 3)]
+    assert rows(g.QUERIES["rel_add_all"](spark, "")) == sorted({(1, 3), (7, 3), (19, 4)} | {(f, t) for f in (1, 7, 19, 50) for t in (1, 2)}, key=repr)
+    assert rows(g.QUERIES["chunk_by_10_all"](spark, "")) == [(0, "1,3,4,5,6,7,8,9,10,11"), (1, "12,150,151")]
