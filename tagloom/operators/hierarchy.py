@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,15 +44,15 @@ def scope_exists(c: TagCatalog, parent: int, limit_to: int) -> DataFrame:
     return hit.agg((F.count(F.lit(1)) > 0).alias("found"))
 
 
-def closure(edges: DataFrame, child: str, parent: str, max_rounds: int = 30) -> DataFrame:
+def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """All (``child``, ancestor, depth), depth the least number of steps; cycles end where they began.
 
-    A round joins only what the last one added, and drops what is known already.
+    A round joins only what the last one added, and drops what is known already, so the rounds end by themselves.
     """
     step = cut(edges.select(F.col(child).alias("_c"), F.col(parent).alias("_p")).filter("_c is not null and _p is not null").distinct())
     known = step.select("_c", F.col("_p").alias("_a"), F.lit(1).alias("_d"))
     fresh = known
-    for depth in range(2, max_rounds + 1):
+    for depth in count(2):
         grown = fresh.select("_c", F.col("_a").alias("_m")).join(step.select(F.col("_c").alias("_m"), F.col("_p").alias("_a")), "_m").select("_c", "_a").distinct()
         fresh = cut(grown.join(known, ["_c", "_a"], "left_anti").select("_c", "_a", F.lit(depth).alias("_d")))
         if fresh.isEmpty():

@@ -77,6 +77,12 @@ def test_hierarchy(c, spark, rows):
     assert rows(hierarchy.closure(loop, "a", "b")) == sorted([(a, (a - 1 + d) % 3 + 1, d) for a in (1, 2, 3) for d in (1, 2, 3)], key=repr)
 
 
+def test_closure_of_a_long_chain(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(33)], "a long, b long").coalesce(1)
+    far = hierarchy.closure(chain, "a", "b").filter("a = 0").agg(F.count(F.lit(1)), F.max("depth")).first()
+    assert tuple(far) == (33, 33)
+
+
 def test_scores_as_documented(spark):
     cases = [("kitten", "sitten", 3), ("kitten", "xxxxxx-long-name", None), ("猫", "猫", 0), ("猫", "犬犬犬", None), ("fem", "female", 0), ("male", "female", 1), ("猫", "黒猫", 1)]
     df = spark.createDataFrame([(q, n, textsearch.allowed_distance(q), s) for q, n, s in cases], "q string, n string, d int, want int")
