@@ -93,7 +93,8 @@ def mixture(docs: DataFrame, doc_id: str, source: str, tokens: str, targets: Dat
 
     * (doc_id, source, repeat, n_tokens, slot, place): the mixture in the order of (slot, place); ``repeat`` counts a
       document's uses from 0;
-    * (source, target_share, max_repeats, available_tokens, n_docs, mixed_tokens, reached_share), one row per target.
+    * (source, target_share, max_repeats, available_tokens, n_docs, block_tokens, mixed_tokens, reached_share), one row per target; block_tokens is the
+      size of the blocks that were scheduled, which bounds how far the order strays from the shares.
 
     The mixture is the largest in which no document is used more than max_repeats times: its size is the least of
     max_repeats * tokens / share over the sources that have tokens. With ``total_tokens`` the mixture has that size instead, and
@@ -123,8 +124,8 @@ def mixture(docs: DataFrame, doc_id: str, source: str, tokens: str, targets: Dat
     quota = {s: max(1, min(int(share[s] * size), wanted[s][1] * have[s][0])) for s in share}
     block = max(block_tokens, -(-int(size) // MAX_BLOCKS))
     out_schema = f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, source string, repeat long, n_tokens long, slot long, place long"
-    report = [(s, float(w), m, have.get(s, (0, 0))[0], have.get(s, (0, 0))[1]) for s, (w, m) in sorted(wanted.items())]
-    report = spark.createDataFrame(report, "source string, target_share double, max_repeats long, available_tokens long, n_docs long")
+    report = [(s, float(w), m, have.get(s, (0, 0))[0], have.get(s, (0, 0))[1], block) for s, (w, m) in sorted(wanted.items())]
+    report = spark.createDataFrame(report, "source string, target_share double, max_repeats long, available_tokens long, n_docs long, block_tokens long")
     if not share:
         mixed = spark.createDataFrame([], out_schema)
     else:

@@ -26,6 +26,13 @@ def test_mixture_reaches_its_shares(spark):
         assert abs(have["small"] - total / 3) < 2 * block
 
 
+def test_mixture_reports_its_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_BLOCKS", 10)
+    docs = [(i, "big", 10, "") for i in range(100)] + [(1000 + i, "small", 10, "") for i in range(5)]
+    _, shares = mix(spark, docs, total_tokens=900, block_tokens=50)
+    assert {r.block_tokens for r in shares.collect()} == {90}
+
+
 def test_mixture_of_a_given_size_and_of_nothing(spark):
     docs = [(i, "big", 10, "") for i in range(100)] + [(1000 + i, "small", 10, "") for i in range(5)]
     _, shares = mix(spark, docs, total_tokens=900, block_tokens=50)
