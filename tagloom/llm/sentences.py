@@ -22,6 +22,7 @@ TRAINING_BLOCKS = 6000
 # Marks that may end a sentence, quotes and brackets.
 _MARKS = ".!?…。！？｡．؟।॥;\u037e"
 _PAIRS = {"“": "”", "„": "“”", "«": "»", "(": ")", "[": "]", "（": "）", "「": "」", "『": "』", "【": "】", "《": "》", "〈": "〉", "‹": "›"}
+_OPENERS = {c: [o for o in [*_PAIRS, '"'] if c in _PAIRS.get(o, '"')] for c in {'"', *"".join(_PAIRS.values())}}
 _CLOSERS = "\"”“»)]）」』】》〉›"
 _SPACES = "    "
 _END = regex.compile(rf"[{regex.escape(_MARKS)}]+")
@@ -44,18 +45,18 @@ def _script(ch: str) -> str:
 def enclosed(block: str) -> list[tuple[int, int]]:
     """Outermost quotations and brackets of a block that are closed in it, as (start, end) in order."""
     stack: list[tuple[str, int]] = []
+    opened: dict[str, list[int]] = {}  # where in the stack each kind of opener lies
     spans = []
     for m in _QUOTES.finditer(block):
         ch, at = m[0], m.start()
-        for k in range(len(stack) - 1, max(-1, len(stack) - 4), -1):
-            opener, start = stack[k]
-            if ch == '"' == opener or opener != '"' and ch in _PAIRS[opener]:
-                spans.append((start, at + 1))
-                del stack[k:]
-                break
-        else:
-            if ch in _PAIRS or ch == '"' and block[at + 1:at + 2].strip():
-                stack.append((ch, at))
+        k = max((opened[o][-1] for o in _OPENERS.get(ch, ()) if opened.get(o)), default=-1)
+        if k >= 0:
+            spans.append((stack[k][1], at + 1))
+            while len(stack) > k:
+                opened[stack.pop()[0]].pop()
+        elif ch in _PAIRS or ch == '"' and block[at + 1:at + 2].strip():
+            opened.setdefault(ch, []).append(len(stack))
+            stack.append((ch, at))
     spans.sort(key=lambda s: (s[0], -s[1]))
     out: list[tuple[int, int]] = []
     for s in spans:

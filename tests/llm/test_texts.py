@@ -42,6 +42,10 @@ def test_mixture_of_a_given_size_and_of_nothing(spark):
     assert mixed.count() == 0 and shares.count() == 4 and shares.filter("mixed_tokens > 0").count() == 0
 
 
+def test_a_quotation_ends_behind_any_number_of_unclosed_brackets():
+    assert sentences.enclosed("«one (two [three 【four. five» six.") == [(0, 29)]
+
+
 def test_slots_never_lag_a_block():
     from fractions import Fraction as Fr
 
