@@ -94,3 +94,11 @@ def test_streams_drop_repeats_and_count_windows(spark, tmp_path, rows):
         q.awaitTermination(60)
     assert rows(spark.sql("select url from urls")) == [("u0",), ("u1",)]
     assert rows(spark.sql("select n from act")) == [(3,)]
+
+
+def test_all_digests_of_documents(spark, rows, tmp_path):
+    from tagloom.plans.graph_queries import QUERIES
+
+    spark.createDataFrame([(1, "aé"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.algorithm: r.digest.lower() for r in QUERIES["hash_columns_all"](spark, str(tmp_path)).collect()}
+    assert got == {a: hashlib.new(a, "aé".encode()).hexdigest() for a in ("MD5", "SHA1", "SHA256", "SHA512")}
