@@ -26,11 +26,23 @@ def test_mixture_reaches_its_shares(spark):
         assert abs(have["small"] - total / 3) < 2 * block
 
 
-def test_mixture_reports_its_blocks(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "MAX_BLOCKS", 10)
-    docs = [(i, "big", 10, "") for i in range(100)] + [(1000 + i, "small", 10, "") for i in range(5)]
-    _, shares = mix(spark, docs, total_tokens=900, block_tokens=50)
-    assert {r.block_tokens for r in shares.collect()} == {90}
+def test_mixture_does_not_depend_on_how_the_work_is_parted(spark):
+    docs = [(i, "big", 7 + i % 5, "") for i in range(4000)] + [(10_000 + i, "small", 10, "") for i in range(50)]
+    rows = lambda **more: sorted(tuple(r) for r in mix(spark, docs, total_tokens=10_000, block_tokens=64, **more)[0].collect())
+    want = rows(rows_per_task=200_000)
+    assert len({r[0] for r in want}) > 700
+    assert rows(rows_per_task=100) == rows(rows_per_task=7) == want
+    assert sorted(r[:4] + r[5:] for r in rows(period=16)) == sorted(r[:4] + r[5:] for r in want)
+
+
+def test_blocks_stay_as_small_as_asked_for(spark):
+    docs = [(i, "big", 10**9, "") for i in range(30)] + [(1000 + i, "small", 10**9, "") for i in range(5)]
+    mixed, shares = mix(spark, docs, block_tokens=10**7)
+    assert {r.block_tokens for r in shares.collect()} == {10**7}
+    have = {"big": 0, "small": 0}
+    for r in mixed.orderBy("slot", "place").collect():
+        have[r.source] += r.n_tokens
+        assert abs(have["small"] - sum(have.values()) / 3) < 10**7 + 10**9
 
 
 def test_mixture_of_a_given_size_and_of_nothing(spark):
@@ -47,14 +59,26 @@ def test_a_quotation_ends_behind_any_number_of_unclosed_brackets():
 
 
 def test_slots_never_lag_a_block():
-    from fractions import Fraction as Fr
-
-    shares = {"a": Fr(1, 2), "b": Fr(3, 10), "c": Fr(3, 20), "d": Fr(1, 20)}
-    have = dict.fromkeys(shares, 0)
-    for t, (s, k) in enumerate(mixing.pfair_slots(shares, 4000), 1):
-        assert k == have[s]
-        have[s] += 1
-        assert all(abs(have[x] - w * t) < 1 for x, w in shares.items())
+    blocks = [2000, 1200, 600, 200, 0]
+    have = [0] * 5
+    for t, i in enumerate(mixing.pfair_slots(blocks), 1):
+        have[i] += 1
+        assert all(abs(h - b * t / 4000) < 1 for h, b in zip(have, blocks))
+    assert have == blocks
+
+
+def test_periods_meet():
+    import random
+
+    r = random.Random(5)
+    for _ in range(300):
+        blocks = [r.choice([0, 1, 2, r.randint(1, 400)]) for _ in range(r.randint(1, 8))] + [1]
+        n, period = sum(blocks), r.choice([1, 2, 7, 50])
+        starts = list(mixing.period_starts(blocks, period))
+        assert starts[-1] == blocks
+        for t, (a, b) in zip(range(0, n, period), zip(starts, starts[1:])):
+            assert all(x <= y for x, y in zip(a, b)) and sum(b) == min(n, t + period)
+            assert all(abs(y - w * min(n, t + period) / n) < 1 for y, w in zip(b, blocks))
 
 
 def test_token_counts(spark):
