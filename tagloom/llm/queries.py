@@ -27,8 +27,8 @@ def p1_found(spark, d):
 
 
 def p1_lift(spark, d):
-    """Every pair in at least MIN_TOGETHER files, with its lift and mutual information."""
-    pairs = cooccurrence.cooccurrences(file_sets(spark, d), "fileid", "tagid_bitmap", MIN_TOGETHER)
+    """Every pair that files carry together, with its lift and mutual information."""
+    pairs = cooccurrence.cooccurrences(file_sets(spark, d), "fileid", "tagid_bitmap")
     return pairs.select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"), "n_a", "n_b", "n_ab", "n_baskets", F.round("lift", 6).alias("lift"), F.round("pmi", 6).alias("pmi"))
 
 

@@ -32,6 +32,15 @@ def test_cooccurrences(spark, min_count, lift):
     assert got == want
 
 
+@pytest.mark.parametrize("min_count", [1, 2])
+def test_a_huge_basket_is_taken_apart(spark, min_count):
+    baskets = [list(range(50)), list(range(20, 45)), [3], [7, 8, 9, 10, 11, 12, 13, 14], list(range(0, 50, 3))]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(baskets)], "id long, items array<long>")
+    _, n, both = brute_pairs(baskets)
+    got = {(x.item_a, x.item_b): (x.n_a, x.n_b, x.n_ab) for x in cooccurrence.cooccurrences(df, "id", "items", min_count, block=4).collect()}
+    assert got == {(a, b): (n[a], n[b], c) for (a, b), c in both.items() if c >= min_count}
+
+
 def test_cooccurrences_of_nothing(spark):
     df = spark.createDataFrame([], "id long, items array<long>")
     assert cooccurrence.cooccurrences(df, "id", "items").count() == 0
