@@ -1,8 +1,8 @@
 """Per-key results where a few keys hold most of the rows.
 
-Nothing here gathers the rows of one key. Values are counted per (key, value) with map-side combining; the counts are then
-summed into ever coarser bins, and a rank is resolved by walking that pyramid of histograms from the top down, one
-refinement a level. A level looks at no more than ``2 ** FAN_BITS`` bins per key and target, whatever the key holds.
+Nothing here gathers the rows of one key. A rank is resolved by histograms that are refined level by level: each level
+counts, map side first, the bins inside the one that the rank is in, no more than ``2 ** FAN_BITS`` of them for a key and
+target, whatever the key holds. For quantiles per key the levels are sums of one table of counts by key and value.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from tagloom.util import cut, ratio, whole
 
 #: Children a histogram bin is split into at each refinement, as a power of two.
 FAN_BITS = 10
+#: Keys are heavy from one row in so many on, at the least.
+MAX_RANKS = 10_000
 
 _FLIP = np.int64(0x7FFF_FFFF_FFFF_FFFF)
 
@@ -96,39 +98,70 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     rows = df.select(*[F.coalesce(F.to_json(F.struct(F.col(k).alias("k"))), F.lit("{}")).alias(f"_k{i}") for i, k in enumerate(keys)],
                      *[F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)],
                      _to_long(F.col(value), kind).alias("_v"), (F.lit(1) if weight is None else weight).cast("long").alias("_w"))
-    safe = [f"_k{i}" for i in range(len(keys))]
+    safe = [f"_k{i}" for i in range(len(keys))] or ["_k"]
+    if not keys:
+        rows = rows.withColumn("_k", F.lit(""))
     firsts = [F.first(f"_o{i}").alias(f"_o{i}") for i in range(len(keys))]
-    counts = cut(rows.filter(F.col("_v").isNotNull()).groupBy(F.lit(0).alias("_g"), *safe, "_v").agg(F.sum("_w").alias("_n"), *firsts))
-    sizes = counts.groupBy("_g", *safe).agg(F.sum("_n").alias("n"), *firsts)
+    counts = cut(rows.filter(F.col("_v").isNotNull()).groupBy(*safe, "_v").agg(F.sum("_w").alias("_n"), *firsts))
+    sizes = counts.groupBy(*safe).agg(F.sum("_n").alias("n"), *firsts)
     wanted = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(ratio(p)[0]).cast("long").alias("a"), F.lit(ratio(p)[1]).cast("long").alias("b")) for p in probs]))
     targets = (
         sizes.select("*", wanted.alias("_p"))
         .withColumn("_rank", F.greatest(F.lit(1).cast("long"), F.ceil(whole(F.col("n")) * F.col("_p.a") / F.col("_p.b")).cast("long")))
-        .select("_g", *safe, "_rank", F.struct("_p.p", "n", *[f"_o{i}" for i in range(len(keys))]).alias("_t"))
+        .select(*safe, "_rank", F.struct("_p.p", "n", *[f"_o{i}" for i in range(len(keys))]).alias("_t"))
     )
-    found = select_ranks(counts, targets, ["_g", *safe])
+    found = select_ranks(counts, targets, safe)
     return found.select(*[F.col(f"_t._o{i}").alias(k) for i, k in enumerate(keys)], F.col("_t.p").alias("prob"), F.col("_t.n").alias("n"), _from_long(F.col("_v"), kind).alias(value))
 
 
 def heavy_keys(df: DataFrame, key: str, min_share: float) -> DataFrame:
     """Keys that hold at least ``min_share`` of all rows: (``key``, n_rows long).
 
-    A key with s rows or more fills s neighbouring ranks of the sorted keys, so one of the ranks s, 2s, 3s ... falls on it:
-    these ranks are selected by histogram refinement, and the few values found are checked against their exact counts.
+    A key with s rows or more fills s neighbouring ranks of the sorted keys, so one of the ranks s, 2s, 3s ... falls on it.
+    These ranks are selected top down: rows are counted in coarse bins of their keys' values, each rank is in one of them,
+    the rows of these bins alone are counted in finer bins, and so on until a bin is a single value, whose count is exact by
+    then. Keys are never counted one by one; a pass brings at most ``2 ** FAN_BITS`` counts for each rank, of which there
+    are 1 / min_share at most (MAX_RANKS, else it is refused). A bin of fewer than s rows holds no such key and is let go.
+
     All rows count, repeated ones too; rows with a null key count in the total but are no key. An empty table gives no row.
+    Keys that aren't whole numbers are ordered by their hash; the few found are counted once more by themselves.
     """
-    kind = df.schema[key].dataType
-    as_long = _to_long(F.col(key), kind) if isinstance(kind, T.IntegralType) else F.xxhash64(key)
-    counts = cut(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).withColumn("_v", F.when(F.col(key).isNotNull(), as_long)).withColumn("_g", F.lit(0)))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
     a, b = ratio(min_share)
-    step = max(1, -(-a * total // b))
-    known = counts.filter(F.col("_v").isNotNull())
-    by_value = known.groupBy("_g", "_v").agg(F.sum("_n").alias("_n"))
-    held = known.agg(F.sum("_n")).first()[0] or 0
-    targets = df.sparkSession.range(1, held // step + 1).select(F.lit(0).alias("_g"), F.col("id").alias("_t"), (F.col("id") * step).alias("_rank"))
-    found = select_ranks(by_value, targets, ["_g"]).select("_v").distinct()
-    return known.join(found, "_v", "left_semi").filter(F.col("_n") >= step).select(key, F.col("_n").alias("n_rows"))
+    if a <= 0 or b > a * MAX_RANKS:
+        raise ValueError(f"a share of 1 / {MAX_RANKS} at least, not {min_share}")
+    spark, kind = df.sparkSession, df.schema[key].dataType
+    own = isinstance(kind, T.IntegralType)
+    rows = df.select(F.col(key).alias("_key"), F.when(F.col(key).isNotNull(), F.col(key).cast("long") if own else F.xxhash64(key)).alias("_v"))
+    span = rows.agg(F.count(F.lit(1)).alias("all"), F.count("_v").alias("held"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).first()
+    step = max(1, -(-a * span["all"] // b))
+    ranks = np.arange(step, span.held + 1, step, dtype="int64")
+    schema = T.StructType([T.StructField(key, kind), T.StructField("n_rows", T.LongType())])
+    shift = 0
+    while len(ranks) and (span.hi >> shift) - (span.lo >> shift) >= 1 << FAN_BITS:
+        shift += FAN_BITS
+    # Of each rank the bin it is in, and its rank among the rows of that bin.
+    inside, found = np.zeros(len(ranks), "int64"), {}
+    while len(ranks):
+        here = rows.filter("_v is not null") if not found else rows.filter(F.shiftright("_v", shift + FAN_BITS).isin(list(found)))
+        got = here.groupBy(F.shiftright("_v", shift).alias("bin")).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("bin")
+        bins, n = got["bin"].to_numpy("int64"), got["n"].to_numpy("int64")
+        # The bins of one parent lie side by side; ranks count from the parent's first row.
+        upper = bins >> FAN_BITS if found else np.zeros(len(bins), "int64")
+        running = np.cumsum(n)
+        before = (running - n)[np.searchsorted(upper, inside, "left")] if len(bins) else inside
+        at = np.searchsorted(running, ranks + before, "left")
+        ranks, inside, large = ranks + before - (running - n)[at], bins[at], n[at] >= step
+        ranks, inside = ranks[large], inside[large]
+        found = dict(zip(bins[at][large].tolist(), n[at][large].tolist()))
+        if not shift:
+            break
+        shift -= FAN_BITS
+    if not len(ranks):
+        return spark.createDataFrame([], schema)
+    if own:
+        return spark.createDataFrame(sorted(found.items()), schema)
+    counted = rows.filter(F.col("_v").isin(list(found))).groupBy("_key").agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") >= step)
+    return counted.select(F.col("_key").alias(key), "n_rows")
 
 
 def distinct_members(df: DataFrame, key: str, members: str, min_share: float) -> DataFrame:

@@ -45,6 +45,31 @@ def test_heavy_keys_agree_with_counting(spark, rows, share):
     assert sorted(map(tuple, heavy_keys(df, "k", share).collect())) == want
 
 
+def test_heavy_keys_far_apart(spark, rows):
+    r = random.Random(8)
+    keys = [-2**63] * 50 + [2**63 - 1] * 50 + [0] * 30 + [1] * 49 + [r.randint(-2**63, 2**63 - 1) for _ in range(821)]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    assert rows(heavy_keys(df, "k", 0.05)) == [(-2**63, 50), (2**63 - 1, 50)]
+    assert rows(heavy_keys(df, "k", 0.03)) == [(-2**63, 50), (0, 30), (1, 49), (2**63 - 1, 50)]
+    with pytest.raises(ValueError):
+        heavy_keys(df, "k", 1e-9)
+
+
+def test_heavy_keys_need_the_ranks(spark, rows, monkeypatch):
+    """Without the ranks that the selection follows no bin is refined, and nothing is found."""
+    from tagloom.operators import skew
+
+    df = spark.createDataFrame([(k,) for k in [5] * 50 + list(range(10**6, 10**6 + 50))], "k long")
+    assert rows(heavy_keys(df, "k", 0.5)) == [(5, 50)]
+    monkeypatch.setattr(skew.np, "arange", lambda *a, **k: skew.np.zeros(0, "int64"))
+    assert rows(heavy_keys(df, "k", 0.5)) == []
+
+
+def test_quantiles_without_a_key(spark, rows):
+    df = spark.createDataFrame([(i,) for i in range(101)], "v long")
+    assert rows(exact_quantiles(df, [], "v", [0.5])) == [(0.5, 101, 50)]
+
+
 def test_heavy_keys_of_text_ties_and_nothing(spark, rows):
     df = spark.createDataFrame([("a",)] * 5 + [("b",)] * 5, "k string")
     assert rows(heavy_keys(df, "k", 0.5)) == [("a", 5), ("b", 5)]
