@@ -45,6 +45,8 @@ SQL = {
     "p1_lift": f"{_ALL_PAIRS} SELECT tag_a, tag_b, x.n AS n_a, y.n AS n_b, n_ab, t.n AS n_baskets, round(n_ab::DOUBLE * t.n / (x.n::DOUBLE * y.n), 6) AS lift, round(log2(n_ab::DOUBLE * t.n / (x.n::DOUBLE * y.n)), 6) AS pmi FROM p JOIN c x ON x.tag = tag_a JOIN c y ON y.tag = tag_b, t",
     "p1_pairs": f"{_ALL_PAIRS} SELECT tag_a, tag_b, x.n AS n_a, y.n AS n_b, n_ab, t.n AS n_baskets, n_ab::DOUBLE * t.n / (x.n::DOUBLE * y.n) AS lift FROM p JOIN c x ON x.tag = tag_a JOIN c y ON y.tag = tag_b, t",
     "p2_found": f"{_SIMILAR} SELECT least(x.fileid, y.fileid) AS fileid_a, greatest(x.fileid, y.fileid) AS fileid_b FROM (SELECT a, b FROM l UNION ALL SELECT cid, cid FROM k) q JOIN g x ON x.cid = q.a JOIN g y ON y.cid = q.b WHERE q.a < q.b OR x.fileid < y.fileid",
+    "p2_between": f"""{_SIMILAR}, q AS (SELECT x.fileid AS a, y.fileid AS b FROM (SELECT a, b FROM l UNION ALL SELECT b, a FROM l UNION ALL SELECT cid, cid FROM k) q JOIN g x ON x.cid = q.a JOIN g y ON y.cid = q.b WHERE x.fileid % 20 = 0 AND y.fileid % 20 <> 0)
+SELECT q.a AS fileid, q.b AS other, len(list_intersect(x.tags, y.tags)) AS n_common, len(x.tags) + len(y.tags) - len(list_intersect(x.tags, y.tags)) AS n_union FROM q JOIN f x ON x.fileid = q.a JOIN f y ON y.fileid = q.b""",
     "p2_classes": f"{_SIMILAR}, d AS (SELECT cid, count(*) AS n FROM (SELECT a AS cid FROM l UNION ALL SELECT b FROM l) GROUP BY cid) SELECT g.fileid, g.cid AS class_id, count(*) OVER (PARTITION BY g.cid) AS n_copies, coalesce(d.n, 0) AS n_links FROM g LEFT JOIN d ON g.cid = d.cid",
     "p4_found": f"{_NAMES} SELECT normalized_name, mark FROM r WHERE mark IS NOT NULL",
     "p4_terms": f"{_NAMES} SELECT normalized_name, total, n_tags, mark FROM r",

@@ -43,6 +43,14 @@ def p2_found(spark, d):
     return pairs.select(F.col("a").alias("fileid_a"), F.col("b").alias("fileid_b"))
 
 
+def p2_between(spark, d):
+    """Similar files of two tables: those whose id is divisible by 20 as one, and all others as the other; one row per pair."""
+    sets = cut(file_sets(spark, d))
+    asked, rest = sets.filter("fileid % 20 = 0"), sets.filter("fileid % 20 <> 0")
+    pairs = similar_sets.similar_pairs_between(asked, rest, "fileid", "tagid_bitmap", SIMILARITY, MIN_MEMBERS)
+    return pairs.select(F.col("a").alias("fileid"), F.col("b").alias("other"), "n_common", "n_union")
+
+
 def p2_classes(spark, d):
     """One row per file: its class of equal sets, the class's size, and the number of other classes similar to it."""
     member, classes = similar_sets.set_classes(file_sets(spark, d), "fileid", "tagid_bitmap", MIN_MEMBERS)
@@ -112,4 +120,4 @@ def p8_sentences(spark, d):
     return sentence.sentences(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_lift, p1_pairs, p2_found, p2_classes, p4_found, p4_terms, p5_found, p5_redacted, p6_found, p6_leaks, p7_mixture, p7_shares, p8_found, p8_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_lift, p1_pairs, p2_found, p2_classes, p2_between, p4_found, p4_terms, p5_found, p5_redacted, p6_found, p6_leaks, p7_mixture, p7_shares, p8_found, p8_sentences)}

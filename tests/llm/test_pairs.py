@@ -86,7 +86,7 @@ def noisy_sets(r, n):
 
 @pytest.mark.parametrize("threshold, broadcast, ids", [(0.8, "10m", 10**6), (0.6, "10m", 10**6), (0.8, "1k", 10**6), (0.8, "1k", 0), (0.8, "-1", 0)])
 def test_similar_pairs(spark, threshold, broadcast, ids, monkeypatch):
-    monkeypatch.setattr(similar_sets, "BROADCAST_NODES", ids)
+    monkeypatch.setattr(similar_sets, "BROADCAST_ROWS", ids)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     sets = noisy_sets(random.Random(7), 600)
     df = spark.createDataFrame([(k, v, 1) for k, v in sets.items()] + [(None, [1, 2, 3, 4, 5], 1)], "id long, toks array<long>, cid int")
@@ -118,20 +118,49 @@ def test_similar_sets_of_popular_tokens_only(spark):
     assert all(jaccard(set(sets[a]), set(sets[b])) >= 0.8 for a, b in got)
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
+def test_recall_at_the_threshold(spark, threshold):
+    """Pairs that are no more similar than they must be, among others, with tokens that are rare, frequent, and frequent together."""
+    r = random.Random(13)
+    frequent = lambda: r.sample(range(40), r.randint(0, 5))
+    sets, want = {}, set()
+    for i in range(9000):
+        sets[len(sets)] = frequent() + [r.randint(100, 2000) for _ in range(r.randint(4, 9))] + ([50, 51, 52, 53] if i % 3 else [])
+    for i in range(400):
+        n = r.randint(6, 14)
+        common = -(-n * 2 * round(threshold * 10) // (10 + round(threshold * 10)))
+        both = r.sample(range(40), min(common, r.randint(0, 6)))
+        both += [r.randint(100, 2000) for _ in range(common - len(both))]
+        for k in range(2):
+            sets[len(sets)] = both + [10**6 * (k + 1) + 100 * i + j for j in range(n - common)]
+        a, b = set(sets[len(sets) - 2]), set(sets[len(sets) - 1])
+        if a != b and jaccard(a, b) >= threshold:
+            want.add((len(sets) - 2, len(sets) - 1))
+    df = spark.createDataFrame(list(sets.items()), "id long, toks array<long>").repartition(4)
+    got = {(x.a, x.b) for x in similar_sets.similar_pairs(df, "id", "toks", threshold).collect()}
+    assert len(want) > 250 and len(want & got) >= 0.98 * len(want)
+    assert all(jaccard(set(sets[a]), set(sets[b])) >= threshold for a, b in got)
+
+
 def test_paths_do_not_depend_on_the_others_of_a_batch():
     import numpy as np
     import pyarrow as pa
 
-    def ends(rows, emit):
+    def ends(rows, part):
         cid, used = [r[0] for r in rows], [r[1] for r in rows]
-        cols = [pa.array(cid), pa.array([list(range(12))] * len(rows)), pa.array([77] * len(rows)), pa.array([-0.5] * len(rows)), pa.array(used, pa.list_(pa.int64())), pa.array([0] * len(rows))]
-        walk = similar_sets._paths(2, 1, 2.5, np.full(similar_sets.BUCKETS, 8, "uint8"), 0.02, emit, 4, 5)
+        cols = [pa.array(cid), pa.array([list(range(12))] * len(rows)), pa.array([3] * len(rows)), pa.array([77] * len(rows)), pa.array([-0.5] * len(rows)), pa.array(used, pa.list_(pa.int64()))]
+        walk = similar_sets._paths(4, 1, np.full(similar_sets.BUCKETS, 8, "uint8"), 0.02 if part == "deep" else 0.9, part, 4, 5)
         out = pa.Table.from_batches(list(walk([pa.RecordBatch.from_arrays(cols, names=list("abcdef"))]))).to_pylist()
         return sorted((tuple(sorted(x.items(), key=str)) for x in out if x["cid"] == 1), key=str)
 
-    for emit in (False, True):
-        assert len(ends([(1, [3])], emit)) > 0
-        assert str(ends([(1, [3])], emit)) == str(ends([(1, [3]), (2, [0, 1, 2, 3, 4, 5])], emit))
+    for part, used in (("first", []), ("deep", [3])):
+        assert len(ends([(1, used)], part)) > 0
+        assert str(ends([(1, used)], part)) == str(ends([(1, used), (2, [0, 1, 2, 3, 4, 5])], part))
+
+
+def test_records_that_repeat(spark, rows):
+    df = spark.createDataFrame([(1, [1, 2, 3]), (1, [1, 2, 3]), (2, [1, 2, 3]), (3, [9]), (3, [9, 10, 11]), (4, [9, 10, 11])], "id long, toks array<long>")
+    assert rows(similar_sets.similar_pairs(df, "id", "toks", 0.8).select("a", "b")) == [(1, 2), (3, 4)]
 
 
 def test_similar_pairs_of_text_between_tables(spark):
@@ -143,7 +172,8 @@ def test_similar_pairs_of_text_between_tables(spark):
 
 
 def test_trees_reach_the_recall():
-    assert similar_sets.trees_for(0.999, 0.8) > similar_sets.trees_for(0.9, 0.8) >= 1
+    assert similar_sets.trees_for(0.999) > similar_sets.trees_for(0.9) >= 1
+    assert 1 - (1 - similar_sets.survival()) ** similar_sets.trees_for(0.995) >= 0.995
 
 
 def test_terms(spark):
