@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,10 +11,15 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, named by ``spark.checkpoint.dir``; a local one is set only where none is."""
+    """The folder all executors share, named by ``spark.checkpoint.dir``.
+
+    Where none is named a folder of this machine is set, but only if the executors run on it too.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tagloom-"))
     return sc.getCheckpointDir()
 
@@ -24,6 +30,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """As ``cut``, as a table of Parquet: for rows that are many, as it is far smaller, and read by columns."""
+    path = f"{shared_folder(df.sparkSession)}/saved-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ratio(x: float | str | Fraction) -> tuple[int, int]:
     """Numerator and denominator of the decimal a caller wrote, so that thresholds compare in whole numbers."""
     f = x if isinstance(x, Fraction) else Fraction(str(x))
