@@ -24,7 +24,7 @@ BUCKETS = 1 << 20
 MAX_DEPTH, MAX_TURNS = 12, 6
 #: A record of a large node that has on average this share of the threshold in common with it is compared, not branched.
 DENSE = 0.7
-#: Up to so many large nodes or candidates (16 bytes each) are broadcast.
+#: Up to so many large nodes, candidates or classes with copies (36 bytes each at most) are broadcast.
 BROADCAST_ROWS = 200_000
 #: Records of a large node that one task compares with the rest of the node.
 SLICE = 2000
@@ -255,7 +255,7 @@ def set_classes(records: DataFrame, record: str, values: str, min_size: int = 1,
     sets = sets.select("*", F.xxhash64("toks").alias("h"), F.xxhash64(F.lit(1), "toks").alias("h2"))
     same = sets.groupBy("h", "h2").agg(F.min("record").alias("cid"), F.count(F.lit(1)).alias("k"), F.bit_or("side").alias("sides"))
     shared = cut(same.filter("k > 1").select("h", "h2", "cid", "sides"))
-    told = sets.join(shared, ["h", "h2"], "left")
+    told = sets.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, ["h", "h2"], "left")
     member = told.select("record", F.coalesce("cid", "record").alias("cid"))
     classes = told.filter("cid is null or cid = record").select(F.col("record").alias("cid"), "toks", F.size("toks").alias("n"), F.coalesce("sides", "side").alias("side"))
     return member, classes
