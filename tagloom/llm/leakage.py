@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import io
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -10,17 +13,21 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import runs_of, spread
+from tagloom.util import write_shared
 
 #: Units of a passage: words, or letters and digits where a script has no spaces.
 WORD_WINDOW, CHAR_WINDOW = 12, 25
 #: Positions of the embedding that one hash looks at.
 SAMPLED = 6
-#: Windows of items that are searched for at once; more items are searched for in several passes over the corpus.
-BLOCK_WINDOWS = 150_000
+#: Windows of items in one block of the index.
+BLOCK_WINDOWS = 1_000_000
+#: Edited copies that the number of repetitions is measured on, and repetitions after which it is given up, with an error.
+MEASURED, MAX_REPETITIONS = 2000, 1000
 #: Windows that are embedded at once, and characters of texts that are taken apart at once.
 STEP, CHARS = 200_000, 2_000_000
 
@@ -145,42 +152,74 @@ class _Index:
     max_edits: int
     item: np.ndarray
     at: np.ndarray
+    starts: np.ndarray
     units: np.ndarray
     vocabulary: np.ndarray
     samples: list[np.ndarray] = field(default_factory=list)
     keys: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     needs_spaceless: bool = False
+    recall: float = 1.0
 
     @staticmethod
     def of(ids: list[int], units: np.ndarray, sizes: np.ndarray, width: int, max_edits: int, recall: float) -> _Index:
         starts, owner = _windows(sizes, width)
         first = np.cumsum(sizes) - sizes
-        index = _Index(width, max_edits, np.array(ids, dtype="int64")[owner], starts - first[owner], units[starts[:, None] + np.arange(width)] if len(starts) else np.zeros((0, width), "uint64"), np.unique(units))
+        index = _Index(width, max_edits, np.array(ids, dtype="int64")[owner], starts - first[owner], starts, units, np.unique(units))
         if len(starts):
             rng = np.random.default_rng(12)
-            hit = np.zeros(2000 if max_edits else 1, bool)
-            pairs = index.edited(rng, len(hit))
-            while not index.samples or hit.mean() < recall and len(index.samples) < 64:
-                r = len(index.samples)
-                places = np.sort(rng.choice(3 * width, SAMPLED, replace=False))
-                index.samples.append(places)
+            pairs, hit = None, np.zeros(0, bool)
+            while not index.samples or hit.mean() < recall:
+                index.repeat(rng)
                 if max_edits:
-                    flat = pairs.reshape(-1)
-                    at = np.arange(0, len(flat), width)
-                    k = embed_keys(flat, at, width, r, places)
-                    hit |= k[0::2] == k[1::2]
+                    if pairs is None:
+                        pairs = index.edited(rng, MEASURED)
+                        hit = np.zeros(MEASURED, bool)
+                    hit |= index.meet(pairs, len(index.samples) - 1)
+                    if hit.mean() >= recall:
+                        # What stops is measured on pairs that had no part in it; if they miss it, they go on being asked.
+                        pairs = index.edited(rng, MEASURED)
+                        hit = np.logical_or.reduce([index.meet(pairs, r) for r in range(len(index.samples))])
+                    index.recall = float(hit.mean())
                 else:
-                    hit |= True
-                own = embed_keys(index.units.reshape(-1), np.arange(0, index.units.size, width), width, r, places)
-                order = np.argsort(own, kind="stable")
-                index.keys.append((own[order], order))
+                    hit = np.ones(1, bool)
         return index
 
+    def repeat(self, rng: np.random.Generator) -> None:
+        """One more embedding, hashed on places of its own."""
+        r = len(self.samples)
+        if r == MAX_REPETITIONS:
+            raise ValueError(f"{r} repetitions find {self.recall:.3f} of the copies with {self.max_edits} edits")
+        self.samples.append(np.sort(rng.choice(3 * self.width, SAMPLED, replace=False)))
+        own = embed_keys(self.units, self.starts, self.width, r, self.samples[r])
+        order = np.argsort(own, kind="stable")
+        self.keys.append((own[order], order))
+
+    def meet(self, pairs: np.ndarray, r: int) -> np.ndarray:
+        """Which pairs of windows have one hash in repetition ``r``."""
+        k = embed_keys(pairs.reshape(-1), np.arange(0, pairs.size, self.width), self.width, r, self.samples[r])
+        return k[0::2] == k[1::2]
+
+    def arrays(self) -> list[np.ndarray]:
+        return [self.item, self.at, self.starts, self.units, self.vocabulary, *[x for pair in self.keys for x in pair]]
+
+    def without_arrays(self) -> _Index:
+        none = np.zeros(0, "int64")
+        return _Index(self.width, self.max_edits, none, none, none, none, none, self.samples, [], self.needs_spaceless, self.recall)
+
+    def with_arrays(self, parts: list[np.ndarray]) -> _Index:
+        item, at, starts, units, vocabulary, *keys = parts
+        unsigned = lambda x: x.view("uint64")
+        pairs = [(unsigned(k), o) for k, o in zip(keys[0::2], keys[1::2])]
+        return _Index(self.width, self.max_edits, item, at, starts, unsigned(units), unsigned(vocabulary), self.samples, pairs, self.needs_spaceless, self.recall)
+
+    def windows(self, which: np.ndarray) -> np.ndarray:
+        return self.units[self.starts[which][:, None] + np.arange(self.width)]
+
     def edited(self, rng: np.random.Generator, n: int) -> np.ndarray:
         """Windows beside copies with ``max_edits`` random edits: what the number of repetitions is measured on."""
         out = np.zeros((n, 2, self.width), "uint64")
         for i in range(n):
-            w = self.units[rng.integers(len(self.units))]
+            w = self.windows(rng.integers(len(self.starts), size=1))[0]
             out[i, 0] = w
             c = w.tolist()
             left = self.max_edits
@@ -219,7 +258,7 @@ class _Index:
                 both = np.unique(np.concatenate(pairs))
                 for c in range(0, len(both), STEP):
                     w, hits = np.divmod(both[c:c + STEP], len(self.item))
-                    edits = edit_distances(units[s[w][:, None] + np.arange(self.width)], self.units[hits], self.max_edits)
+                    edits = edit_distances(units[s[w][:, None] + np.arange(self.width)], self.windows(hits), self.max_edits)
                     ok = edits <= self.max_edits
                     for to, x in zip(found, (o[w[ok]], (s - first[o])[w[ok]], hits[ok], edits[ok])):
                         to.append(x)
@@ -242,53 +281,87 @@ def _build(items: list[tuple[int, str]], max_edits: int, recall: float) -> list[
     return out
 
 
-def _search(indexes: list[_Index]):
+def _pack(indexes: list[_Index]) -> tuple[bytes, list[_Index], list[list[int]]]:
+    """The arrays of indexes as the bytes of one file, and what tells how to read them again."""
+    arrays = [[np.ascontiguousarray(x) for x in index.arrays()] for index in indexes]
+    out = io.BytesIO()
+    np.save(out, np.concatenate([x.view("int64") for part in arrays for x in part]))
+    return out.getvalue(), [index.without_arrays() for index in indexes], [[len(x) for x in part] for part in arrays]
+
+
+def _unpack(indexes: list[_Index], sizes: list[list[int]], path: str) -> list[_Index]:
+    """The indexes of a file, which stays on disk: its pages are read when they are looked at, and shared by all workers."""
+    whole, at, out = np.load(path, mmap_mode="r").view(np.ndarray), 0, []
+    for index, lengths in zip(indexes, sizes):
+        parts = []
+        for n in lengths:
+            parts.append(whole[at:at + n])
+            at += n
+        out.append(index.with_arrays(parts))
+    return out
+
+
+@functools.lru_cache(maxsize=2)
+def _opened(names: tuple[str, ...]) -> list[str]:
+    return [SparkFiles.get(n) for n in names]
+
+
+def _search(blocks: list[tuple[str, list[_Index], list[list[int]]]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = [_unpack(indexes, sizes, path) for (_, indexes, sizes), path in zip(blocks, _opened(tuple(n for n, _, _ in blocks)))]
         for batch in batches:
             contents = batch.column(1).to_pylist()
             for lo, hi in runs_of(contents, 500, CHARS):
                 texts = [plain(t) for t in contents[lo:hi]]
                 ids = np.asarray(batch.column(0).slice(lo, hi - lo))
-                for hashes, index in zip((word_hashes, char_hashes), indexes):
-                    if not len(index.item):
+                for kind, hashes in enumerate((word_hashes, char_hashes)):
+                    asked = [indexes[kind] for indexes in opened if len(indexes[kind].item)]
+                    if not asked:
                         continue
-                    used = np.array([i for i, t in enumerate(texts) if not index.needs_spaceless or _SPACELESS.search(t)], dtype="int64")
+                    every = not all(x.needs_spaceless for x in asked)
+                    used = np.array([i for i, t in enumerate(texts) if every or _SPACELESS.search(t)], dtype="int64")
                     if not len(used):
                         continue
-                    text, place, window, edits = index.find(*hashes([texts[i] for i in used]))
-                    if len(text):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(ids[used[text]]), pa.array(index.item[window]), pa.array(place.astype("int64")), pa.array(index.at[window]), pa.array(edits.astype("int32"))],
-                            names=["doc", "item", "doc_unit", "item_unit", "edits"],
-                        )
+                    units, sizes = hashes([texts[i] for i in used])
+                    for index in asked:
+                        text, place, window, edits = index.find(units, sizes)
+                        if len(text):
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(ids[used[text]]), pa.array(index.item[window]), pa.array(place.astype("int64")), pa.array(index.at[window]), pa.array(edits.astype("int32"))],
+                                names=["doc", "item", "doc_unit", "item_unit", "edits"],
+                            )
 
     return run
 
 
-def leaked_passages(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, max_edits: int = 2, recall: float = 0.95) -> DataFrame:
+def leaked_passages(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, max_edits: int = 2, recall: float = 0.95, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """Places where a document holds a passage of an item: (doc, item, doc_unit, item_unit, edits).
 
     A passage is WORD_WINDOW words of an item in a row, or CHAR_WINDOW letters and digits if the item is in Chinese or
     Japanese; case, accents, punctuation and spacing don't matter. A place is a window of the document, as long, within
     ``max_edits`` insertions, deletions and replacements of a passage; units are numbered from 0. Unchanged passages are found
-    with certainty, the others each with probability ``recall`` or more: windows are embedded by a random walk that turns edits into differing
-    places, hashed on a few sampled places, as often as edited copies of the items' own passages ask for, and every
-    candidate's edit distance is computed.
-
-    Documents are read once for each BLOCK_WINDOWS windows of items and never shuffled. Null texts hold nothing; items
-    shorter than a passage have none; several rows with one id count as one document. Rows with a null id are left out.
-    Ids are whole numbers.
+    with certainty, the others each with probability ``recall`` or more: windows are embedded by a random walk that turns
+    edits into differing places, hashed on a few sampled places, as often as edited copies of the items' own passages ask
+    for, and every candidate's edit distance is computed. With no edits one embedding is enough.
+
+    Documents are read once, whatever the number of items, and never shuffled. The items' index is made on the driver in
+    blocks of ``block_windows`` windows, and shipped as files that workers map into memory: an executor needs disk for it,
+    about 16 bytes for each window and repetition. Null texts hold nothing; items shorter than a passage have none; several
+    rows with one id count as one document. Rows with a null id are left out. Ids are whole numbers.
     """
+    sc = docs.sparkSession.sparkContext
     corpus = spread(docs.select(F.col(doc_id).cast("long").alias("_d"), F.col(doc_text).alias("_t")).filter("_d is not null and _t is not null"))
     asked = items.select(F.col(item_id).cast("long").alias("_i"), F.col(item_text).alias("_t")).filter("_i is not null and _t is not null")
     size = asked.agg(F.sum(F.length("_t"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_WINDOWS))
-    found = None
-    for k in range(blocks):
-        block = [(r._i, r._t) for r in asked.filter(F.pmod(F.xxhash64("_i", "_t"), F.lit(blocks)) == k).collect()]
-        part = corpus.mapInArrow(_search(_build(block, max_edits, recall)), "doc long, item long, doc_unit long, item_unit long, edits int")
-        found = part if found is None else found.unionByName(part)
-    return found
+    n_blocks = max(1, -(-size // block_windows))
+    blocks = []
+    for k in range(n_blocks):
+        block = [(r._i, r._t) for r in asked.filter(F.pmod(F.xxhash64("_i", "_t"), F.lit(n_blocks)) == k).collect()]
+        content, indexes, sizes = _pack(_build(block, max_edits, recall))
+        name = f"passages-{uuid.uuid4().hex}.npy"
+        sc.addFile(write_shared(docs.sparkSession, name, content))
+        blocks.append((name, indexes, sizes))
+    return corpus.mapInArrow(_search(blocks), "doc long, item long, doc_unit long, item_unit long, edits int")
 
 
 def leaks(passages: DataFrame) -> DataFrame:

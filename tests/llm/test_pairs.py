@@ -221,6 +221,39 @@ def test_leaks(spark):
     assert len({k for k in want if k in got}) >= len(want) - 1 and set(got) <= set(want)
 
 
+@pytest.mark.parametrize("edits", [1, 2])
+def test_recall_of_edited_passages(spark, edits):
+    """Copies of passages with one or two words replaced, left out or put in between, in items and documents of many words."""
+    r = random.Random(20 + edits)
+    some = lambda n: [f"w{r.randint(0, 5000)}" for _ in range(n)]
+    items = [(i, some(40)) for i in range(60)]
+    docs, want = [], set()
+    for k in range(600):
+        i, w = r.choice(items)
+        at = r.randint(0, 28)
+        part = w[at:at + 12]
+        if edits == 1 or r.random() < 0.5:
+            for p in r.sample(range(12), edits):
+                part[p] = "zz"
+        else:
+            del part[r.randint(1, 10)]
+            part.insert(r.randint(1, 10), "zz")
+        docs.append((k, " ".join(some(15) + part + some(15))))
+        want.add((k, i))
+    found = leakage.leaks(leakage.leaked_passages(spark.createDataFrame(docs, "d long, t string"), "d", "t", spark.createDataFrame([(i, " ".join(w)) for i, w in items], "i long, t string"), "i", "t", edits, block_windows=800)).collect()
+    got = {(x.doc, x.item) for x in found}
+    assert len(want & got) >= 0.95 * len(want) and got <= want and all(x.edits <= edits for x in found)
+
+
+def test_repetitions_that_cannot_reach_the_recall_are_an_error(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(leakage, "MAX_REPETITIONS", 2)
+    units = np.arange(1, 200, dtype="uint64") * np.uint64(2**40 + 1)
+    with pytest.raises(ValueError):
+        leakage._Index.of([1], units, np.array([len(units)]), 12, 3, 0.99)
+
+
 def test_edit_distances_agree_with_the_plain_recurrence():
     import numpy as np
 
