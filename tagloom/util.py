@@ -37,6 +37,18 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_shared(spark: SparkSession, name: str, content: bytes) -> str:
+    """A file of the shared folder, whatever file system it lies in; returns its address."""
+    address = f"{shared_folder(spark)}/{name}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(address)
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+    return address
+
+
 def ratio(x: float | str | Fraction) -> tuple[int, int]:
     """Numerator and denominator of the decimal a caller wrote, so that thresholds compare in whole numbers."""
     f = x if isinstance(x, Fraction) else Fraction(str(x))
