@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import functools
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,21 +17,27 @@ from tagloom.llm.common import runs_of, spread
 from tagloom.llm.pii_seeds import GIVEN, KINDS, texts
 
 #: Labelled texts that the model is trained on.
-TRAINING_TEXTS = 6000
+TRAINING_TEXTS = 10000
+#: Vocabularies of public tokenizers: the words in them are common ones.
+VOCABULARIES = ("/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 #: What an item is replaced with.
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
+#: Share of the features of single words that training keeps back at a time.
+KEPT_BACK = 0.5
 #: A token sees so many tokens on either side.
 REACH = 3
 #: Texts are labelled together while they have at most so many places for tokens, or characters.
 CELLS, CHARS = 1_000_000, 1_500_000
-#: Items with fewer digits are none: a number needs so many, an address a house number.
+#: Items with fewer digits are none: a number needs so many, an address a house number. An email needs an at sign, a name
+#: more than single letters.
 MIN_DIGITS = {"phone": 6, "id_number": 6, "address": 1}
 
 LABELS = ["O", *[f"{b}-{k}" for k in KINDS for b in "BI"]]
-_SEPARATOR = regex.compile(r"</?(?:p|br|div|li|ul|ol|b|i|em|strong|span)\b[^<>]*>|\s+", regex.I)
+_SEPARATOR = regex.compile(r"</?(?:p|br|div|li|ul|ol|b|i|em|strong|span)\b[^<>]*>|[\s\x1c-\x1f]+", regex.I)
 _LINE = regex.compile(r"\s*(?:\n|</?(?:p|br|div|li)\b[^<>]*>)\s*", regex.I)
 _AT = regex.compile(r"[@＠]|&(?:#0*64|#x0*40|commat);|\bat\b", regex.I)
 _PIECE = regex.compile(r"&#?\w+;|\p{Han}+|\p{Hiragana}+|\p{Katakana}+|(?:(?![\p{Han}\p{Hiragana}\p{Katakana}])\p{L})[\p{Latin}\p{Cyrillic}\p{Greek}\p{Arabic}\p{Devanagari}\p{Thai}\p{M}]*|\p{N}+|\S")
+_WORD = regex.compile(r"\p{L}{2}|\p{Han}")
 _NUMERAL = regex.compile(r"\p{Nd}")
 _GIVEN = {g.lower() for g in GIVEN}
 
@@ -60,17 +68,32 @@ def _outline(chunk: str) -> str:
     return regex.sub(r"\p{Lo}+", "o", s)[:18]
 
 
-def _features(tok: str, outline: str, first: bool, line: bool) -> list[str]:
+def lexicon(vocabularies: Sequence[str] = VOCABULARIES) -> dict[str, int]:
+    """Words of vocabularies in lower case: 1 for those that are in them so, 2 for those with a capital, 3 for both."""
+    out: dict[str, int] = {}
+    for path in vocabularies:
+        with open(path, "rb") as lines:
+            for line in lines:
+                word = base64.b64decode(line.split()[0]).decode("utf-8", "ignore")
+                if word[:1] == " " and len(word) > 3 and word[1:].isalpha():
+                    out[word[1:].lower()] = out.get(word[1:].lower(), 0) | (1 if word[1:].islower() else 2)
+    return out
+
+
+def _features(tok: str, outline: str, first: bool, line: bool, words: dict[str, int]) -> list[str]:
     low, form = tok.lower(), _form(tok)
     f = [f"s={form}", f"c={outline}", f"c={outline} s={form}", f"first={first}", f"s={form} first={first}"]
     if line:
         f.append("line")
     if len(low) <= 14 and form[0] != "d":
         f.append(f"w={low}")
-    if tok[0].isalpha() and len(low) > 3:
-        f += [f"p={low[:3]}", f"x={low[-3:]}", f"y={low[-2:]}", f"long={min(len(low), 8)}"]
-    if low in _GIVEN:
-        f += ["given", f"given s={form}"]
+    if tok[0].isalpha() and len(low) > 1:
+        common = words.get(low, 0)
+        f += [f"common={common}", f"common={common} s={form}"]
+        if len(low) > 3:
+            f += [f"x={low[-3:]}", f"y={low[-2:]}", f"long={min(len(low), 8)}"]
+        if low in _GIVEN:
+            f += ["given", f"given s={form}"]
     return f
 
 
@@ -79,33 +102,66 @@ class Tokens:
 
     def __init__(self):
         self.types: dict[tuple, int] = {("",): 0}
-        self.chunks: dict[tuple[str, bool], list[tuple[int, int, int]]] = {}
+        # Runs without spaces that were met, inside a line and at its start: their tokens' places, and the types alone.
+        self.places: tuple[dict[str, list], dict[str, list]] = ({}, {})
+        self.kinds: tuple[dict[str, list[int]], dict[str, list[int]]] = ({}, {})
+        self.met: dict[tuple[str, bool], list[tuple[int, int, int]]] = {}
 
     def _chunk(self, chunk: str, line: bool) -> list[tuple[int, int, int]]:
         plain = _NUMERAL.sub("9", chunk)
-        known = self.chunks.get((plain, line))
+        known = self.met.get((plain, line))
         if known is None:
             outline = _outline(plain)
             known = []
             for m in _PIECE.finditer(plain):
                 key = (m[0], outline, m.start() == 0, line and m.start() == 0)
                 known.append((m.start(), m.end(), self.types.setdefault(key, len(self.types))))
-            if len(self.chunks) > 300_000:
-                self.chunks.clear()
-            self.chunks[plain, line] = known
+            self.met[plain, line] = known
+        if len(self.met) + len(self.kinds[0]) + len(self.kinds[1]) > 400_000:
+            for held in (self.met, *self.places, *self.kinds):
+                held.clear()
+        self.places[line][chunk] = known
+        self.kinds[line][chunk] = [t for _, _, t in known]
         return known
 
-    def of(self, text: str) -> list[tuple[int, int, int]]:
-        """(start, end, type) of each token."""
-        out, at, line = [], 0, True
+    @staticmethod
+    def _chunks(text: str) -> Iterator[tuple[int, str, bool]]:
+        """Runs without spaces and markup: (start, run, is it the first of a line)."""
+        at, line = 0, True
         for m in _SEPARATOR.finditer(text):
             if m.start() > at:
-                out += [(at + a, at + b, t) for a, b, t in self._chunk(text[at:m.start()], line)]
+                yield at, text[at:m.start()], line
                 line = False
             line |= m[0][0] == "<" or "\n" in m[0]
             at = m.end()
         if at < len(text):
-            out += [(at + a, at + b, t) for a, b, t in self._chunk(text[at:], line)]
+            yield at, text[at:], line
+
+    def of(self, text: str) -> list[tuple[int, int, int]]:
+        """(start, end, type) of each token."""
+        out = []
+        for at, chunk, line in self._chunks(text):
+            out += [(at + a, at + b, t) for a, b, t in self.places[line].get(chunk) or self._chunk(chunk, line)]
+        return out
+
+    def types_of(self, text: str) -> list[int]:
+        """The types alone."""
+        out: list[int] = []
+        if "<" in text:
+            for _, chunk, line in self._chunks(text):
+                out += self.kinds[line].get(chunk) or (self._chunk(chunk, line) and self.kinds[line][chunk])
+            return out
+        inside, first = self.kinds
+        for row in text.split("\n"):
+            known = first
+            for chunk in row.split():
+                got = known.get(chunk)
+                if got is None:
+                    line = known is first
+                    self._chunk(chunk, line)
+                    got = known[chunk]
+                out += got
+                known = inside
         return out
 
 
@@ -119,18 +175,30 @@ def _flat(seqs: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(out, dtype="int64"), np.array(starts, dtype="int64")
 
 
+_TAGGERS: dict[str, Tagger] = {}
+
+
+def _once(mark: str, *parts) -> Tagger:
+    """The same tagger for all tasks of a worker, so that it scores a type of token once."""
+    if mark not in _TAGGERS:
+        _TAGGERS.clear()
+        _TAGGERS[mark] = Tagger(*parts)
+    return _TAGGERS[mark]
+
+
 class Tagger:
     """A linear-chain conditional random field. A token's score is a sum over the features of the tokens around it."""
 
-    def __init__(self, index: dict[str, int], weights: np.ndarray, moves: np.ndarray):
-        self.index, self.weights, self.moves = index, weights, moves
+    def __init__(self, index: dict[str, int], weights: np.ndarray, moves: np.ndarray, words: dict[str, int]):
+        self.index, self.weights, self.moves, self.words = index, weights, moves, words
         self.tokens, self.scored = Tokens(), np.zeros((0, 2 * REACH + 1, len(LABELS)), "float32")
 
     def __reduce__(self):
-        return Tagger, (self.index, self.weights, self.moves)
+        mark = hashlib.md5(self.weights.tobytes() + self.moves.tobytes()).hexdigest()
+        return _once, (mark, self.index, self.weights, self.moves, self.words)
 
     @staticmethod
-    def train(labelled: list[tuple[str, list[tuple[int, int, str]]]], passes: int = 12, batches: int = 12, rate: float = 0.35, ridge: float = 2e-4, seed: int = 3) -> Tagger:
+    def train(labelled: list[tuple[str, list[tuple[int, int, str]]]], words: dict[str, int], passes: int = 14, batches: int = 12, rate: float = 0.35, ridge: float = 2e-4, seed: int = 3) -> Tagger:
         tokens, rows = Tokens(), []
         for text, spans in labelled:
             toks = tokens.of(text)
@@ -142,7 +210,7 @@ class Tagger:
             if toks:
                 rows.append(([t for _, _, t in toks], ys))
         keys = sorted(tokens.types, key=tokens.types.get)
-        named = [["edge"] if k == ("",) else _features(*k) for k in keys]
+        named = [["edge"] if k == ("",) else _features(*k, words) for k in keys]
         counts: dict[str, int] = {}
         seen = np.bincount([t for ts, _ in rows for t in ts], minlength=len(keys))
         for fs, c in zip(named, seen.tolist()):
@@ -154,6 +222,8 @@ class Tagger:
         wide, n_l = 2 * REACH + 1, len(LABELS)
         w, moves = np.zeros((len(names), wide * n_l), "float32"), np.zeros((n_l, n_l), "float32")
         square, square_m = np.full_like(w, 1e-6), np.full_like(moves, 1e-6)
+        # What a word is, or how it begins and ends, is kept back now and then, so that shapes and common words carry weight too.
+        own = np.array([f[:2] in ("w=", "x=", "y=", "c=") for f in names])
         rng = np.random.default_rng(seed)
         order = np.argsort([len(t) for t, _ in rows], kind="stable")
         parts = [p for p in np.array_split(order, batches) if len(p)]
@@ -164,15 +234,16 @@ class Tagger:
             types, flat = np.unique(flat, return_inverse=True)
             rank = np.full(len(keys), -1)
             rank[types] = np.arange(len(types))
-            own = pairs[rank[pairs[:, 0]] >= 0]
-            by_type = np.argsort(rank[own[:, 0]], kind="stable")
-            by_feature = np.argsort(own[:, 1], kind="stable")
-            features, feature_cuts = np.unique(own[by_feature, 1], return_index=True)
-            ready.append((part, flat, starts, len(types), own[by_type, 1], np.searchsorted(rank[own[by_type, 0]], np.arange(len(types))), rank[own[by_feature, 0]], features, feature_cuts))
+            here = pairs[rank[pairs[:, 0]] >= 0]
+            by_type = np.argsort(rank[here[:, 0]], kind="stable")
+            by_feature = np.argsort(here[:, 1], kind="stable")
+            features, feature_cuts = np.unique(here[by_feature, 1], return_index=True)
+            ready.append((part, flat, starts, len(types), here[by_type, 1], np.searchsorted(rank[here[by_type, 0]], np.arange(len(types))), rank[here[by_feature, 0]], features, feature_cuts))
         for _ in range(passes):
             for k in rng.permutation(len(ready)):
                 part, flat, starts, n_types, type_features, type_cuts, feature_types, features, feature_cuts = ready[k]
-                scored = np.add.reduceat(w[type_features], type_cuts, axis=0).reshape(n_types, wide, n_l)
+                shown = np.where(own & (rng.random(len(names)) < KEPT_BACK), np.float32(0), np.float32(1))[:, None]
+                scored = np.add.reduceat(w[type_features] * shown[type_features], type_cuts, axis=0).reshape(n_types, wide, n_l)
                 sizes = np.array([len(rows[i][0]) for i in part])
                 e = sum(scored[flat[REACH + o:len(flat) - REACH + o], REACH + o] for o in range(-REACH, REACH + 1))
                 at = (starts - REACH)[:, None] + np.arange(sizes.max())
@@ -192,7 +263,7 @@ class Tagger:
                     target = flat[REACH + o:len(flat) - REACH + o]
                     for label in range(n_l):
                         per_type[:, REACH + o, label] = np.bincount(target, inner[:, label], minlength=n_types)
-                slope_w = np.add.reduceat(per_type.reshape(n_types, -1)[feature_types], feature_cuts, axis=0) / len(part) + ridge * w[features]
+                slope_w = np.add.reduceat(per_type.reshape(n_types, -1)[feature_types], feature_cuts, axis=0) / len(part) * shown[features] + ridge * w[features]
                 pair_live = live[:, 1:]
                 np.subtract.at(both, (y[:, :-1][pair_live], y[:, 1:][pair_live]), 1)
                 slope_m = both / len(part) + ridge * moves
@@ -204,7 +275,7 @@ class Tagger:
             for b, lb in enumerate(LABELS):
                 if lb[0] == "I" and la[2:] != lb[2:]:
                     moves[a, b] = -1e4
-        return Tagger(index, w.reshape(len(names), wide, n_l), moves)
+        return Tagger(index, w.reshape(len(names), wide, n_l), moves, words)
 
     def _score(self) -> None:
         """Scores for types met since the last time."""
@@ -212,7 +283,7 @@ class Tagger:
         if fresh:
             new = np.zeros((len(fresh), *self.scored.shape[1:]), "float32")
             for i, key in enumerate(fresh):
-                used = [self.index[f] for f in (["edge"] if key == ("",) else _features(*key)) if f in self.index]
+                used = [self.index[f] for f in (["edge"] if key == ("",) else _features(*key, self.words)) if f in self.index]
                 if used:
                     new[i] = self.weights[used].sum(axis=0)
             self.scored = np.concatenate([self.scored, new])
@@ -221,9 +292,16 @@ class Tagger:
         """Items of each text as (start, end, kind)."""
         if len(self.scored) > 400_000:
             self.tokens, self.scored = Tokens(), self.scored[:0]
-        toks = [self.tokens.of(t) for t in batch]
+        # Many texts occur more than once; each is looked at once.
+        index: dict[str, int] = {}
+        back = [index.setdefault(t, len(index)) for t in batch]
+        found = self._find(list(index))
+        return [found[i] for i in back]
+
+    def _find(self, batch: list[str]) -> list[list[tuple[int, int, str]]]:
+        toks = [self.tokens.types_of(t) for t in batch]
         self._score()
-        flat, starts = _flat([[t for _, _, t in s] for s in toks])
+        flat, starts = _flat(toks)
         e = sum(self.scored[flat[REACH + o:len(flat) - REACH + o], REACH + o] for o in range(-REACH, REACH + 1)) if len(flat) > 2 * REACH else np.zeros((0, len(LABELS)), "float32")
         sizes = np.array([len(s) for s in toks])
         out: list[list[tuple[int, int, str]]] = [[] for _ in batch]
@@ -232,12 +310,12 @@ class Tagger:
         lo = 0
         while lo < len(order):
             hi = lo + 1
-            while hi < len(order) and hi - lo < 256 and (hi - lo + 1) * sizes[order[hi]] <= CELLS:
+            while hi < len(order) and hi - lo < 1024 and (hi - lo + 1) * sizes[order[hi]] <= CELLS:
                 hi += 1
             part, lo = order[lo:hi], hi
             for i, path in zip(part.tolist(), _viterbi(e, starts[part] - REACH, sizes[part], self.moves)):
                 if path.any():
-                    out[i] = self._items(batch[i], toks[i], path.tolist())
+                    out[i] = self._items(batch[i], self.tokens.of(batch[i]), path.tolist())
         return out
 
     @staticmethod
@@ -256,7 +334,8 @@ class Tagger:
                 if stop > s:
                     whole.append((s, stop, k))
                 s = following
-        return [(s, e, k) for s, e, k in whole if sum(c.isdigit() for c in text[s:e]) >= MIN_DIGITS.get(k, 0) and (k != "email" or _AT.search(text, s, e))]
+        needs = {"email": _AT, "name": _WORD}
+        return [(s, e, k) for s, e, k in whole if sum(c.isdigit() for c in text[s:e]) >= MIN_DIGITS.get(k, 0) and (k not in needs or needs[k].search(text, s, e))]
 
 
 def _posteriors(em: np.ndarray, live: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -301,9 +380,12 @@ def _viterbi(e: np.ndarray, starts: np.ndarray, sizes: np.ndarray, moves: np.nda
         yield paths[i, :sizes[i]]
 
 
-@functools.lru_cache(maxsize=1)
-def default_tagger(n: int = TRAINING_TEXTS) -> Tagger:
-    return Tagger.train(list(texts(n)))
+@functools.lru_cache(maxsize=2)
+def default_tagger(n: int = TRAINING_TEXTS, part: str = "all", vocabularies: tuple[str, ...] = VOCABULARIES) -> Tagger:
+    """A tagger trained on one part of the labelled table, with the common words of ``vocabularies`` in its blanks."""
+    words = lexicon(vocabularies)
+    plain = sorted(w for w, where in words.items() if where & 1 and 3 <= len(w) <= 10)
+    return Tagger.train(list(texts(n, part=part, words=plain)), words)
 
 
 def redacted(text: str, items: list[tuple[int, int, str]]) -> str:

@@ -142,14 +142,33 @@ def tagger():
     return pii.default_tagger()
 
 
-def test_held_out_items(tagger):
+def test_held_out_items():
+    """A tagger that hasn't seen the sentences, names, places, streets and words of the held-out part."""
+    model = pii.default_tagger(part="train")
+    plain = sorted(w for w, where in model.words.items() if where & 1 and 3 <= len(w) <= 10)
+    labelled = list(pii_seeds.texts(1000, seed=99, part="held", words=plain))
     right = found = there = 0
-    labelled = list(pii_seeds.texts(500, seed=99))
-    for (_, spans), got in zip(labelled, tagger.find([t for t, _ in labelled])):
+    for (_, spans), got in zip(labelled, model.find([t for t, _ in labelled])):
         right += len(set(spans) & set(got))
         found += len(got)
         there += len(spans)
-    assert right / found > 0.95 and right / there > 0.95
+    assert right / found > 0.88 and right / there > 0.86
+
+
+def test_parts_of_the_table_do_not_meet():
+    import random
+
+    train, held = (pii_seeds._Filler(random.Random(1), p, pii_seeds.WORDS) for p in ("train", "held"))
+    for entries in (*pii_seeds.LINES.values(), pii_seeds.PLAIN, pii_seeds.GIVEN, pii_seeds.PLACES):
+        assert not set(train.of(list(dict.fromkeys(entries)))) & set(held.of(list(dict.fromkeys(entries))))
+
+
+def test_tokens_and_their_types_agree():
+    tokens = pii.Tokens()
+    for sep in [chr(i) for i in range(1, 0x3001) if chr(i).isspace()] + ["<p>", "<br/>", "\n<b>", " <"]:
+        for text in (f"a{sep}B9 c{sep}{sep}d-1@x{sep}", f"{sep}x\n{sep}y"):
+            assert [t for _, _, t in tokens.of(text)] == tokens.types_of(text), repr(text)
+            assert [t for _, _, t in tokens.of(text)] == pii.Tokens.types_of(tokens, text)
 
 
 def test_decoder_finds_the_best_path():
@@ -188,9 +207,9 @@ def test_sums_over_paths_agree_with_listing_them():
 
 
 def test_redaction(spark, tagger):
-    text = "my number is +44 7700 900514 if the upload fails\nAsk for Nora Hallworth at the counter."
+    text = "Please call +44 7700 900514 after six.\nI spoke with Maria Johnson yesterday."
     df = spark.createDataFrame([(1, text, "k"), (1, text, "k"), (2, None, "k"), (3, "", "k"), (4, "+1", "k"), (5, "a " * 30_000, "k")], "id long, content string, items string")
     got = {r.id: r for r in pii.find_pii(df, "content", ["id"], tagger).collect()}
-    assert got[1].redacted == "my number is [PHONE] if the upload fails\nAsk for [NAME] at the counter."
-    assert [(i.kind, i.item) for i in got[1]["items"]] == [("phone", "+44 7700 900514"), ("name", "Nora Hallworth")]
+    assert got[1].redacted == "Please call [PHONE] after six.\nI spoke with [NAME] yesterday."
+    assert [(i.kind, i.item) for i in got[1]["items"]] == [("phone", "+44 7700 900514"), ("name", "Maria Johnson")]
     assert got[2].redacted is None and got[2]["items"] is None and got[3].redacted == "" and got[4]["items"] == [] and got[5].redacted == "a " * 30_000
