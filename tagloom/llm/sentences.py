@@ -27,6 +27,7 @@ _CLOSERS = "\"”“»)]）」』】》〉›"
 _SPACES = "    "
 _END = regex.compile(rf"[{regex.escape(_MARKS)}]+")
 _THAI = regex.compile(r"(?<=[ก-ฺเ-๎])[ \t  -   　]+(?=[ก-ฺเ-๎])")
+_THAI_LETTER = regex.compile("[ก-๎]")
 _BLANK = regex.compile(r"(?:\r\n|[\n\v\f\r\x85  ])[^\S\n\v\f\r\x85  ]*(?:\r\n|[\n\v\f\r\x85  ])\s*")
 _QUOTES = regex.compile("[\"“”„«»()\\[\\]（）「」『』【】《》〈〉‹›]")
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}_]+(?:[.'’-][\p{L}\p{M}\p{N}]+)*")
@@ -35,6 +36,7 @@ _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 _SCRIPTS = [(s, regex.compile(rf"\p{{{s}}}")) for s in ("Latin", "Cyrillic", "Greek", "Arabic", "Devanagari", "Thai")]
 
 
+@functools.lru_cache(maxsize=50_000)
 def _script(ch: str) -> str:
     for name, r in _SCRIPTS:
         if r.match(ch):
@@ -65,6 +67,7 @@ def enclosed(block: str) -> list[tuple[int, int]]:
     return out
 
 
+@functools.lru_cache(maxsize=100_000)
 def _shape(word: str) -> str:
     if not word:
         return "none"
@@ -84,8 +87,38 @@ def _shape(word: str) -> str:
     return "mixed" if any(c.isupper() for c in word) else "lower"
 
 
-def candidates(block: str) -> Iterator[tuple[int, list[str]]]:
-    """Places where a sentence may end in a block, as (end, features)."""
+def _place_features(t: str, k: str, p: str, q: str, g: str, size: int, place: str, a: str, b: str) -> list[str]:
+    """Of the mark, the kinds of the words beside it, quotations, the gap, the length of the word before, where it stands, scripts."""
+    return [
+        "bias", f"t={t}", f"t={t} k={k}", f"t={t} p={p}", f"t={t} q={q}", f"q={q}", f"q={q} k={k}", f"g={g} k={k} t={t}", f"k={k}", f"p={p}", f"p={p} k={k}",
+        f"s={size} p={p}", f"s={size} k={k}", f"q={q} t={t} k={k}", f"place={place} p={p} k={k}", f"a={a} b={b} t={t}",
+    ]
+
+
+def _word_features(word: str, k: str) -> list[str]:
+    return [f"w={word}", f"w={word} k={k}"] if word else []
+
+
+def _next_features(word: str) -> list[str]:
+    return [f"next={word}"]
+
+
+def _number_features(p: str, before: str, word: str, k: str, word2: str, follows: str) -> list[str]:
+    """Of the word before a number, an initial or a dotted word."""
+    s2 = f"s2={before}"
+    return [f"{s2} p={p}", f"{s2} p={p} k={k}", f"{s2} w={word} k={k}", f"w2={word2} p={p}", f"w2={word2} p={p} k={k}", f"p={p} next={follows}"]
+
+
+_FEATURES = (_place_features, _word_features, _next_features, _number_features)
+
+
+def features(seen: tuple[tuple | None, ...]) -> list[str]:
+    """The features of a candidate, by what ``candidates`` has seen of it."""
+    return [f for make, part in zip(_FEATURES, seen) if part is not None for f in make(*part)]
+
+
+def candidates(block: str) -> Iterator[tuple[int, tuple[tuple | None, ...]]]:
+    """Places where a sentence may end in a block, as (end, what each of _FEATURES needs to know)."""
     spans = enclosed(block)
     starts = [s for s, _ in spans]
     n = len(block)
@@ -142,15 +175,12 @@ def candidates(block: str) -> Iterator[tuple[int, list[str]]]:
         size = min(len(prev), 6)
         place = "first" if touching and not block[:i - len(prev)].strip() else "later"
         short = prev.lower() if len(prev) <= 6 else ""
-        f = [
-            "bias", f"t={t}", f"t={t} k={kind}", f"t={t} p={p}", f"t={t} q={quote}", f"q={quote}", f"q={quote} k={kind}", f"g={gap} k={kind} t={t}", f"k={kind}", f"p={p}", f"p={p} k={kind}",
-            f"s={size} p={p}", f"s={size} k={kind}", f"q={quote} t={t} k={kind}", f"place={place} p={p} k={kind}", f"a={_script(prev[-1:] or ' ')} b={_script(bare[0])} t={t}", f"next={nxt.lower()[:12]}",
-        ]
-        if short:
-            f += [f"w={short}", f"w={short} k={kind}"]
-        if p in ("digits", "number", "initial", "Initial", "dotted"):
-            f += [f"s2={_shape(prev2)} p={p}", f"s2={_shape(prev2)} p={p} k={kind}", f"s2={_shape(prev2)} w={short} k={kind}", f"w2={prev2.lower()[:12]} p={p}", f"w2={prev2.lower()[:12]} p={p} k={kind}", f"p={p} next={nxt.lower()[:12]}"]
-        yield stop, f
+        following = nxt.lower()[:12]
+        number = p in ("digits", "number", "initial", "Initial", "dotted")
+        yield stop, (
+            (t, kind, p, quote, gap, size, place, _script(prev[-1:] or " "), _script(bare[0])), (short, kind), (following,),
+            (p, _shape(prev2), short if short else "none", kind, prev2.lower()[:12], following) if number else None,
+        )
 
 
 def _filled(template: str, r: random.Random) -> str:
@@ -164,10 +194,11 @@ def _filled(template: str, r: random.Random) -> str:
     return out
 
 
-def training_blocks(n: int, seed: int = 8) -> Iterator[tuple[str, set[int]]]:
-    """Blocks of sentences side by side, with the places where one ends and another follows."""
+def training_blocks(n: int, seed: int = 8, part: str = "all") -> Iterator[tuple[str, set[int]]]:
+    """Blocks of sentences side by side, with the places where one ends and another follows; ``part`` is `all`, `train` or `held`."""
     r = random.Random(seed)
     langs = sorted(SEEDS)
+    seeds = {lang: [x for i, x in enumerate(own) if part == "all" or (i % 5 == 0) == (part == "held")] for lang, own in SEEDS.items()}
     for _ in range(n):
         lang = r.choice([*langs, "en", "en", "en", "de", "zh"])
         block, ends = "", set()
@@ -176,7 +207,7 @@ def training_blocks(n: int, seed: int = 8) -> Iterator[tuple[str, set[int]]]:
         glued, loud = r.random() < 0.12, r.random() < 0.04
         for k in range(r.randint(2, 4)):
             own = lang if r.random() < 0.85 else r.choice(langs)
-            s = _filled(r.choice(SEEDS[own]), r)
+            s = _filled(r.choice(seeds[own]), r)
             if loud:
                 s = s.upper()
             if r.random() < 0.15:
@@ -194,13 +225,31 @@ class Splitter:
 
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
+        # Scores of what was seen, part by part: most candidates are told by four look-ups.
+        self.known: tuple[dict[tuple, float], ...] = ({}, {}, {}, {})
+
+    def __reduce__(self):
+        return Splitter, (self.weights,)
+
+    def score(self, seen: tuple[tuple | None, ...]) -> float:
+        total = 0.0
+        for known, make, part in zip(self.known, _FEATURES, seen):
+            if part is None:
+                continue
+            got = known.get(part)
+            if got is None:
+                if len(known) > 200_000:
+                    known.clear()
+                got = known[part] = sum(self.weights.get(f, 0.0) for f in make(*part))
+            total += got
+        return total
 
     @staticmethod
     def train(blocks: Iterator[tuple[str, set[int]]], rounds: int = 400, ridge: float = 0.3) -> Splitter:
         rows, labels = [], []
         for block, ends in blocks:
-            for end, f in candidates(block):
-                rows.append(f)
+            for end, seen in candidates(block):
+                rows.append(features(seen))
                 labels.append(end in ends)
         counts: dict[str, int] = {}
         for f in rows:
@@ -220,9 +269,8 @@ class Splitter:
 
     def ends(self, block: str) -> list[int]:
         """Ends of a block's sentences but the last."""
-        get = self.weights.get
-        out = [end for end, f in candidates(block) if sum(get(x, 0.0) for x in f) > 0]
-        if regex.search(r"[ก-๎]", block):
+        out = [end for end, seen in candidates(block) if self.score(seen) > 0]
+        if _THAI_LETTER.search(block):
             out = sorted({*out, *(m.start() for m in _THAI.finditer(block))})
         return out
 
@@ -246,8 +294,8 @@ class Splitter:
 
 
 @functools.lru_cache(maxsize=2)
-def default_splitter(blocks: int = TRAINING_BLOCKS) -> Splitter:
-    return Splitter.train(training_blocks(blocks))
+def default_splitter(blocks: int = TRAINING_BLOCKS, part: str = "all") -> Splitter:
+    return Splitter.train(training_blocks(blocks, part=part))
 
 
 def sentences(docs: DataFrame, doc_id: str, text: str, splitter: Splitter | None = None) -> DataFrame:
