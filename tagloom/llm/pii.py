@@ -306,7 +306,7 @@ class Tagger:
         sizes = np.array([len(s) for s in toks])
         out: list[list[tuple[int, int, str]]] = [[] for _ in batch]
         order = np.argsort(sizes, kind="stable")
-        order = order[sizes[order] > 0]
+        order = order[(sizes > 0)[order] & self._open(e, starts - REACH, sizes)[order]]
         lo = 0
         while lo < len(order):
             hi = lo + 1
@@ -318,6 +318,20 @@ class Tagger:
                     out[i] = self._items(batch[i], self.tokens.of(batch[i]), path.tolist())
         return out
 
+    def _open(self, e: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Which texts can hold an item at all? In the others no path is better than the one without any.
+
+        Items that begin, go on and end gain by their moves ``enter``, ``stay`` and ``leave`` at most. If each token loses more
+        than it gains by going on, the best item is a single token, and if that loses too, there is none.
+        """
+        if not len(e):
+            return np.zeros(len(sizes), bool)
+        moves = self.moves - self.moves[0, 0]
+        enter, stay, leave = moves[0, 1:].max(), max(0.0, moves[1:, 1:].max()), moves[1:, 0].max()
+        gain = e[:, 1:].max(axis=1) - e[:, 0]
+        hot = np.concatenate([[0], np.cumsum((gain + max(stay, enter + leave, 0.0) >= -1e-3))])
+        return hot[np.minimum(starts + sizes, len(e))] > hot[np.minimum(starts, len(e))]
+
     @staticmethod
     def _items(text: str, toks: list[tuple[int, int, int]], path: list[int]) -> list[tuple[int, int, str]]:
         items: list[list] = []
@@ -411,12 +425,17 @@ def find_pii(df: DataFrame, text: str, keep: list[str], tagger: Tagger | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             contents = b.column(b.num_columns - 1).to_pylist()
-            for lo, hi in runs_of(contents, 2000, CHARS):
+            for lo, hi in runs_of(contents, 4000, CHARS):
                 part = contents[lo:hi]
                 found = model.find([t or "" for t in part])
-                items = [None if t is None else [{"kind": k, "start_char": s, "end_char": e, "item": t[s:e]} for s, e, k in f] for t, f in zip(part, found)]
-                clean = [None if t is None else redacted(t, f) if f else t for t, f in zip(part, found)]
-                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in b.columns[:-1]], pa.array(items, pa.list_(struct)), pa.array(clean, pa.string())], names=[*[f"c{i}" for i in range(len(keep))], "items", "redacted"])
+                ends = np.cumsum([len(f) for f in found])
+                flat = [(k, s, e, t[s:e]) for t, f in zip(part, found) for s, e, k in f]
+                items = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*flat) if flat else [()] * 4, struct)], fields=list(struct))
+                offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+                none = pa.array([t is None for t in part])
+                clean = [redacted(t, f) if f else t for t, f in zip(part, found)]
+                cols = [*[c.slice(lo, hi - lo) for c in b.columns[:-1]], pa.ListArray.from_arrays(offsets, items, mask=none), pa.array(clean, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, names=[*[f"c{i}" for i in range(len(keep))], "items", "redacted"])
 
     inner = spread(df.select(*[F.col(k).alias(f"c{i}") for i, k in enumerate(keep)], F.col(text).alias("t")))
     schema = ", ".join([*[f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)], "items array<struct<kind string, start_char long, end_char long, item string>>, redacted string"])

@@ -120,13 +120,21 @@ def test_every_character_is_in_one_sentence(splitter):
         assert all(text[a:b] == text[a:b].strip() for a, b in spans)
 
 
-def test_held_out_borders(splitter):
+def test_held_out_borders():
+    """A splitter that hasn't seen the sentences of the held-out part, whose abbreviations are often its own."""
+    model = sentences.default_splitter(part="train")
     right = total = 0
-    for block, ends in sentences.training_blocks(800, seed=77):
-        got = set(splitter.ends(block))
+    for block, ends in sentences.training_blocks(1500, seed=77, part="held"):
+        got = set(model.ends(block))
         right += sum((e in got) == (e in ends) for e, _ in sentences.candidates(block))
         total += sum(1 for _ in sentences.candidates(block))
-    assert right / total > 0.99
+    assert right / total > 0.93
+
+
+def test_scores_by_parts_are_those_of_all_features(splitter):
+    for block, _ in sentences.training_blocks(200, seed=5):
+        for _, seen in sentences.candidates(block):
+            assert splitter.score(seen) == pytest.approx(sum(splitter.weights.get(f, 0.0) for f in sentences.features(seen)))
 
 
 def test_sentence_rows(spark, splitter):
@@ -171,6 +179,13 @@ def test_tokens_and_their_types_agree():
             assert [t for _, _, t in tokens.of(text)] == pii.Tokens.types_of(tokens, text)
 
 
+def test_texts_left_out_hold_nothing(tagger, monkeypatch):
+    some = [t for t, _ in pii_seeds.texts(400, seed=31)] + [x for t, _ in pii_seeds.texts(100, seed=32) for x in t.split()] + [""]
+    quick = tagger.find(some)
+    monkeypatch.setattr(pii.Tagger, "_open", lambda self, e, starts, sizes: sizes >= 0)
+    assert tagger.find(some) == quick
+
+
 def test_decoder_finds_the_best_path():
     import itertools
 
