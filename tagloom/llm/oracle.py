@@ -48,6 +48,10 @@ SQL = {
     "p2_between": f"""{_SIMILAR}, q AS (SELECT x.fileid AS a, y.fileid AS b FROM (SELECT a, b FROM l UNION ALL SELECT b, a FROM l UNION ALL SELECT cid, cid FROM k) q JOIN g x ON x.cid = q.a JOIN g y ON y.cid = q.b WHERE x.fileid % 20 = 0 AND y.fileid % 20 <> 0)
 SELECT q.a AS fileid, q.b AS other, len(list_intersect(x.tags, y.tags)) AS n_common, len(x.tags) + len(y.tags) - len(list_intersect(x.tags, y.tags)) AS n_union FROM q JOIN f x ON x.fileid = q.a JOIN f y ON y.fileid = q.b""",
     "p2_classes": f"{_SIMILAR}, d AS (SELECT cid, count(*) AS n FROM (SELECT a AS cid FROM l UNION ALL SELECT b FROM l) GROUP BY cid) SELECT g.fileid, g.cid AS class_id, count(*) OVER (PARTITION BY g.cid) AS n_copies, coalesce(d.n, 0) AS n_links FROM g LEFT JOIN d ON g.cid = d.cid",
+    "p7_sources": """WITH k AS (SELECT regexp_replace(lower(trim(source)), '[\\s_-]+', '_', 'g') AS source, sum(greatest(CAST(target_share AS DECIMAL(20, 12)), 0)) AS w, min(max_repeats) AS m FROM mix_targets WHERE source IS NOT NULL GROUP BY 1),
+h AS (SELECT DISTINCT regexp_replace(lower(trim(source)), '[\\s_-]+', '_', 'g') AS source FROM documents WHERE text <> '')
+SELECT source, round(CAST(w AS DOUBLE), 9) AS target_share, m AS max_repeats, 0 AS docs_missing, w > 0 AND m > 0 AND source IN (SELECT source FROM h WHERE source IS NOT NULL) AS mixed FROM k""",
+    "p8_coverage": "SELECT doc_id, length(regexp_replace(text, '[\\s\\v\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]', '', 'g')) AS n_chars, true AS bare FROM documents WHERE regexp_matches(text, '[^\\s\\v\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]')",
     "p4_found": f"{_NAMES} SELECT normalized_name, mark FROM r WHERE mark IS NOT NULL",
     "p4_terms": f"{_NAMES} SELECT normalized_name, total, n_tags, mark FROM r",
 }

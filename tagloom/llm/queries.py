@@ -112,6 +112,23 @@ def p7_shares(spark, d):
     return _mixed(spark, d)[1]
 
 
+def p7_sources(spark, d):
+    """The report of the mixture without what hangs on the tokenizer: targets by their own spelling, limits, and documents of each."""
+    rows = _mixed(spark, d)[1].join(F.broadcast(_with_text(spark, d)), "source", "left")
+    return rows.select("source", F.round("target_share", 9).alias("target_share"), "max_repeats", (F.col("n_docs") - F.coalesce("n", F.lit(0))).alias("docs_missing"), (F.col("mixed_tokens") > 0).alias("mixed"))
+
+
+def _with_text(spark, d):
+    docs = table(spark, d, "documents").filter("text <> '' and doc_id is not null")
+    return docs.groupBy(mixing.source_key(F.col("source")).alias("source")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def p8_coverage(spark, d):
+    """How many characters that aren't white space each document's sentences hold, together: all of the text's, none of them twice."""
+    rows = sentence.sentences(table(spark, d, "documents"), "doc_id", "text")
+    return rows.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace("sentence", r"(?U)\s", ""))).alias("n_chars"), F.bool_and(F.col("sentence") == F.regexp_replace("sentence", r"(?U)^\s+|\s+$", "")).alias("bare"))
+
+
 def p8_found(spark, d):
     return sentence.sentences(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "start_char", "end_char")
 
@@ -121,4 +138,4 @@ def p8_sentences(spark, d):
     return sentence.sentences(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_lift, p1_pairs, p2_found, p2_classes, p2_between, p4_found, p4_terms, p5_found, p5_redacted, p6_found, p6_leaks, p7_mixture, p7_shares, p8_found, p8_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_lift, p1_pairs, p2_found, p2_classes, p2_between, p4_found, p4_terms, p5_found, p5_redacted, p6_found, p6_leaks, p7_mixture, p7_shares, p7_sources, p8_found, p8_sentences, p8_coverage)}

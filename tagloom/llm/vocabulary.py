@@ -18,7 +18,7 @@ def normal_form(c: Column) -> Column:
 
     A capital sigma lowers to the ordinary small sigma wherever it stands, as it does when characters are lowered one by one.
     """
-    kept = F.regexp_replace(c, r"[^\p{IsAlphabetic}\p{N}]", "")
+    kept = F.regexp_replace(c, r"[^\p{L}\p{N}]", "")
     return F.lower(F.regexp_replace(kept, "Σ", "σ"))
 
 

@@ -193,6 +193,11 @@ def test_terms(spark):
     assert vocabulary.term_counts(df.limit(0), F.col("t"), F.col("id")).count() == 0
 
 
+def test_normal_form_keeps_letters_and_digits(spark, rows):
+    df = spark.createDataFrame([("ΟΔΟΣ", ), ("ὁδός", ), ("हिन्दी 2", ), ("ไทย", ), ("Ⅷ-é́ß", )], "t string")
+    assert [r[0] for r in df.select(vocabulary.normal_form(F.col("t"))).collect()] == ["οδοσ", "ὁδός", "हनद2", "ไทย", "ⅷéß"]
+
+
 def test_marks(spark):
     df = spark.createDataFrame([("a", 4), ("b", 5), ("c", 400), ("d", 399)], "term string, total long")
     assert [r.mark for r in vocabulary.mark_terms(df, 100_000, 5, 0.004).orderBy("term").collect()] == ["rare", None, "common", None]
