@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +17,10 @@ def digests(c: Column) -> dict[str, Column]:
     return {"MD5": F.md5(c), "SHA1": F.upper(F.sha1(c)), "SHA256": F.upper(F.sha2(c, 256)), "SHA512": F.upper(F.sha2(c, 512))}
 
 
-def hash_rows(df: DataFrame, key: str, content: str) -> DataFrame:
-    """(``key``, algorithm, digest), a row for each algorithm; null contents have none."""
-    rows = F.array(*[F.struct(F.lit(a).alias("algorithm"), d.alias("digest")) for a, d in digests(F.col(content)).items()])
+def hash_rows(df: DataFrame, key: str, content: str, algorithms: Sequence[str] = ("MD5", "SHA1", "SHA256", "SHA512")) -> DataFrame:
+    """(``key``, algorithm, digest), a row for each algorithm asked for; null contents have none."""
+    known = digests(F.col(content))
+    rows = F.array(*[F.struct(F.lit(a).alias("algorithm"), known[a].alias("digest")) for a in algorithms])
     return df.filter(F.col(content).isNotNull()).select(key, F.inline(rows))
 
 

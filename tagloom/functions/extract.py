@@ -24,17 +24,22 @@ def iso_seconds(c: Column) -> Column:
     return F.when(ok, part("H") * 3600 + part("M") * 60 + part("S"))
 
 
-def spoken_seconds(text: str) -> int:
-    """Seconds of a duration as 1w2d3h: units from long to short; `now`, and what isn't a number, is 0."""
-    if text == "now":
-        return 0
-    total, rest = 0, text
-    for unit in ("y", "mo", "w", "d", "h", "m", "s"):
-        head, found, tail = rest.partition(unit)
-        if found and not (unit == "m" and tail.startswith("o")):
-            total += int(head) * UNITS[unit] if head.isdigit() else 0
-            rest = tail
-    return total
+def spoken_seconds(c: Column) -> Column:
+    """Seconds of a duration as 1w2d3h, its units from long to short.
+
+    What stands before a unit's first place is its number, what is between that and its second place is read on; a number
+    that can't be read counts 0, and at a unit without anything before it reading ends. `now` is 0 in any case; null stays null.
+    """
+    units = F.array(*[F.struct(F.lit(u).alias("unit"), F.lit(n).cast("long").alias("seconds")) for u, n in UNITS.items()])
+
+    def read(acc: Column, u: Column) -> Column:
+        head = F.split_part(acc["rest"], u["unit"], F.lit(1))
+        number = F.when(head.rlike("^[+]?[0-9]+$"), F.regexp_replace(head, "[+]", "").try_cast("long"))
+        after = F.struct(F.split_part(acc["rest"], u["unit"], F.lit(2)).alias("rest"), (acc["total"] + u["seconds"] * F.coalesce(number, F.lit(0))).alias("total"), F.lit(False).alias("over"))
+        return F.when(acc["over"] | ~F.contains(acc["rest"], u["unit"]), acc).when(head == "", F.struct(acc["rest"].alias("rest"), acc["total"].alias("total"), F.lit(True).alias("over"))).otherwise(after)
+
+    total = F.aggregate(units, F.struct(c.alias("rest"), F.lit(0).cast("long").alias("total"), F.lit(False).alias("over")), read)["total"]
+    return F.when(c.isNull(), F.lit(None).cast("long")).when(F.lower(c) == "now", F.lit(0).cast("long")).otherwise(total)
 
 
 def last_path_number(url: Column) -> Column:
@@ -86,6 +91,43 @@ def html_links(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""), F.lit(1))
 
 
+def video_id(url: Column) -> Column:
+    """The number behind /video/ in an address; null if there is none."""
+    return F.nullif(F.regexp_extract(url, r"/video/([0-9]+)", 1), F.lit(""))
+
+
+def script_constant(page: Column, name: str) -> Column:
+    """The text that a page's script gives a constant; null if it gives none."""
+    return F.nullif(F.regexp_extract(page, rf"""const\s+{name}\s*=\s*["']([^"']+)["']""", 1), F.lit(""))
+
+
+def pushed_text(page: Column) -> Column:
+    """The text that a page's script pushes for its frame, unescaped; null if there is none or it can't be read."""
+    raw = F.nullif(F.regexp_extract(page, r"""__next_f\.push\(\[\s*\d+\s*,\s*"((?:[^"\\]|\\.)*)"\s*\]""", 1), F.lit(""))
+    return F.from_json(F.concat(F.lit('{"t":"'), raw, F.lit('"}')), "t string")["t"]
+
+
+def media_hash(page: Column) -> Column:
+    """The 32 hex digits that name an encoded address's WebP file; null if there is none."""
+    return F.nullif(F.regexp_extract(page, r"%2F([a-f0-9]{32})\.webp", 1), F.lit(""))
+
+
+def slug(url: Column) -> Column:
+    """The last part of an address's path that isn't empty."""
+    return F.nullif(F.regexp_extract(url, r"/([^/?#]+)/*(?:[?#].*)?$", 1), F.lit(""))
+
+
+def file_stem(url: Column) -> Column:
+    """The last part of an address up to its first dot: a digest, where files are named so."""
+    return F.split_part(F.element_at(F.split(url, "/"), -1), F.lit("."), F.lit(1))
+
+
+def page_numbers(page: Column) -> Column:
+    """The greatest page that a page's links lead to; 1 if they lead to none."""
+    found = F.transform(F.regexp_extract_all(page, F.lit(r"[?&;]page=(\d+)"), F.lit(1)), lambda x: x.try_cast("long"))
+    return F.greatest(F.lit(1).cast("long"), F.coalesce(F.array_max(found), F.lit(1).cast("long")))
+
+
 def html_title(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit(""))
 
@@ -126,6 +168,92 @@ def _read_html(html: str) -> str:
     return "\n".join(x for x in (" ".join(x.split()) for x in "".join(out).split("\n")) if x)
 
 
+_ELEMENT = T.StructType([T.StructField("tag", T.StringType()), T.StructField("classes", T.ArrayType(T.StringType())), T.StructField("id", T.StringType()), T.StructField("href", T.StringType()), T.StructField("own_text", T.StringType()), T.StructField("text", T.StringType()), T.StructField("depth", T.IntegerType()), T.StructField("parent", T.IntegerType())])
+
+
+def _read_elements(html: str) -> list[dict]:
+    from html.parser import HTMLParser
+
+    out: list[dict] = []
+    alone = {"br", "img", "hr", "input", "meta", "link"}
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.open: list[int] = []
+
+        def handle_starttag(self, tag, attrs):
+            a = dict(attrs)
+            out.append({"tag": tag, "classes": (a.get("class") or "").split(), "id": a.get("id"), "href": a.get("href"), "own_text": [], "text": [], "depth": len(self.open), "parent": self.open[-1] if self.open else -1})
+            if tag not in alone:
+                self.open.append(len(out) - 1)
+
+        def handle_endtag(self, tag):
+            for k in range(len(self.open) - 1, -1, -1):
+                if out[self.open[k]]["tag"] == tag:
+                    del self.open[k:]
+                    break
+
+        def handle_data(self, data):
+            if self.open:
+                out[self.open[-1]]["own_text"].append(data)
+                if not any(out[i]["tag"] in ("script", "style") for i in self.open):
+                    for i in self.open:
+                        out[i]["text"].append(data)
+
+    reader = Reader()
+    reader.feed(html)
+    reader.close()
+    for e in out:
+        e["own_text"], e["text"] = "".join(e["own_text"]), "".join(e["text"])
+    return out
+
+
+@F.pandas_udf(T.ArrayType(_ELEMENT))
+def html_elements(s: pd.Series) -> pd.Series:
+    """All elements of a page in order: (tag, classes, id, href, own_text, text, depth, parent), parent the place of the one around, else -1."""
+    return s.map(_read_elements, na_action="ignore")
+
+
+def tags_by_class(elements: Column, namespaces: dict[str, str]) -> Column:
+    """(ns, name) of the links whose class stands for a namespace; empty ones are left out."""
+    hit = lambda css, ns: F.transform(F.filter(elements, lambda e: (e["tag"] == "a") & F.array_contains(e["classes"], css) & (F.trim(e["text"]) != "")), lambda e: F.struct(F.lit(ns).alias("ns"), F.trim(e["text"]).alias("name")))
+    return F.concat(*[hit(css, ns) for css, ns in namespaces.items()])
+
+
+def children_of_first(elements: Column, tag: str, css: str) -> Column:
+    """The elements right inside the first ``tag`` with a class: a list's rows."""
+    at = F.array_position(F.transform(elements, lambda e: (e["tag"] == tag) & F.array_contains(e["classes"], css)), F.lit(True)) - 1
+    return F.when(at >= 0, F.filter(elements, lambda e: e["parent"] == at.cast("int")))
+
+
+def chapters(elements: Column) -> Column:
+    """(url, title, paid) of a list of chapters: links of class `chapter` around a title, paid where a cost is shown inside."""
+    indexed = F.transform(elements, lambda e, i: F.struct(i.alias("i"), e.alias("e")))
+    links = F.filter(indexed, lambda x: (x["e"]["tag"] == "a") & F.array_contains(x["e"]["classes"], "chapter") & x["e"]["href"].isNotNull())
+
+    def one(x: Column) -> Column:
+        end = F.coalesce(F.array_min(F.transform(F.filter(indexed, lambda y: (y["i"] > x["i"]) & (y["e"]["depth"] <= x["e"]["depth"])), lambda y: y["i"])), F.size(elements))
+        inside = F.filter(indexed, lambda y: (y["i"] > x["i"]) & (y["i"] < end))
+        title = F.get(F.filter(inside, lambda y: (y["e"]["tag"] == "div") & F.array_contains(y["e"]["classes"], "title")), F.lit(0))["e"]["text"]
+        return F.struct(x["e"]["href"].alias("url"), collapsed(title).alias("title"), F.exists(inside, lambda y: F.array_contains(y["e"]["classes"], "cost")).alias("paid"))
+
+    return F.filter(F.transform(links, one), lambda x: x["title"].isNotNull())
+
+
+def body_lines(elements: Column, watermark: str, skip: tuple[str, ...] = ("advertisment",)) -> Column:
+    """The text of all `div`s that aren't advertisements, each on a line, without watermarks; empty ones are left out."""
+    bad = F.lit(False)
+    divs = F.filter(elements, lambda e: (e["tag"] == "div") & ~F.exists(e["classes"], lambda k: F.array_contains(F.array(*map(F.lit, skip)), k)) & ~F.coalesce(e["id"].rlike("bg-ssp|yandex_rtb"), bad))
+    lines = F.transform(divs, lambda e: F.trim(without_watermark(F.trim(F.regexp_replace(e["own_text"], r"^\s+|\s+$", "")), watermark)))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+
+
+def without_watermark(text: Column, watermark: str) -> Column:
+    """A text without a watermark, whatever its case."""
+    return F.regexp_replace(text, f"(?i){watermark}", "")
+
+
 @F.pandas_udf(T.StringType())
 def html_text(s: pd.Series) -> pd.Series:
     """Text of a page: blocks on lines of their own, scripts and styles left out; null stays null."""

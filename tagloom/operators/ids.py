@@ -38,3 +38,14 @@ def page_after(df: DataFrame, keys: Sequence[str], last: Sequence, limit: int) -
 def page_at(df: DataFrame, keys: Sequence[str], offset: int, limit: int) -> DataFrame:
     """``limit`` rows by ``keys`` from the ``offset``-th on."""
     return df.orderBy(*keys).offset(offset).limit(limit)
+
+
+def in_lists(df: DataFrame, name: str, size: int) -> DataFrame:
+    """(chunk, ids): the values of ``name`` in order, ``size`` of them in each list, as text with commas."""
+    numbered = dense_ids(df.select(name), [name], start=0, name="_nth")
+    return numbered.groupBy(F.floor(F.col("_nth") / size).alias("chunk")).agg(F.array_join(F.sort_array(F.collect_list(name)).cast("array<string>"), ",").alias("ids"))
+
+
+def pages(jobs: DataFrame, first: Column, last: Column, step: int = 1, name: str = "page") -> DataFrame:
+    """``jobs`` fanned out: a row for each number from ``first`` to ``last``."""
+    return jobs.select("*", F.explode(F.sequence(first, last, F.lit(step))).alias(name))

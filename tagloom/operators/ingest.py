@@ -61,10 +61,23 @@ def upsert_files(files: DataFrame, new: DataFrame) -> DataFrame:
     return kept.unionByName(dense_ids(fresh, ["hash"], start=_top(files) + 1).select("id", "hash", "extension", "storage_id", "size_bytes"))
 
 
+def update_files(files: DataFrame, changes: DataFrame) -> DataFrame:
+    """``files`` with hash, extension and storage_id as in ``changes`` (id, hash, extension, storage_id), nulls included.
+
+    Of several changes of a file the greatest counts; changes of unknown files do nothing.
+    """
+    want = changes.filter("id is not null").groupBy("id").agg(F.max(F.struct("hash", "extension", "storage_id")).alias("_n"))
+    take = lambda col: F.when(F.col("_n").isNotNull(), F.col(f"_n.{col}")).otherwise(F.col(col)).alias(col)
+    return files.join(want, "id", "left").select("id", take("hash"), take("extension"), take("storage_id"), "size_bytes")
+
+
 def add_edges(c: TagCatalog, new: DataFrame) -> DataFrame:
-    """``rel`` with ``new`` (file_id, tag_id); edges to unknown tags are dropped, known ones stay single."""
-    known = new.select("file_id", "tag_id").join(c.tags.select(F.col("id").alias("tag_id"), "namespace"), "tag_id").select("file_id", "tag_id", "namespace")
-    return c.rel.unionByName(known).dropDuplicates(["file_id", "tag_id"])
+    """``rel`` with ``new`` (file_id, tag_id); edges to unknown tags are dropped, known ones stay single.
+
+    Edges that are there are only looked at by those that are new, within their namespaces; they are never sorted out again.
+    """
+    known = new.select("file_id", "tag_id").join(c.tags.select(F.col("id").alias("tag_id"), "namespace"), "tag_id").select("file_id", "tag_id", "namespace").distinct()
+    return c.rel.select("file_id", "tag_id", "namespace").unionByName(known.join(c.rel, ["file_id", "tag_id", "namespace"], "left_anti"))
 
 
 def drop_edges(rel: DataFrame, gone: DataFrame) -> DataFrame:
@@ -90,23 +103,35 @@ def drop_namespace(c: TagCatalog, ns: int) -> TagCatalog:
     return out
 
 
-def apply_actions(c: TagCatalog, actions: DataFrame) -> DataFrame:
+def named_tags(c: TagCatalog, actions: DataFrame) -> DataFrame:
+    """(file_id, operation, tag_id, namespace, ns) of the tags that ``actions`` name and that exist."""
+    ns = c.namespace.select(F.col("id").alias("namespace"), F.col("name").alias("ns"))
+    t = actions.select("file_id", "operation", F.explode("tags").alias("t")).filter("t.tag_type in ('Normal', 'NormalNoRegex')").select("file_id", "operation", F.col("t.name").alias("name"), F.col("t.ns").alias("ns"))
+    tags = c.tags.select(F.col("id").alias("tag_id"), "name", "namespace")
+    return t.join(ns, "ns").join(tags, ["name", "namespace"]).select("file_id", "operation", "tag_id", "namespace", "ns").distinct()
+
+
+def apply_actions(c: TagCatalog, actions: DataFrame, all_namespaces: bool = True) -> DataFrame:
     """``rel`` after ``actions`` (file_id, operation, tags), whose tags exist.
 
     Add adds edges, Del removes them. Set makes the tags of each namespace it mentions the file's only ones there, but for
     edges that are added in the same batch; it leaves SET_SPARES alone. What is both removed and added is removed.
+
+    Only the namespaces that the actions mention are read for it, looked at and sorted out; the edges of the others are put
+    beside as they are, or left out without ``all_namespaces``, for ``TagCatalog.replace_namespaces``.
     """
-    ns = c.namespace.select(F.col("id").alias("namespace"), F.col("name").alias("ns"))
-    t = actions.select("file_id", "operation", F.explode("tags").alias("t")).filter("t.tag_type in ('Normal', 'NormalNoRegex')").select("file_id", "operation", F.col("t.name").alias("name"), F.col("t.ns").alias("ns"))
-    t = cut(t.join(ns, "ns").join(c.tags.select(F.col("id").alias("tag_id"), "name", "namespace"), ["name", "namespace"]).select("file_id", "operation", "tag_id", "namespace", "ns").distinct())
+    t = cut(named_tags(c, actions))
+    touched = [r.namespace for r in t.select("namespace").distinct().collect()]
+    here = F.col("namespace").isin(touched)
     edge = ["file_id", "tag_id", "namespace"]
     added = t.filter("operation = 'Add'").select(edge)
     sets = t.filter(F.col("operation").isin("Set") & ~F.col("ns").isin(*SET_SPARES)).select(edge)
     removed = t.filter("operation = 'Del'").select("file_id", "tag_id")
     scope = sets.select("file_id", "namespace").distinct()
-    replaced = c.rel.join(scope, ["file_id", "namespace"], "left_semi").join(sets, ["file_id", "tag_id"], "left_anti").join(added, ["file_id", "tag_id"], "left_anti").select("file_id", "tag_id")
-    everything = c.rel.select(edge).unionByName(added).unionByName(sets).dropDuplicates(["file_id", "tag_id"])
-    return drop_edges(everything, removed.unionByName(replaced))
+    old = c.rel.filter(here).select(edge)
+    replaced = old.join(scope, ["file_id", "namespace"], "left_semi").join(sets, ["file_id", "tag_id"], "left_anti").join(added, ["file_id", "tag_id"], "left_anti").select("file_id", "tag_id")
+    changed = drop_edges(old.unionByName(added).unionByName(sets).dropDuplicates(["file_id", "tag_id"]), removed.unionByName(replaced))
+    return changed.unionByName(c.rel.filter(~here).select(edge)) if all_namespaces else changed
 
 
 def merge(into: TagCatalog, other: TagCatalog) -> TagCatalog:

@@ -8,6 +8,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.catalog import TagCatalog
+from tagloom.operators import textsearch
+
 #: Up to so many ids a search is part of the scan's own filter; beyond, a table of ids is joined.
 INLINE_IDS = 500
 
@@ -58,10 +61,29 @@ def search_files(rel: DataFrame, spec: SearchSpec, limit: int | None = None, off
     return ordered if limit is None else ordered.limit(min(limit, 2**31 - 1))
 
 
+def search_by_groups(
+    c: TagCatalog, and_ids: Sequence[int] = (), and_names: Sequence[str] = (), or_ids: Sequence[int] = (), or_names: Sequence[str] = (),
+    not_ids: Sequence[int] = (), not_names: Sequence[str] = (), limit: int | None = None,
+) -> DataFrame:
+    """Files with all of the first ids and names, one of the second, and none of the third: (file_id), the greatest ids first.
+
+    A name stands for all tags that it finds, and is met by any of them. A required name that finds nothing gives no file, so
+    do alternatives with names if neither they nor the ids beside them are any; an excluded name that finds nothing is
+    left out. A search for nothing gives nothing.
+    """
+    found = iter(textsearch.resolve_names(c.tags, [*and_names, *or_names, *not_names]))
+    must, some, never = ([next(found) for _ in names] for names in (and_names, or_names, not_names))
+    either = [*or_ids, *(i for ids in some for i in ids)]
+    if not all(must) or or_names and not either:
+        return search_files(c.rel, SearchSpec())
+    groups = [*must, either] if either else must
+    return search_files(c.rel, SearchSpec(and_ids, groups, [*not_ids, *(i for ids in never for i in ids)]), limit)
+
+
 def has_edges(rel: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``pairs`` (file_id, tag_id) with ``present``: is there such an edge?"""
+    """``pairs`` (file_id, tag_id) with ``present``: is there such an edge? Of the edges only those asked for go on from the scan."""
     asked = pairs.select("file_id", "tag_id").filter("file_id is not null and tag_id is not null").distinct()
-    known = rel.select("file_id", "tag_id").distinct().withColumn("_e", F.lit(True))
+    known = rel.select("file_id", "tag_id").join(asked, ["file_id", "tag_id"], "left_semi").distinct().withColumn("_e", F.lit(True))
     return asked.join(known, ["file_id", "tag_id"], "left").select("file_id", "tag_id", F.col("_e").isNotNull().alias("present"))
 
 

@@ -22,6 +22,11 @@ def put(df: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(last, same, "left_anti").unionByName(last.select(df.columns))
 
 
+def get(df: DataFrame, name: str) -> DataFrame:
+    """The setting of a name; no row if there is none."""
+    return df.filter(F.col("name") == name)
+
+
 def get_or_create(df: DataFrame, values: DataFrame, name: str) -> DataFrame:
     """``df`` (id, ``name``) with the values that it lacks; new ids follow the greatest in the order of the values."""
     top = df.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
@@ -43,3 +48,18 @@ def located(files: DataFrame, storage: DataFrame, listing: DataFrame) -> DataFra
     want = files.filter("hash is not null").select("id", inner.alias("path")).filter("path is not null")
     at = listing.join(storage.select(F.col("id").alias("storage_id"), "location"), "location")
     return want.join(at, "path").groupBy("id").agg(F.min(F.struct("storage_id", F.concat_ws("/", "location", "path").alias("path"))).alias("m")).select("id", "m.path")
+
+
+def without_digests(files: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Files (id) that have no digest yet."""
+    return files.join(hashes.select(F.col("file_id").alias("id")), "id", "left_anti").select("id").distinct()
+
+
+def without_size(files: DataFrame) -> DataFrame:
+    """Files (id) whose contents are there but whose size isn't known."""
+    return files.filter("size_bytes is null and hash is not null").select("id").distinct()
+
+
+def to_download(urls: DataFrame, dead: DataFrame) -> DataFrame:
+    """Addresses (url) that aren't known to be dead, each once."""
+    return urls.select("url").filter("url is not null").distinct().join(dead, "url", "left_anti")

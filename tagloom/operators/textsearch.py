@@ -4,20 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Ids that a name stands for in a search.
 NAME_MATCHES = 100
 
 
+_REST = regex.compile(r"[^\p{Alphabetic}\p{N}]")
+
+
 def normalize_text(text: str) -> str:
-    """Letters and digits only, each lowered by itself."""
-    return "".join(ch.lower() for ch in text if ch.isalnum() or ch.isalpha())
+    """Alphabetic characters (vowel signs of Indic scripts among them) and numbers only, each lowered by itself."""
+    return "".join(ch.lower() for ch in _REST.sub("", text))
 
 
 def normalized(c: Column) -> Column:
-    return F.lower(F.regexp_replace(c, r"[^\p{IsAlphabetic}\p{N}]", ""))
+    """The same of a column; a capital sigma is lowered by hand, as ``lower`` looks at where it stands in the word."""
+    return F.lower(F.regexp_replace(F.regexp_replace(c, r"[^\p{IsAlphabetic}\p{N}]", ""), "Σ", "σ"))
 
 
 def allowed_distance(query: str) -> int:
@@ -26,6 +31,12 @@ def allowed_distance(query: str) -> int:
     return 1 if n <= 4 else 2 if n <= 8 else 3
 
 
+def allowed_for(query: Column) -> Column:
+    """The same of a column of queries."""
+    n = F.octet_length(query)
+    return F.when(n <= 4, 1).when(n <= 8, 2).otherwise(3)
+
+
 def match_score(query: Column, name: Column, distance: Column | int) -> Column:
     """0 if the name starts with the query, 1 if it contains it, edits + 2 within ``distance``, else null."""
     d = F.lit(distance) if isinstance(distance, int) else distance
@@ -109,8 +120,29 @@ def fts_candidates(tags: DataFrame, query: str) -> DataFrame:
 
 
 def resolve_names(tags: DataFrame, names: Sequence[str]) -> list[list[int]]:
-    """For each name the ids it may stand for, NAME_MATCHES at most."""
-    return [[r.tag_id for r in search_tags(tags, n, NAME_MATCHES).collect()] for n in names]
+    """For each name the ids it may stand for, NAME_MATCHES at most, all in one pass; a name without letters or digits stands for none."""
+    asked = {i: q for i, q in enumerate(map(normalize_text, names)) if q}
+    if not asked:
+        return [[] for _ in names]
+    rows = tags.filter(F.col("name").isNotNull()).select("id", "count", normalized(F.col("name")).alias("_n"))
+    scores = [F.struct(F.lit(i).alias("i"), F.when(_reachable(q), match_score(F.lit(q), F.col("_n"), allowed_distance(q))).alias("score")) for i, q in asked.items()]
+    scored = rows.select("id", "count", F.inline(F.array(*scores))).filter("score is not null")
+    rank = F.row_number().over(Window.partitionBy("i").orderBy("score", F.desc("count"), "id"))
+    found: list[list[int]] = [[] for _ in names]
+    for r in scored.withColumn("_rank", rank).filter(F.col("_rank") <= NAME_MATCHES).orderBy("i", "_rank").select("i", "id").collect():
+        found[r.i].append(r.id)
+    return found
+
+
+def same_names(tags: DataFrame) -> DataFrame:
+    """Names that several ids hold under one spelling: (name, n_ids, first_id)."""
+    names = tags.filter(F.col("name").isNotNull()).select("id", normalized(F.col("name")).alias("name"))
+    return names.groupBy("name").agg(F.count(F.lit(1)).alias("n_ids"), F.min("id").alias("first_id")).filter("n_ids > 1")
+
+
+def popular(tags: DataFrame, least: int = 5) -> DataFrame:
+    """Tags with ``least`` files or more: (id, name, count)."""
+    return tags.filter(F.col("count") >= least).select("id", "name", "count")
 
 
 def scan_tags(tags: DataFrame, pattern: str | None = None, text: str | None = None, allow: Sequence[int] = (), deny: Sequence[int] = ()) -> DataFrame:

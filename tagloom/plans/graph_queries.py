@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tagloom.functions import content, extract, posts
-from tagloom.operators import audit, bitmaps, hierarchy, ingest, jobs, lookup, policy, search, settings, snapshots, textsearch
+from tagloom.operators import audit, bitmaps, hierarchy, ids, ingest, jobs, lookup, policy, search, settings, snapshots, textsearch, trees
 from tagloom.operators.ids import page_after, page_at
 from tagloom.operators.search import SearchQuery, SearchSpec, search_files
 from tagloom.plans.graph_sql import SQL  # noqa: F401
+from tagloom.plans.registry import Registry
+from tagloom.sources import readers, sinks
 from tagloom.sources.retail import catalog, shifted
-from tagloom.util import members, table
+from tagloom.streaming import ingest as streams
+from tagloom.util import members, shared_folder, table, write_shared
 
 #: A moment to ask for due jobs at, and ids the look-ups use.
 NOW = 1704067200 + 5 * 86400
@@ -102,16 +107,13 @@ def search_many_ids(spark, d):
 
 @query
 def search_by_names(spark, d):
-    c = catalog(spark, d)
-    groups = textsearch.resolve_names(c.tags, ["red widget", "brand2"])
-    return search_files(c.rel, SearchSpec(any_of=groups)) if all(groups) else search_files(c.rel, SearchSpec())
+    return search.search_by_groups(catalog(spark, d), and_names=["red widget", "brand2"])
 
 
 @query
 def search_by_name_groups(spark, d):
-    c = catalog(spark, d)
-    must, some, never = textsearch.resolve_names(c.tags, ["widget", "brand1", "small"])
-    return search_files(c.rel, SearchSpec(any_of=[must, some], none_of=never)) if must and some else search_files(c.rel, SearchSpec())
+    """Of the second and third name either will do, as none beside them must: each is a group of its own."""
+    return search.search_by_groups(catalog(spark, d), and_names=["widget", "brand1"], not_names=["small"])
 
 
 @query
@@ -324,7 +326,7 @@ def tag_counts(spark, d):
 
 @query
 def popular_tags(spark, d):
-    return catalog(spark, d).tags.filter("count >= 5").select("id", "name", "count")
+    return textsearch.popular(catalog(spark, d).tags)
 
 
 @query
@@ -395,8 +397,8 @@ def normalize_names(spark, d):
 
 @query
 def allowed_distance_cases(spark, d):
-    rows = [(q, textsearch.allowed_distance(q)) for q in ("fem", "male", "kitten", "redwidget", "averylongquery")]
-    return spark.createDataFrame(rows, "query string, distance int")
+    """How far every name would be off at most, were it a query."""
+    return _named_tags(spark, d).select(F.col("name").alias("query"), textsearch.allowed_for(F.col("name")).alias("distance")).distinct()
 
 
 @query
@@ -425,8 +427,7 @@ def tag_substring_scan(spark, d):
 @query
 def tag_name_groups(spark, d):
     """Names that several ids hold, under one spelling."""
-    names = _named_tags(spark, d).select("id", textsearch.normalized(F.col("name")).alias("name"))
-    return names.groupBy("name").agg(F.count(F.lit(1)).alias("n_ids"), F.min("id").alias("first_id")).filter("n_ids > 1")
+    return textsearch.same_names(_named_tags(spark, d))
 
 
 @query
@@ -436,12 +437,12 @@ def jobs_runnable_topk_per_site(spark, d):
 
 @query
 def jobs_by_site(spark, d):
-    return catalog(spark, d).jobs.filter("site = 'purchase'").select("id", "time", "reptime")
+    return jobs.of_site(catalog(spark, d).jobs, "purchase").select("id", "time", "reptime")
 
 
 @query
 def job_sites(spark, d):
-    return catalog(spark, d).jobs.select("site").distinct()
+    return jobs.sites(catalog(spark, d).jobs)
 
 
 @query
@@ -474,21 +475,19 @@ def jobs_by_plugin(spark, d):
 
 @query
 def job_param_json(spark, d):
-    return catalog(spark, d).jobs.select("id", F.from_json("param", "k long", {"mode": "FAILFAST"})["k"].alias("k"))
+    return jobs.param_field(catalog(spark, d).jobs, "k")
 
 
 @query
 def skip_if_file_tag(spark, d):
     """Jobs whose number is no tag with files."""
     c = catalog(spark, d)
-    known = c.rel.select(F.col("tag_id").alias("k")).distinct()
-    return c.jobs.select("id", F.from_json("param", "k long")["k"].alias("k")).join(known, "k", "left_anti").select("id")
+    return jobs.without_known_tag(c.jobs, "k", c.rel)
 
 
 @query
 def should_download_urls(spark, d):
-    urls = table(spark, d, "comment_item").select(F.explode(F.regexp_extract_all("content", F.lit(r"files\.example\.org/p/\d+/\d+"), F.lit(0))).alias("url")).distinct()
-    return urls.join(catalog(spark, d).dead_urls, "url", "left_anti")
+    return settings.to_download(_mirrors(spark, d), catalog(spark, d).dead_urls)
 
 
 def _actions(spark, d):
@@ -502,8 +501,8 @@ def _actions(spark, d):
 
 @query
 def apply_actions_edges(spark, d):
-    c = catalog(spark, d)
-    return ingest.apply_actions(c, _actions(spark, d)).filter("file_id % 20 < 6").select("file_id", "tag_id")
+    """The edges of the namespaces that the actions touch, as they are to be written anew."""
+    return ingest.apply_actions(catalog(spark, d), _actions(spark, d), all_namespaces=False).select("file_id", "tag_id")
 
 
 @query
@@ -544,9 +543,10 @@ def parents_dedupe_nullsafe(spark, d):
 
 @query
 def rel_add(spark, d):
+    """The whole edge table with two tags, and one that isn't known, added to every second file."""
     c = catalog(spark, d)
-    new = c.files.filter("id % 50 = 0").select(F.col("id").alias("file_id"), F.explode(F.array(*[F.lit(i).cast("long") for i in (1, 2, 10**12)])).alias("tag_id"))
-    return ingest.add_edges(c, new).filter("file_id % 50 = 0").select("file_id", "tag_id")
+    new = c.files.filter("id % 2 = 0").select(F.col("id").alias("file_id"), F.explode(F.array(*[F.lit(i).cast("long") for i in (1, 2, 10**12)])).alias("tag_id"))
+    return ingest.add_edges(c, new).select("file_id", "tag_id")
 
 
 @query
@@ -610,7 +610,7 @@ def audit_get(spark, d):
 @query
 def hash_columns(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return content.hash_rows(docs, "doc_id", "text").filter("algorithm <> 'SHA512'")
+    return content.hash_rows(docs, "doc_id", "text", ("MD5", "SHA1", "SHA256"))
 
 
 @query
@@ -622,12 +622,12 @@ def hash_columns_all(spark, d):
 @query
 def missing_hashes(spark, d):
     c = catalog(spark, d)
-    return c.files.join(c.file_hashes.select(F.col("file_id").alias("id")), "id", "left_anti").select("id")
+    return settings.without_digests(c.files, c.file_hashes)
 
 
 @query
 def missing_sizes(spark, d):
-    return table(spark, d, "files").filter("size_bytes is null and hash is not null").select("id").distinct()
+    return settings.without_size(table(spark, d, "files"))
 
 
 @query
@@ -685,8 +685,10 @@ def url_query_params(spark, d):
 
 @query
 def absolute_urls(spark, d):
-    rows = [("/a/b",), ("//cdn.example/x",), ("https://o.example/y",), ("img/z.png",)]
-    return spark.createDataFrame(rows, "href string").select("href", extract.absolute_url("https://s.example", F.col("href")).alias("url"))
+    """Addresses of posts' contents as they may stand on a page, made absolute."""
+    p = table(spark, d, "post_item").select("id").filter("id is not null").distinct()
+    href = F.when(F.length("id") % 4 == 0, F.concat(F.lit("/a/"), "id")).when(F.length("id") % 4 == 1, F.concat(F.lit("//cdn.example/"), "id")).when(F.length("id") % 4 == 2, F.concat(F.lit("https://o.example/"), "id")).otherwise(F.concat(F.lit("img/"), "id"))
+    return p.select("id", extract.absolute_url("https://s.example", href).alias("url"))
 
 
 @query
@@ -702,8 +704,8 @@ def html_text(spark, d):
 
 @query
 def html_paragraphs(spark, d):
-    """Paragraphs of posts written as HTML, in order."""
-    rows = table(spark, d, "post_item").filter("content like '<p>%'").select("id", "content").distinct()
+    """Paragraphs of posts, in order."""
+    rows = table(spark, d, "post_item").filter("content is not null").select("id", "content").distinct()
     return rows.select("id", F.posexplode(F.regexp_extract_all("content", F.lit("<p>(.*?)</p>"), F.lit(1))).alias("position", "paragraph"))
 
 
@@ -715,8 +717,11 @@ def iso_duration(spark, d):
 
 @query
 def duration_words(spark, d):
-    rows = [(t, extract.spoken_seconds(t)) for t in ("now", "1w2d3h", "5m", "2y1mo", "x3s", "90s", "1d30m")]
-    return spark.createDataFrame(rows, "text string, seconds long")
+    """Durations made of the events' numbers, some of them not to be read to their end."""
+    k = F.col("user_id").cast("string")
+    forms = [F.concat(k, F.lit("w2d"), k, F.lit("h")), F.concat(F.lit("h"), k, F.lit("m")), F.concat(F.lit("+"), k, F.lit("m")), F.lit("NOW"), F.concat(k, F.lit("m30s9s")), F.concat(F.lit("x"), k, F.lit("s")), F.concat(k, F.lit("y1mo")), F.concat(k, F.lit("d, 5s"))]
+    made = table(spark, d, "events").select("event_id", F.element_at(F.array(*forms), (F.col("event_id") % 8 + 1).cast("int")).alias("text"))
+    return made.select("event_id", extract.spoken_seconds(F.col("text")).alias("seconds"))
 
 
 @query
@@ -751,51 +756,45 @@ def whitespace_collapse(spark, d):
 
 @query
 def watermark_clean(spark, d):
-    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.length(F.regexp_replace("text", "(?i)copied from a worksheet: *", "")).cast("long").alias("n"))
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.length(extract.without_watermark(F.col("text"), "copied from a worksheet: *")).cast("long").alias("n"))
 
 
 @query
 def best_time(spark, d):
     """When a post was last touched: edited, else published, else added."""
-    return table(spark, d, "post_item").select("id", F.coalesce("edited", "published", "added").alias("at")).filter("at is not null").groupBy("id").agg(F.max("at").alias("at"))
+    return posts.last_touched(table(spark, d, "post_item"))
 
 
 @query
 def post_tags_positions(spark, d):
     """Tags of posts with their places in the list."""
-    rows = table(spark, d, "post_item").filter("tags is not null").select("id", "tags").distinct()
-    return rows.select("id", "tags", F.posexplode(F.split("tags", "[,;]")).alias("position", "tag")).select("id", "tags", "position", F.trim("tag").alias("tag"))
+    return posts.listed_tags(table(spark, d, "post_item"))
 
 
 @query
 def comment_scopes(spark, d):
     """Comments joined to their posts: commenter as a tag in the scope of the post's user."""
-    posts = table(spark, d, "post_item").select(F.col("id").alias("post_id"), "user_id", "service").distinct()
-    return table(spark, d, "comment_item").filter("commenter is not null").select("id", "post_id", "commenter").distinct().join(posts, "post_id").select("id", "post_id", "commenter", F.concat_ws("/", "service", "user_id").alias("scope"))
+    return posts.scoped_comments(table(spark, d, "comment_item"), table(spark, d, "post_item"))
 
 
 @query
 def page_fanout(spark, d):
-    return spark.range(1, 4).select(F.col("id").alias("job"), F.explode(F.sequence(F.lit(0), F.lit(255), F.lit(50))).alias("offset"))
+    """Pages of every post, fifty comments a page, by the number of its comments."""
+    n = table(spark, d, "comment_item").filter("post_id is not null").groupBy("post_id").agg(F.count(F.lit(1)).alias("n"))
+    return ids.pages(n, F.lit(0).cast("long"), F.col("n") - 1, 50, "offset")
 
 
 @query
 def chunk_by_10(spark, d):
-    """Ids that aren't known yet, in lists of ten."""
-    return _chunks(catalog(spark, d), "id <= 100")
+    """Ids of tags with files, in lists of ten."""
+    return ids.in_lists(catalog(spark, d).tags.filter("count > 0"), "id", 10)
 
 
 @query
 def chunk_by_10_all(spark, d):
     """All ids that aren't known yet, in lists of ten."""
-    return _chunks(catalog(spark, d), "true")
-
-
-def _chunks(c, which):
-    fresh = c.tags.filter(which).join(c.parents.select(F.col("tag_id").alias("id")), "id", "left_anti").select("id")
-    from tagloom.operators.ids import dense_ids
-
-    return dense_ids(fresh, ["id"], start=0, name="n").groupBy(F.floor(F.col("n") / 10).alias("chunk")).agg(F.array_join(F.sort_array(F.collect_list("id")).cast("array<string>"), ",").alias("ids"))
+    c = catalog(spark, d)
+    return ids.in_lists(c.tags.join(c.parents.select(F.col("tag_id").alias("id")), "id", "left_anti"), "id", 10)
 
 
 @query
@@ -807,21 +806,21 @@ def search_addresses(spark, d):
 @query
 def policy_search(spark, d):
     c = catalog(spark, d)
-    hits = search_files(c.rel, SearchSpec(tag_ids(c, B2)), limit=500)
-    return policy.permitted(c, hits, extensions=[".F", "o"], deny=["small"], require=["BRAND#2"])
+    return policy.search(c, "brand2", policy.Policy([".F", "o"], ["small"], ["BRAND#2"], limit=500))
 
 
 @query
 def edge_membership(spark, d):
+    """Of every file, is it linked to a tag?"""
     c = catalog(spark, d)
     (b2,) = tag_ids(c, B2)
-    return search.has_edges(c.rel, c.files.filter("id % 100 = 0").select(F.col("id").alias("file_id"), F.lit(b2).alias("tag_id")))
+    return search.has_edges(c.rel, c.files.select(F.col("id").alias("file_id"), F.lit(b2).alias("tag_id")))
 
 
 @query
 def put_tags(spark, d):
-    c = catalog(spark, d)
-    return ingest.put_tags(c, _actions(spark, d)).filter("file_id % 20 < 6").select("file_id", "tag_id")
+    """How many tags each file has after the tags are put."""
+    return ingest.put_tags(catalog(spark, d), _actions(spark, d)).groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -839,7 +838,8 @@ def settings_put(spark, d):
 
 @query
 def setting_get(spark, d):
-    return table(spark, d, "region").filter("r_name = 'ASIA'").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("num"))
+    have = table(spark, d, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("num"))
+    return settings.get(have, "ASIA")
 
 
 @query
@@ -916,3 +916,301 @@ def job_params(spark, d):
 @query
 def thumbnail_paths(spark, d):
     return table(spark, d, "documents").filter("text is not null").select("doc_id", content.thumbnail_path("thumbs", F.col("text")).alias("path"))
+
+
+@query
+def search_groups_all(spark, d):
+    """All six lists at once."""
+    c = catalog(spark, d)
+    red, b2, b17, small = tag_ids(c, RED, B2, B17, SMALL)
+    return search.search_by_groups(c, [b2], ["widget"], [b17], ["red widget"], [small], ["gadget"], 200)
+
+
+@query
+def search_groups_ids(spark, d):
+    """Alternatives by id alone, and an excluded name that finds nothing."""
+    c = catalog(spark, d)
+    red, b2, b17, small = tag_ids(c, RED, B2, B17, SMALL)
+    return search.search_by_groups(c, or_ids=[red, b17], not_ids=[small], not_names=["qqqqzzzzxxxx"])
+
+
+@query
+def search_groups_unknown(spark, d):
+    """A required name that finds nothing."""
+    return search.search_by_groups(catalog(spark, d), and_names=["red widget", "qqqqzzzzxxxx"])
+
+
+@query
+def policy_file_tags(spark, d):
+    return policy.file_tags(catalog(spark, d), FILES, policy.Policy(["o"], ["small"]))
+
+
+@query
+def policy_file_tag_ids(spark, d):
+    return policy.file_tag_ids(catalog(spark, d), FILES, policy.Policy(require=["Brand#2"]))
+
+
+def _words(spark, d):
+    """The words of all documents, as names, in scripts of all kinds."""
+    words = table(spark, d, "documents").select(F.explode(F.split("text", "[ \\n]")).alias("name")).filter("name <> ''").distinct()
+    return words.withColumn("norm", textsearch.normalized(F.col("name")))
+
+
+@query
+def names_greek_devanagari(spark, d):
+    """Words that begin with a Greek or a Hindi query, whatever their case, or hold it."""
+    asked = spark.createDataFrame([(q, textsearch.normalize_text(q), textsearch.allowed_distance(textsearch.normalize_text(q))) for q in ("ΑΡΧΕΊΟ", "της", "Σελ", "सूची", "के", "चित्र")], "query string, q string, d int")
+    rows = _words(spark, d).join(F.broadcast(asked), F.col("norm").contains(F.col("q")))
+    return rows.select("query", "name", textsearch.match_score(F.col("q"), F.col("norm"), F.col("d")).alias("score")).filter("score <= 1")
+
+
+@query
+def jobs_system(spark, d):
+    """Jobs with some sites renamed, as the engine's own or not."""
+    own = F.when(F.col("id") % 5 == 0, "SYSTEM_FILE_SIZE").when(F.col("id") % 5 == 1, "SYSTEM_OTHER").otherwise(F.col("site"))
+    return jobs.is_system(catalog(spark, d).jobs.withColumn("site", own))
+
+
+@query
+def jobs_completed(spark, d):
+    """The whole queue after every third job is done."""
+    c = catalog(spark, d)
+    left = jobs.completed(c.jobs, c.jobs.filter("id % 3 = 0").select("id"), NOW)
+    return left.select("id", "time", "reptime", "is_running", F.from_json("recreation", "count long")["count"].alias("count"))
+
+
+@query
+def jobs_started(spark, d):
+    return jobs.running(jobs.reset(catalog(spark, d).jobs), list(range(0, 50, 5))).select("id", "is_running")
+
+
+@query
+def file_update_batch(spark, d):
+    c = catalog(spark, d)
+    changes = c.files.filter("id % 4 = 0").select((F.col("id") + 0).alias("id"), F.lower("hash").alias("hash"), F.when(F.col("id") % 8 == 0, "new").alias("extension"), F.lit(9).cast("long").alias("storage_id"))
+    return ingest.update_files(c.files, changes)
+
+
+@query
+def bitmap_changes(spark, d):
+    """Sizes of all sets after some members are added to the bitmaps, and others removed, without making them anew."""
+    rel = catalog(spark, d).rel.filter("file_id % 3 < 2")
+    b = bitmaps.to_bitmaps(rel.filter("file_id % 3 = 0"))
+    b = bitmaps.add_members(b, rel.filter("file_id % 3 = 1"))
+    return bitmaps.cardinality(bitmaps.remove_members(b, rel.filter("file_id % 2 = 0")))
+
+
+def _nodes(spark, d):
+    """Suppliers in nations in regions, as files in folders in roots."""
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    node = lambda df, h, p, kind, name: df.select(h.alias("handle"), p.alias("parent"), F.lit(kind).alias("kind"), name.alias("name"))
+    key = lambda c, x: F.concat(F.lit(x), F.col(c).cast("string"))
+    sup = node(table(spark, d, "supplier"), key("s_suppkey", "s"), key("s_nationkey", "n"), "file", F.col("s_name"))
+    return node(r, key("r_regionkey", "r"), F.lit(None).cast("string"), "root", F.col("r_name")).unionByName(node(n, key("n_nationkey", "n"), key("n_regionkey", "r"), "folder", F.col("n_name"))).unionByName(sup)
+
+
+@query
+def tree_files_below(spark, d):
+    nodes = _nodes(spark, d)
+    return trees.files_below(nodes, nodes.filter("handle in ('r1', 'n3', 's5')"))
+
+
+@query
+def tree_paths(spark, d):
+    return trees.paths(_nodes(spark, d))
+
+
+@query
+def tree_metadata(spark, d):
+    nodes = _nodes(spark, d).withColumns({"size": F.length("name").cast("long"), "created": F.lit(NOW).cast("long"), "modified": F.lit(None).cast("long")})
+    return trees.metadata_tags(nodes, "2024-01-06")
+
+
+def _pages(spark, d):
+    """Pages made of documents' numbers, as the sites would write them."""
+    k = F.col("doc_id").cast("string")
+    html = F.concat(
+        F.lit('<html><head><title>T'), k, F.lit('</title><script type="application/ld+json">{"id": '), k, F.lit('}</script><script>const BOOK_ID = "b'), k, F.lit('"; x("%2F'), F.md5(k), F.lit('.webp"); self.__next_f.push([1,"a\\n\\u003cb\\u003e'), k,
+        F.lit('"])</script></head><body><ul class="statlist"><li>Post: '), k, F.lit('</li><li><a href="https://o.example/'), k, F.lit('">src</a></li></ul><a class="mtypetag" href="/t">tag '), k, F.lit('</a><a class="x atypetag">artist&amp;'), k,
+        F.lit('</a><a class="chapter" href="/c/'), k, F.lit('"><div class="title"> Chapter  '), k, F.lit(' </div>'), F.when(F.col("doc_id") % 2 == 0, '<span class="chapter-info"><b class="cost">5</b></span>').otherwise(""),
+        F.lit('</a><div>one <script>no</script>two</div><div class="advertisment">ad</div><div id="yandex_rtb_1">ad</div><a href="?q=1&page='), (F.col("doc_id") % 7).cast("string"), F.lit('">next</a></body></html>'),
+    )
+    return table(spark, d, "documents").select("doc_id", html.alias("html"))
+
+
+def _elements(spark, d):
+    return _pages(spark, d).select("doc_id", extract.html_elements(F.col("html")).alias("e"))
+
+
+@query
+def page_values(spark, d):
+    """Titles, embedded data, constants, pushed texts, digests and numbers of pages."""
+    h = F.col("html")
+    return _pages(spark, d).select("doc_id", extract.html_title(h).alias("title"), extract.json_ld(h).alias("data"), extract.script_constant(h, "BOOK_ID").alias("book"), extract.pushed_text(h).alias("pushed"), extract.media_hash(h).alias("media"), extract.page_numbers(h).alias("pages"))
+
+
+@query
+def page_tags_by_class(spark, d):
+    tags = extract.tags_by_class(F.col("e"), {"mtypetag": "general", "atypetag": "artist"})
+    return _elements(spark, d).select("doc_id", F.inline(tags))
+
+
+@query
+def page_stat_list(spark, d):
+    rows = extract.children_of_first(F.col("e"), "ul", "statlist")
+    return _elements(spark, d).select("doc_id", F.posexplode(F.transform(rows, lambda e: e["text"])).alias("position", "text"))
+
+
+@query
+def page_chapters(spark, d):
+    return _elements(spark, d).select("doc_id", F.inline(extract.chapters(F.col("e"))))
+
+
+@query
+def page_body(spark, d):
+    return _elements(spark, d).select("doc_id", extract.body_lines(F.col("e"), "copied from a worksheet: *").alias("body"))
+
+
+@query
+def html_plain(spark, d):
+    """Text of contents that hold no markup: their lines without outer and repeated spaces."""
+    rows = table(spark, d, "comment_item").filter("content is not null and content not like '%<%' and content not like '%&%'").select("id", "content").distinct()
+    return rows.select("id", "content", extract.html_text(F.col("content")).alias("text"))
+
+
+@query
+def video_ids(spark, d):
+    made = table(spark, d, "events").select("event_id", F.concat(F.lit("https://v.example/"), F.when(F.col("event_id") % 2 == 0, "video/").otherwise("v/"), F.col("user_id"), F.lit("/x?y=1")).alias("url"))
+    return made.select("event_id", extract.video_id(F.col("url")).alias("video"), extract.slug(F.col("url")).alias("slug"), extract.file_stem(F.col("url")).alias("stem"))
+
+
+@query
+def error_kinds(spark, d):
+    made = table(spark, d, "events").select("event_id", F.element_at(F.array(*[F.lit(x) for x in ("Quota reached", "OVER LIMIT", "Blocked", "access denied", "not found")]), (F.col("event_id") % 5 + 1).cast("int")).alias("message"))
+    return made.select("event_id", extract.error_kind(F.col("message")).alias("kind"))
+
+
+@query
+def paired_params(spark, d):
+    """Tags of posts two by two, in order."""
+    p = table(spark, d, "post_item").filter("tags is not null").select("id", F.split("tags", "[,;]").alias("t")).distinct()
+    return p.select("id", F.posexplode(extract.paired(F.col("t"))).alias("position", "pair")).select("id", "position", "pair.first", "pair.second").distinct()
+
+
+@query
+def json_list_or_single(spark, d):
+    one = F.to_json(F.struct(F.col("event_id").alias("a")))
+    body = F.when(F.col("event_id") % 3 == 0, one).when(F.col("event_id") % 3 == 1, F.concat(F.lit(" ["), one, F.lit(","), one, F.lit("]"))).otherwise("no")
+    return table(spark, d, "events").select("event_id", F.explode(posts.list_or_single(body, "a: bigint")).alias("x")).select("event_id", "x.a")
+
+
+@query
+def first_chapters(spark, d):
+    made = table(spark, d, "events").select("event_id", F.concat(F.when(F.col("event_id") % 3 == 0, "").otherwise("Vol "), F.col("event_id") % 4, F.when(F.col("event_id") % 5 == 0, " Chapter").otherwise(" x")).alias("title"))
+    return made.filter(posts.first_chapter(F.col("title"))).select("event_id", "title")
+
+
+@query
+def post_attachments(spark, d):
+    paths = F.array(F.concat(F.lit("/data/"), F.sha2(F.col("id"), 256), F.lit(".png")), F.concat(F.lit("/data/"), "id", F.lit(".zip")))
+    return posts.attachments(table(spark, d, "post_item").filter("id is not null").select("id", paths.alias("p")).distinct(), "id", "p")
+
+
+@query
+def chapter_fanout(spark, d):
+    """Chapters of brands that no part has as its size."""
+    part = table(spark, d, "part")
+    series = part.select(F.col("p_brand").alias("series"), F.concat(F.lit("https://s.example/"), "p_brand").alias("url")).distinct()
+    return posts.chapter_jobs(series, part.select(F.col("p_brand").alias("series"), F.col("p_size").alias("chapter")).distinct(), 60)
+
+
+@query
+def model_hits(spark, d):
+    """Posts as a model site would deliver them, written as JSON and read again."""
+    p = table(spark, d, "post_item").filter("tags is not null and added is not null").groupBy(F.col("id").cast("long").alias("id")).agg(F.min("tags").alias("tags"), F.min("added").alias("added"))
+    hit = F.struct("id", F.struct((F.col("id") % 7).alias("id"), F.concat(F.lit("u"), F.col("id") % 7).alias("username")).alias("user"), F.date_format(F.timestamp_seconds("added"), "yyyy-MM-dd'T'HH:mm:ss'.000Z'").alias("publishedAt"), F.transform(F.split("tags", "[,;]"), lambda x: F.trim(x)).alias("tagNames"))
+    bodies = p.groupBy(F.pmod("id", F.lit(20)).alias("page")).agg(F.to_json(F.struct(F.array(F.struct(F.collect_list(hit).alias("hits"))).alias("results"))).alias("body"))
+    return posts.hit_tags(posts.hits(bodies, "body"))
+
+
+@query
+def sniffed_formats(spark, d):
+    """Formats told by the first bytes of contents."""
+    head = F.element_at(F.array(*[F.unhex(F.lit(x)) for x in ("FFD8FFE0", "89504E470D0A1A0A00", "47494638", "255044462D", "00000018667479706D703432", "524946460000000057454250", "FFFF")]), (F.col("event_id") % 7 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", content.sniffed_extension(head).alias("extension"))
+
+
+@query
+def registry_steps(spark, d):
+    """Steps by the name of a job's site: addresses of views, doubled ones of purchases, and what starts before them."""
+    r = Registry()
+    url = lambda mark: lambda rows: rows.select("id", F.concat(F.lit(f"https://{mark}.example/"), F.col("id")).alias("url"))
+    r.add("fan_out", "view", url("a"))
+    r.add("fan_out", "purchase", lambda rows: url("b")(rows).unionByName(url("c")(rows)))
+    r.add("on_start", "first", lambda rows: rows.filter("id < 10"))
+    r.offer("least", 1, (int,), lambda n: n * 2)
+    jobs_table = catalog(spark, d).jobs
+    made = r.run("fan_out", jobs_table, "site")
+    return made.unionByName(url("start")(r.start(jobs_table)["first"]).filter(F.col("id") >= r.call("least", 1, 2)).withColumn("site", F.lit("start")))
+
+
+@query
+def migrated_columns(spark, d):
+    """A table of an older shape read in a newer one: a column it lacks is null, others are cast or left out."""
+    return readers.existing_columns(table(spark, d, "nation"), "n_nationkey long, n_name string, n_comment string")
+
+
+@query
+def file_tree_roundtrip(spark, d):
+    """Regions written as text files with sidecars in JSON, read again as a tree."""
+    rows = [(r.r_regionkey, r.r_name) for r in table(spark, d, "region").collect()]
+    root = f"tree-{uuid.uuid4().hex}"
+    for k, name in rows:
+        write_shared(spark, f"{root}/{k}/{name}.bin", name.encode())
+        write_shared(spark, f"{root}/{k}/{name}.bin.json", f'{{"k": {k}}}'.encode())
+    tree = readers.with_sidecars(readers.file_tree(spark, f"{shared_folder(spark)}/{root}"))
+    return tree.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", "json")
+
+
+@query
+def stream_edges(spark, d):
+    """Edges of two tags that arrive as a stream of files, kept once each in a table."""
+    c = catalog(spark, d)
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    ids_ = tag_ids(c, RED, SMALL)
+    c.rel.filter(F.col("tag_id").isin(ids_)).select("file_id", "tag_id", "namespace").write.parquet(f"{root}/in")
+    edges = spark.readStream.schema("file_id long, tag_id long, namespace long").parquet(f"{root}/in")
+    streams.edges_to_table(edges, f"{root}/out", f"{root}/state").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("file_id", "tag_id")
+
+
+@query
+def stream_activity(spark, d):
+    """Events per hour and kind, counted as they arrive; windows that may still grow aren't put out."""
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    events = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    events.write.parquet(f"{root}/in")
+    seen = streams.activity(spark.readStream.schema(events.schema).parquet(f"{root}/in"), "ts", "event_type")
+    seen.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(seen.schema).parquet(f"{root}/out")
+
+
+@query
+def swapped_table(spark, d):
+    """A table replaced twice, read afterwards."""
+    path = f"{shared_folder(spark)}/swap-{uuid.uuid4().hex}"
+    nation = table(spark, d, "nation")
+    sinks.swap_in(nation, path)
+    sinks.swap_in(nation.filter("n_regionkey = 1"), path)
+    return spark.read.parquet(path)
+
+
+@query
+def replaced_namespaces(spark, d):
+    """The graph's edges after actions, of which only the folders of the touched namespaces were written anew."""
+    c = catalog(spark, d)
+    root = f"{shared_folder(spark)}/edges-{uuid.uuid4().hex}"
+    c.write_edges(root)
+    actions = _actions(spark, d)
+    c.replace_namespaces(root, ingest.apply_actions(c, actions, all_namespaces=False), ingest.named_tags(c, actions))
+    return spark.read.parquet(f"{root}/rel").select("file_id", "tag_id")

@@ -118,7 +118,7 @@ SQL = {
     "tag_search_bigram_candidates": f"{_NAMED}, b AS (SELECT id, norm AS name, (SELECT count(*) FROM unnest(['ai', 'cu', 'in', 'rt', 'ta', 'ur']) u(g) WHERE contains(norm, g)) AS shared FROM n) SELECT id, name, shared FROM b WHERE strlen(name) >= 7 AND (shared >= 2 OR contains(name, 'curtain'))",
     "tag_search_fts": f"{_NAMED}, t AS (SELECT unnest(['acstle', 'agdren', 'caslte', 'castel', 'castle', 'castlegadren', 'catsle', 'csatle', 'gadern', 'gadren', 'gadrne', 'garden', 'gdaren']) AS w) SELECT DISTINCT id, name, count FROM nt JOIN t ON contains(lower(name), w)",
     "normalize_names": "SELECT DISTINCT name, lower(regexp_replace(name, '[^\\p{L}\\p{N}]', '', 'g')) AS normalized FROM tags WHERE name IS NOT NULL",
-    "allowed_distance_cases": "SELECT query, CASE WHEN strlen(query) <= 4 THEN 1 WHEN strlen(query) <= 8 THEN 2 ELSE 3 END AS distance FROM (SELECT unnest(['fem', 'male', 'kitten', 'redwidget', 'averylongquery']) AS query)",
+    "allowed_distance_cases": f"{_NAMED} SELECT DISTINCT name AS query, CASE WHEN strlen(name) <= 4 THEN 1 WHEN strlen(name) <= 8 THEN 2 ELSE 3 END AS distance FROM nt",
     "fts_terms": "SELECT unnest(['redfox', 'red', 'erd', 'rde', 'fox', 'ofx', 'fxo']) AS term",
     "match_scores": f"{_NAMED}, q AS (SELECT * FROM (VALUES ('sketch', 2), ('untitled', 2), ('harbor', 2)) v(q, d)) SELECT * FROM (SELECT q, norm AS name, CASE WHEN starts_with(norm, q) THEN 0 WHEN contains(norm, q) THEN 1 WHEN abs(length(norm) - length(q)) <= d AND levenshtein(norm, q) <= d THEN levenshtein(norm, q) + 2 END AS score FROM (SELECT DISTINCT norm FROM n), q) WHERE score IS NOT NULL",
     "tag_regex_scan": f"{_NAMED} SELECT id AS tag_id, name, unnest(regexp_extract_all(name, '[0-9]+')) AS match FROM nt",
@@ -142,7 +142,7 @@ f AS (SELECT * FROM l WHERE (time, reptime, site, param) NOT IN (SELECT (time, r
     "skip_if_file_tag": _g("SELECT id FROM jobs WHERE k NOT IN (SELECT tag_id FROM rel)"),
     "should_download_urls": _g("SELECT url FROM mirrors WHERE url NOT IN (SELECT url FROM dead)"),
     "apply_actions_all": _g("SELECT file_id, tag_id FROM (SELECT file_id, tag_id FROM rel UNION SELECT file_id, tag_id FROM added) WHERE (file_id, tag_id) NOT IN (SELECT (file_id, tag_id) FROM gone)", _ACTIONS),
-    "apply_actions_edges": _g("SELECT file_id, tag_id FROM (SELECT file_id, tag_id FROM rel UNION SELECT file_id, tag_id FROM added) WHERE file_id % 20 < 6 AND (file_id, tag_id) NOT IN (SELECT (file_id, tag_id) FROM gone)", _ACTIONS),
+    "apply_actions_edges": _g("SELECT file_id, tag_id FROM (SELECT file_id, tag_id FROM rel WHERE namespace IN (SELECT namespace FROM act) UNION SELECT file_id, tag_id FROM added) WHERE (file_id, tag_id) NOT IN (SELECT (file_id, tag_id) FROM gone)", _ACTIONS),
     "ingest_tags_new_ids": _g(
         """SELECT id, ns, name, CASE WHEN ns = 'post' THEN 1 ELSE coalesce((SELECT count(*) FROM parents p WHERE p.tag_id = t.id), 0) END AS n_parents FROM (SELECT id, ns, name FROM tag0 UNION ALL
 SELECT (SELECT max(id) FROM tag0) + row_number() OVER (ORDER BY CASE ns WHEN 'post' THEN 1 ELSE 2 END, name), ns, name FROM w) t""",
@@ -159,7 +159,7 @@ UNION ALL SELECT (SELECT max(id) FROM gfiles) + row_number() OVER (ORDER BY hash
         "w AS (SELECT hash, arg_max({'extension': extension, 'storage_id': storage_id, 'size_bytes': size_bytes}, (extension, storage_id, coalesce(size_bytes, -1))) AS m FROM files WHERE hash IS NOT NULL AND extension IS NOT NULL GROUP BY hash)",
     ),
     "parents_dedupe_nullsafe": _g("SELECT * FROM parents UNION SELECT tag_id, relate_tag_id, NULL FROM parents"),
-    "rel_add": _g("SELECT file_id, tag_id FROM rel WHERE file_id % 50 = 0 UNION SELECT f.id, t.id FROM gfiles f, (SELECT unnest([1, 2]) AS id) t WHERE f.id % 50 = 0"),
+    "rel_add": _g("SELECT file_id, tag_id FROM rel UNION SELECT f.id, t.id FROM gfiles f, (SELECT unnest([1, 2]) AS id) t WHERE f.id % 2 = 0"),
     "rel_add_all": _g("SELECT file_id, tag_id FROM rel UNION SELECT f.id, t.id FROM gfiles f, (SELECT unnest([1, 2]) AS id) t"),
     "rel_delete": _g("SELECT file_id, tag_id FROM rel WHERE file_id % 10 = 0"),
     "tag_cascade_delete": _g("SELECT DISTINCT tag_id, relate_tag_id, CASE WHEN limit_to % 3 <> 0 THEN limit_to END AS limit_to FROM parents WHERE tag_id % 3 <> 0 AND relate_tag_id % 3 <> 0"),
@@ -182,11 +182,11 @@ UNION ALL SELECT (SELECT max(id) FROM gfiles) + row_number() OVER (ORDER BY hash
     "extract_url_parts": _g("SELECT url, split_part(url, '/', 1) AS host, split_part(url, '/', 2) AS kind, split_part(url, '/', 3) AS post FROM mirrors"),
     "last_path_segment": _g("SELECT url, split_part(url, '/', 4) AS number FROM mirrors"),
     "url_query_params": "SELECT DISTINCT 'https://a.example/p?post=' || post_id || '&by=' || coalesce(commenter, '') || '#c' AS url, post_id AS post, coalesce(commenter, '') AS by FROM comment_item WHERE post_id IS NOT NULL",
-    "absolute_urls": "SELECT * FROM (VALUES ('/a/b', 'https://s.example/a/b'), ('//cdn.example/x', 'https://cdn.example/x'), ('https://o.example/y', 'https://o.example/y'), ('img/z.png', 'https://s.example/img/z.png')) v(href, url)",
+    "absolute_urls": "SELECT DISTINCT id, CASE length(id) % 4 WHEN 0 THEN 'https://s.example/a/' || id WHEN 1 THEN 'https://cdn.example/' || id WHEN 2 THEN 'https://o.example/' || id ELSE 'https://s.example/img/' || id END AS url FROM post_item WHERE id IS NOT NULL",
     "html_links_explode": "SELECT DISTINCT id, unnest(regexp_extract_all(content, '<a\\s[^>]*?href\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1)) AS link FROM (SELECT id, content FROM post_item UNION ALL SELECT id, content FROM comment_item)",
-    "html_paragraphs": "SELECT id, CAST(i - 1 AS INTEGER) AS position, l[i] AS paragraph FROM (SELECT id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT id, regexp_extract_all(content, '<p>(.*?)</p>', 1) AS l FROM (SELECT DISTINCT id, content FROM post_item WHERE content LIKE '<p>%')))",
+    "html_paragraphs": "SELECT id, CAST(i - 1 AS INTEGER) AS position, l[i] AS paragraph FROM (SELECT id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT id, regexp_extract_all(content, '<p>(.*?)</p>', 1) AS l FROM (SELECT DISTINCT id, content FROM post_item WHERE content IS NOT NULL)))",
     "iso_duration": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN user_id * 60 WHEN 1 THEN user_id * 3600 + 5 END AS seconds FROM events",
-    "duration_words": "SELECT * FROM (VALUES ('now', 0), ('1w2d3h', 604800 + 2 * 86400 + 3 * 3600), ('5m', 300), ('2y1mo', 2 * 31557600 + 2629800), ('x3s', 0), ('90s', 90), ('1d30m', 86400 + 1800)) v(text, seconds)",
+    "duration_words": "SELECT event_id, CASE event_id % 8 WHEN 0 THEN user_id * 604800 + 2 * 86400 + user_id * 3600 WHEN 1 THEN 0 WHEN 2 THEN user_id * 60 WHEN 3 THEN 0 WHEN 4 THEN user_id * 60 + 30 WHEN 5 THEN 0 WHEN 6 THEN user_id * 31557600 + 2629800 ELSE user_id * 86400 END AS seconds FROM events",
     "max_by_quality": "SELECT o_custkey, m.score, m.label FROM (SELECT o_custkey, max({'score': CASE o_orderkey % 5 WHEN 0 THEN 360 WHEN 1 THEN 720 WHEN 2 THEN 1080 WHEN 3 THEN 2160 ELSE 1 END, 'label': ['360p', '720p', '1080p', '4k', 'none'][o_orderkey % 5 + 1] || '-' || o_orderkey}) AS m FROM orders GROUP BY o_custkey)",
     "base64_digest_hex": "SELECT DISTINCT id, hash AS hex FROM files WHERE hash IS NOT NULL",
     "ts_parse": "SELECT DISTINCT id, added, added - CASE WHEN added % 3 = 2 THEN 7200 ELSE 0 END AS epoch FROM post_item",
@@ -196,16 +196,17 @@ UNION ALL SELECT (SELECT max(id) FROM gfiles) + row_number() OVER (ORDER BY hash
     "best_time": "SELECT id, max(coalesce(edited, published, added)) AS at FROM post_item GROUP BY id HAVING max(coalesce(edited, published, added)) IS NOT NULL",
     "post_tags_positions": "SELECT id, tags, CAST(i - 1 AS INTEGER) AS position, trim(l[i]) AS tag FROM (SELECT id, tags, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT DISTINCT id, tags, regexp_split_to_array(tags, '[,;]') AS l FROM post_item WHERE tags IS NOT NULL))",
     "comment_scopes": "SELECT c.id, c.post_id, c.commenter, concat_ws('/', p.service, p.user_id) AS scope FROM (SELECT DISTINCT id, post_id, commenter FROM comment_item WHERE commenter IS NOT NULL) c JOIN (SELECT DISTINCT id, user_id, service FROM post_item) p ON c.post_id = p.id",
-    "page_fanout": "SELECT job, unnest(range(0, 256, 50)) AS offset FROM range(1, 4) t(job)",
-    "chunk_by_10": _g("SELECT (n - 1) // 10 AS chunk, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM (SELECT id, row_number() OVER (ORDER BY id) AS n FROM gtags WHERE id <= 100 AND id NOT IN (SELECT tag_id FROM parents)) GROUP BY 1"),
+    "page_fanout": "SELECT post_id, n, unnest(range(0, n, 50)) AS offset FROM (SELECT post_id, count(*) AS n FROM comment_item WHERE post_id IS NOT NULL GROUP BY post_id)",
+    "chunk_by_10": _g("SELECT (n - 1) // 10 AS chunk, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM (SELECT id, row_number() OVER (ORDER BY id) AS n FROM gtags WHERE count > 0) GROUP BY 1"),
     "chunk_by_10_all": _g("SELECT (n - 1) // 10 AS chunk, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM (SELECT id, row_number() OVER (ORDER BY id) AS n FROM gtags WHERE id NOT IN (SELECT tag_id FROM parents)) GROUP BY 1"),
     "search_addresses": "SELECT DISTINCT id, 'https://s.example/posts?tags=' || array_to_string(list_sort(regexp_split_to_array(tags, ' *[,;] *')), '+') || '&page=1' AS url FROM post_item WHERE tags IS NOT NULL",
     "policy_search": _g(
-        f"SELECT h.file_id FROM h JOIN gfiles f ON f.id = h.file_id WHERE f.extension IN ('f', 'o') AND h.file_id NOT IN (SELECT file_id FROM rel WHERE tag_id IN (SELECT id FROM tag0 WHERE lower(name) = 'small')) AND h.file_id IN (SELECT file_id FROM rel WHERE tag_id = {_B2})",
-        f"h AS (SELECT DISTINCT file_id FROM rel WHERE tag_id = {_B2} ORDER BY file_id DESC LIMIT 500)",
+        f"SELECT h.file_id FROM h JOIN gfiles f ON f.id = h.file_id WHERE f.extension IN ('f', 'o') AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.file_id = h.file_id) AND EXISTS (SELECT 1 FROM good WHERE good.file_id = h.file_id)",
+        f"""{_GNORM}, m AS MATERIALIZED ({_fuzzy('brand2', 100, 'gn')}), h AS MATERIALIZED (SELECT DISTINCT file_id FROM rel WHERE tag_id IN (SELECT tag_id FROM m) ORDER BY file_id DESC LIMIT 500),
+bad AS MATERIALIZED (SELECT DISTINCT file_id FROM rel JOIN tag0 ON tag_id = id WHERE lower(name) = 'small'), good AS MATERIALIZED (SELECT DISTINCT file_id FROM rel WHERE tag_id = {_B2})""",
     ),
-    "edge_membership": _g(f"SELECT f.id AS file_id, {_B2} AS tag_id, f.id IN (SELECT file_id FROM rel WHERE tag_id = {_B2}) AS present FROM gfiles f WHERE f.id % 100 = 0"),
-    "put_tags": _g("SELECT file_id, tag_id FROM rel WHERE file_id % 20 < 6 UNION SELECT file_id, tag_id FROM act", _ACTIONS),
+    "edge_membership": _g(f"SELECT f.id AS file_id, {_B2} AS tag_id, f.id IN (SELECT file_id FROM rel WHERE tag_id = {_B2}) AS present FROM gfiles f"),
+    "put_tags": _g("SELECT file_id, count(*) AS n FROM (SELECT file_id, tag_id FROM rel UNION SELECT file_id, tag_id FROM act) GROUP BY file_id", _ACTIONS),
     "put_tags_all": _g("SELECT file_id, tag_id FROM rel UNION SELECT file_id, tag_id FROM act", _ACTIONS),
     "settings_put": "SELECT r_name AS name, NULL AS description, r_regionkey AS num, CASE WHEN r_regionkey % 2 = 0 THEN 'b' ELSE 'a' END AS param FROM region UNION ALL SELECT 'NEW', 'd', NULL, NULL",
     "setting_get": "SELECT r_name AS name, r_regionkey AS num FROM region WHERE r_name = 'ASIA'",
@@ -223,3 +224,51 @@ SELECT DISTINCT * FROM (SELECT id, 'general' AS ns, trim(unnest(regexp_split_to_
     "job_params": "SELECT event_id, 'Normal' AS kind, event_type AS value FROM events UNION ALL SELECT event_id, 'Url', 'https://a.example/' || user_id FROM events UNION ALL SELECT event_id, 'Normal', 'x' FROM events",
     "thumbnail_paths": f"SELECT doc_id, {_SHARD.format(root="'thumbs'").replace('hash', 'h').replace('extension', "'webp'")} AS path FROM (SELECT doc_id, upper(sha256(text)) AS h FROM documents WHERE text IS NOT NULL)",
 }
+
+_GREEK_HINDI = "\\x{0900}-\\x{0903}\\x{093A}\\x{093B}\\x{093E}-\\x{094C}\\x{094E}\\x{094F}\\x{0955}-\\x{0957}\\x{0962}\\x{0963}"
+_WORDS = f"""WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[ \\n]')) AS name FROM documents), n AS (SELECT name, lower(regexp_replace(name, '[^\\p{{L}}\\p{{N}}{_GREEK_HINDI}]', '', 'g')) AS norm FROM w WHERE name <> ''),
+q(query, q, d) AS (VALUES ('ΑΡΧΕΊΟ', 'αρχείο', 3), ('της', 'της', 2), ('Σελ', 'σελ', 2), ('सूची', 'सूची', 3), ('के', 'के', 2), ('चित्र', 'चितर', 3))"""
+_NODES = """WITH RECURSIVE nodes AS (SELECT 'r' || r_regionkey AS handle, NULL AS parent, 'root' AS kind, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'folder', n_name FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'file', s_name FROM supplier),
+paths AS (SELECT handle, name AS path FROM nodes WHERE parent IS NULL OR parent NOT IN (SELECT handle FROM nodes) UNION ALL SELECT n.handle, p.path || '/' || n.name FROM nodes n JOIN paths p ON n.parent = p.handle)"""
+_GROUPS = f"{_GNORM}, widget AS MATERIALIZED ({_fuzzy('widget', 100, 'gn')}), gadget AS MATERIALIZED ({_fuzzy('gadget', 100, 'gn')}), redw AS MATERIALIZED ({_fuzzy('redwidget', 100, 'gn')})"
+_SHOWN = """ext AS (SELECT id FROM gfiles WHERE extension = 'o' AND id NOT IN (SELECT file_id FROM rel JOIN tag0 ON tag_id = tag0.id WHERE lower(tag0.name) = 'small'))"""
+
+SQL |= {
+    "search_groups_all": _g(f"SELECT file_id FROM rel GROUP BY file_id HAVING bool_or(tag_id = {_B2}) AND bool_or(tag_id IN (SELECT tag_id FROM widget)) AND bool_or(tag_id = {_B17} OR tag_id IN (SELECT tag_id FROM redw)) AND NOT bool_or(tag_id = {_SMALL} OR tag_id IN (SELECT tag_id FROM gadget)) ORDER BY file_id DESC LIMIT 200", _GROUPS),
+    "search_groups_ids": _g(f"SELECT file_id FROM rel GROUP BY file_id HAVING bool_or(tag_id IN ({_RED}, {_B17})) AND NOT bool_or(tag_id = {_SMALL})"),
+    "search_groups_unknown": "SELECT o_orderkey AS file_id FROM orders WHERE false",
+    "policy_file_tags": _g(f"SELECT r.file_id, r.tag_id, t.name, t.ns FROM rel r JOIN tag0 t ON t.id = r.tag_id WHERE r.file_id IN ({_FILES}) AND r.file_id IN (SELECT id FROM ext)", _SHOWN),
+    "policy_file_tag_ids": _g(f"SELECT file_id, tag_id FROM rel WHERE file_id IN ({_FILES}) AND file_id IN (SELECT file_id FROM rel WHERE tag_id = {_B2}) AND file_id IN (SELECT id FROM gfiles)"),
+    "names_greek_devanagari": f"{_WORDS} SELECT query, name, CASE WHEN starts_with(norm, q) THEN 0 ELSE 1 END AS score FROM n JOIN q ON contains(norm, q)",
+    "jobs_system": _g("SELECT id, CASE id % 5 WHEN 0 THEN true WHEN 1 THEN k % 3 < 2 ELSE false END AS system FROM jobs"),
+    "jobs_completed": _g(f"SELECT id, CASE WHEN id % 3 = 0 THEN {_NOW} ELSE time END AS time, CASE WHEN id % 3 = 0 THEN CASE WHEN k % 3 = 0 THEN 3600 ELSE 600 END ELSE reptime END AS reptime, is_running AND id % 3 <> 0 AS is_running, CASE WHEN k % 3 = 0 THEN CASE WHEN id % 3 = 0 THEN 1 ELSE 2 END END AS count FROM jobs WHERE id % 3 <> 0 OR k % 3 < 2"),
+    "jobs_started": _g("SELECT id, id < 50 AND id % 5 = 0 AS is_running FROM jobs"),
+    "file_update_batch": _g("SELECT id, CASE WHEN id % 4 = 0 THEN lower(hash) ELSE hash END AS hash, CASE WHEN id % 8 = 0 THEN 'new' WHEN id % 4 <> 0 THEN extension END AS extension, CASE WHEN id % 4 = 0 THEN 9 ELSE storage_id END AS storage_id, size_bytes FROM gfiles"),
+    "bitmap_changes": _g("SELECT tag_id, count(*) AS n FROM rel WHERE file_id % 3 < 2 AND file_id % 2 <> 0 GROUP BY tag_id"),
+    "tree_files_below": f"{_NODES} SELECT t.top, n.handle FROM (VALUES ('r1', 'n1'), ('r1', ''), ('n3', ''), ('s5', '')) t(top, x) JOIN (SELECT s.handle, s.parent, n.parent AS root FROM nodes s JOIN nodes n ON s.parent = n.handle WHERE s.kind = 'file') n ON t.x = '' AND t.top IN (n.handle, n.parent, n.root)",
+    "tree_paths": f"{_NODES} SELECT handle, path FROM paths",
+    "tree_metadata": f"{_NODES}, f AS (SELECT n.*, p.path FROM nodes n JOIN paths p ON n.handle = p.handle WHERE kind = 'file') SELECT handle, 'handle' AS ns, handle AS name FROM f UNION ALL SELECT handle, 'name', name FROM f UNION ALL SELECT handle, 'size', CAST(length(name) AS VARCHAR) FROM f UNION ALL SELECT handle, 'path', path FROM f UNION ALL SELECT handle, 'snapshot', '2024-01-06' FROM f UNION ALL SELECT handle, 'created', '{_NOW}' FROM f UNION ALL SELECT handle, 'parent', parent FROM f",
+    "page_values": "SELECT doc_id, 'T' || doc_id AS title, '{\"id\": ' || doc_id || '}' AS data, 'b' || doc_id AS book, 'a' || chr(10) || '<b>' || doc_id AS pushed, md5(CAST(doc_id AS VARCHAR)) AS media, greatest(1, doc_id % 7) AS pages FROM documents",
+    "page_tags_by_class": "SELECT doc_id, 'general' AS ns, 'tag ' || doc_id AS name FROM documents UNION ALL SELECT doc_id, 'artist', 'artist&' || doc_id FROM documents",
+    "page_stat_list": "SELECT doc_id, 0 AS position, 'Post: ' || doc_id AS text FROM documents UNION ALL SELECT doc_id, 1, 'src' FROM documents",
+    "page_chapters": "SELECT doc_id, '/c/' || doc_id AS url, 'Chapter ' || doc_id AS title, doc_id % 2 = 0 AS paid FROM documents",
+    "page_body": "SELECT doc_id, 'Chapter  ' || doc_id || chr(10) || 'one two' AS body FROM documents",
+    "html_plain": "SELECT DISTINCT id, content, array_to_string(list_filter(list_transform(regexp_split_to_array(content, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM comment_item WHERE content IS NOT NULL AND NOT contains(content, '<') AND NOT contains(content, '&')",
+    "video_ids": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS VARCHAR) END AS video, 'x' AS slug, 'x?y=1' AS stem FROM events",
+    "error_kinds": "SELECT event_id, ['quota', 'quota', 'blocked', 'blocked', 'other'][event_id % 5 + 1] AS kind FROM events",
+    "paired_params": "SELECT DISTINCT id, CAST(i AS INTEGER) AS position, l[2 * i + 1] AS first, CASE WHEN 2 * i + 2 <= len(l) THEN l[2 * i + 2] END AS second FROM (SELECT id, l, unnest(range(0, (len(l) + 1) // 2)) AS i FROM (SELECT DISTINCT id, regexp_split_to_array(tags, '[,;]') AS l FROM post_item WHERE tags IS NOT NULL))",
+    "json_list_or_single": "SELECT event_id, event_id AS a FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, event_id FROM events, range(2) WHERE event_id % 3 = 1",
+    "first_chapters": "SELECT * FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'Vol ' END || event_id % 4 || CASE WHEN event_id % 5 = 0 THEN ' Chapter' ELSE ' x' END AS title FROM events) WHERE starts_with(lower(title), '1 ') OR contains(lower(title), ' 1 ')",
+    "post_attachments": "SELECT DISTINCT id, 0 AS position, '/data/' || sha256(id) || '.png' AS path, upper(sha256(id)) AS sha256 FROM post_item WHERE id IS NOT NULL UNION ALL SELECT DISTINCT id, 1, '/data/' || id || '.zip', NULL FROM post_item WHERE id IS NOT NULL",
+    "chapter_fanout": "SELECT b.p_brand AS series, c AS chapter, 'https://s.example/' || b.p_brand || '/chapter/' || c AS url FROM (SELECT DISTINCT p_brand FROM part) b, range(1, 61) t(c) WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_brand = b.p_brand AND p.p_size = c)",
+    "model_hits": """WITH p AS (SELECT CAST(id AS BIGINT) AS id, min(tags) AS tags, min(added) AS added FROM post_item WHERE tags IS NOT NULL AND added IS NOT NULL GROUP BY 1)
+SELECT DISTINCT * FROM (SELECT id, 'image' AS ns, CAST(id AS VARCHAR) AS name FROM p UNION ALL SELECT id, 'user', CAST(id % 7 AS VARCHAR) FROM p UNION ALL SELECT id, 'user_name', 'u' || id % 7 FROM p UNION ALL SELECT id, 'published', CAST(added AS VARCHAR) FROM p UNION ALL SELECT id, 'tag', trim(unnest(regexp_split_to_array(tags, '[,;]'))) FROM p) WHERE name <> ''""",
+    "sniffed_formats": "SELECT event_id, ['jpg', 'png', 'gif', 'pdf', 'mp4', 'webp', NULL][event_id % 7 + 1] AS extension FROM events",
+    "registry_steps": _g("SELECT id, 'https://a.example/' || id AS url, site FROM jobs WHERE site = 'view' UNION ALL SELECT id, 'https://' || m || '.example/' || id, site FROM jobs, (SELECT unnest(['b', 'c']) AS m) WHERE site = 'purchase' UNION ALL SELECT id, 'https://start.example/' || id, 'start' FROM jobs WHERE id BETWEEN 4 AND 9"),
+    "migrated_columns": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(NULL AS VARCHAR) AS n_comment FROM nation",
+    "file_tree_roundtrip": "SELECT r_name || '.bin' AS name, strlen(r_name) AS length, '{\"k\": ' || r_regionkey || '}' AS json FROM region",
+    "stream_edges": _g(f"SELECT file_id, tag_id FROM rel WHERE tag_id IN ({_RED}, {_SMALL})"),
+    "stream_activity": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)",
+    "swapped_table": "SELECT * FROM nation WHERE n_regionkey = 1",
+    "replaced_namespaces": _g("SELECT file_id, tag_id FROM (SELECT file_id, tag_id FROM rel UNION SELECT file_id, tag_id FROM added) WHERE (file_id, tag_id) NOT IN (SELECT (file_id, tag_id) FROM gone)", _ACTIONS),
+}

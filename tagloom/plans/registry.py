@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Step = Callable[[DataFrame], DataFrame]
-KINDS = ("fan_out", "parse", "on_file", "on_match")
+KINDS = ("fan_out", "parse", "on_file", "on_match", "on_start")
 
 
 class Registry:
@@ -16,6 +16,24 @@ class Registry:
 
     def __init__(self):
         self._steps: dict[tuple[str, str], Step] = {}
+        self._calls: dict[tuple[str, int, tuple[type, ...]], Callable] = {}
+
+    def offer(self, name: str, version: int, kinds: tuple[type, ...], call: Callable) -> None:
+        """A function that other steps call by name; the version and the kinds of its arguments belong to the name."""
+        if (name, version, kinds) in self._calls:
+            raise ValueError(f"{name} {version} is there already")
+        self._calls[name, version, kinds] = call
+
+    def call(self, name: str, version: int, *values):
+        """What the function of that name, version and kinds of arguments gives; there is no other that would do."""
+        found = self._calls.get((name, version, tuple(type(v) for v in values)))
+        if found is None:
+            raise LookupError(f"nothing offers {name} {version} for {[type(v).__name__ for v in values]}")
+        return found(*values)
+
+    def start(self, rows: DataFrame) -> dict[str, DataFrame]:
+        """What each step that runs at the start makes of ``rows``, by its name."""
+        return {n: self._steps["on_start", n](rows) for n in self.names("on_start")}
 
     def add(self, kind: str, name: str, step: Step) -> None:
         if kind not in KINDS:

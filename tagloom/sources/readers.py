@@ -32,6 +32,41 @@ def jdbc(spark: SparkSession, url: str, name: str, key: str, lower: int, upper:
     return spark.read.format("jdbc").options(url=url, dbtable=name, partitionColumn=key, lowerBound=lower, upperBound=upper, numPartitions=parts).load()
 
 
+def sqlite(spark: SparkSession, path: str, name: str, schema: str, parts: int = 8) -> DataFrame:
+    """A table of an SQLite file, in the shape of ``schema``, read in ranges of its row numbers at once.
+
+    Columns that it lacks are null, a table that it lacks is empty; the file is opened for reading only, and lies where all
+    executors see it.
+    """
+    import sqlite3
+    from contextlib import closing
+
+    from pyspark.sql.types import StructType
+
+    wanted = StructType.fromDDL(schema)
+    opened = lambda: closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True))
+    quoted = lambda x: '"' + x.replace('"', '""') + '"'
+    with opened() as db:
+        have = {r[1] for r in db.execute(f"pragma table_info({quoted(name)})")}
+        low, high = db.execute(f"select min(rowid), max(rowid) from {quoted(name)}").fetchone() if have else (None, None)
+    if low is None:
+        return spark.createDataFrame([], wanted)
+    cols = ", ".join(quoted(f.name) if f.name in have else "null" for f in wanted.fields)
+    step = -(-(high - low + 1) // parts)
+
+    def read(batches):
+        import pandas as pd
+
+        with opened() as db:
+            for b in batches:
+                for k in b["id"].tolist():
+                    rows = db.execute(f"select {cols} from {quoted(name)} where rowid >= ? and rowid < ?", (low + k * step, low + (k + 1) * step))
+                    while part := rows.fetchmany(50_000):
+                        yield pd.DataFrame(part, columns=wanted.names, dtype="object")
+
+    return spark.range(0, parts, 1, parts).mapInPandas(read, wanted)
+
+
 def file_tree(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """(path, length, content) of all files below ``root``."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path", "length", "content")

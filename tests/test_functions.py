@@ -29,7 +29,7 @@ def test_hashes(spark):
 
 def test_durations_and_times(spark):
     assert values(spark, ["PT1H2M3S", "PT5M", "PT", "P1D", "PT1X", "xPT5M", None, ""], extract.iso_seconds) == [3723, 300, None, None, None, None, None, None]
-    assert [extract.spoken_seconds(x) for x in ("now", "1w2d3h", "xs", "", "2mo", "3m")] == [0, 604800 + 2 * 86400 + 3 * 3600, 0, 0, 2 * 2629800, 180]
+    assert values(spark, ["now", "Now", "1w2d3h", "xs", "", "2mo", "3m", "h5m", "+5m", "-5m", "5m7m2s", "1d30s", None], extract.spoken_seconds) == [0, 0, 604800 + 2 * 86400 + 3 * 3600, 0, 0, 2 * 2629800, 180, 0, 300, 0, 300, 86430, None]
     assert values(spark, ["2024-01-01T00:00:00", "2024-01-01T00:00:00.5", "2024-01-01T02:00:00+02:00", "soon", None], extract.epoch_seconds) == [1704067200] * 3 + [None, None]
 
 
@@ -102,3 +102,51 @@ def test_all_digests_of_documents(spark, rows, tmp_path):
     spark.createDataFrame([(1, "aé"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.algorithm: r.digest.lower() for r in QUERIES["hash_columns_all"](spark, str(tmp_path)).collect()}
     assert got == {a: hashlib.new(a, "aé".encode()).hexdigest() for a in ("MD5", "SHA1", "SHA256", "SHA512")}
+
+
+def test_elements_of_pages(spark):
+    html = '<ul class="a statlist"><li>1<b>2</b></li><li>3</ul><a class="chapter" href="/c"><div class="title"> T  x</div><i class="cost"></i></a><a class="chapter" href="/d"><div>no title</div></a><a class="k" href="#">&amp;n</a><div>ok<script>s</script> WM: end</div><div class="advertisment">ad</div><p>open'
+    e = spark.createDataFrame([(html,), ("",), (None,)], "h string").select(extract.html_elements(F.col("h")).alias("e"))
+    col = lambda c: [r[0] for r in e.select(c).collect()]
+    assert col(F.transform(extract.children_of_first(F.col("e"), "ul", "statlist"), lambda x: x["text"])) == [["12", "3"], None, None]
+    assert [[tuple(x) for x in v] if v is not None else None for v in col(extract.chapters(F.col("e")))] == [[("/c", "T x", True)], [], None]
+    assert [[tuple(x) for x in v] if v is not None else None for v in col(extract.tags_by_class(F.col("e"), {"k": "ns"}))] == [[("ns", "&n")], [], None]
+    assert col(extract.body_lines(F.col("e"), "wm:")) == ["T  x\nno title\nok  end", "", None]
+
+
+def test_values_in_addresses_and_scripts(spark):
+    assert values(spark, ["https://v/video/12/x", "https://v/vid/12", None], extract.video_id) == ["12", None, None]
+    assert values(spark, ["https://a.b/c/d/?x#y", "https://a.b/c", "nope", None], extract.slug) == ["d", "c", None, None]
+    assert values(spark, ["/x/0a1b.ext.zip", "a", None], extract.file_stem) == ["0a1b", "a", None]
+    assert values(spark, ['const BOOK_ID = "b1";', "const OTHER = 'x'", None], lambda c: extract.script_constant(c, "BOOK_ID")) == ["b1", None, None]
+    assert values(spark, ['self.__next_f.push([1,"a\\"b\\u003c"])', "x", None], extract.pushed_text) == ['a"b<', None, None]
+    assert values(spark, ["?page=3&amp;page=12", "x", None], extract.page_numbers) == [12, 1, 1]
+
+
+def test_sqlite_tables(spark, rows, tmp_path):
+    import sqlite3
+
+    path = str(tmp_path / "old.db")
+    with sqlite3.connect(path) as db:
+        db.execute("create table File (id integer primary key, hash text, extra text)")
+        db.executemany("insert into File values (?, ?, 'x')", [(i * 3, f"h{i}") for i in range(1, 200)])
+        db.execute("create table Empty (id integer)")
+    db.close()
+    got = readers.sqlite(spark, path, "File", "id long, hash string, size_bytes long", parts=5)
+    assert rows(got) == sorted([(i * 3, f"h{i}", None) for i in range(1, 200)], key=repr)
+    assert readers.sqlite(spark, path, "Empty", "id long").count() == readers.sqlite(spark, path, "None", "id long").count() == 0
+
+
+def test_typed_calls():
+    import pytest
+
+    from tagloom.plans.registry import Registry
+
+    r = Registry()
+    r.offer("f", 1, (int, str), lambda n, s: s * n)
+    assert r.call("f", 1, 2, "ab") == "abab"
+    for bad in (("f", 2, 2, "ab"), ("f", 1, "ab", 2), ("g", 1, 2, "ab")):
+        with pytest.raises(LookupError):
+            r.call(*bad)
+    with pytest.raises(ValueError):
+        r.offer("f", 1, (int, str), print)

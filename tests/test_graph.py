@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom.catalog import TagCatalog
-from tagloom.operators import audit, bitmaps, hierarchy, ingest, jobs, lookup, policy, search, snapshots, textsearch
+from tagloom.operators import audit, bitmaps, hierarchy, ingest, jobs, lookup, policy, search, snapshots, textsearch, trees
 from tagloom.operators.ids import dense_ids, page_after, page_at
 from tagloom.operators.search import SearchQuery, SearchSpec, search_files
 
@@ -212,3 +212,87 @@ def test_queries_on_edges_give_whole_tables(spark, rows, monkeypatch):
     assert rows(g.QUERIES["put_tags_all"](spark, "")) == [(1, 3), (1, 4), (19, 4), (50, 1), (7, 3)]
     assert rows(g.QUERIES["rel_add_all"](spark, "")) == sorted({(1, 3), (7, 3), (19, 4)} | {(f, t) for f in (1, 7, 19, 50) for t in (1, 2)}, key=repr)
     assert rows(g.QUERIES["chunk_by_10_all"](spark, "")) == [(0, "1,3,4,5,6,7,8,9,10,11"), (1, "12,150,151")]
+
+
+def test_groups_of_names_and_ids(spark):
+    """Required, alternative and excluded tags by id and by name, of which one name is held in two namespaces."""
+    out = TagCatalog.empty(spark)
+    out.namespace = spark.createDataFrame([(1, "n", None), (2, "e6", None), (3, "e6ai", None)], "id long, name string, description string")
+    out.tags = spark.createDataFrame([(1, "required", 1, 3), (2, "female", 2, 1), (3, "female", 3, 2), (4, "excluded", 1, 1), (5, "ΟΔΟΣ", 1, 1)], "id long, name string, namespace long, count long")
+    out.rel = spark.createDataFrame([(1, 1, 1), (2, 1, 1), (2, 2, 2), (3, 1, 1), (3, 3, 3), (3, 4, 1), (4, 3, 3), (4, 5, 1)], REL)
+    by = lambda **k: found(search.search_by_groups(out, **k))
+    assert by(and_ids=[1], and_names=["female"], not_ids=[4]) == [2]
+    assert by(and_names=["female"]) == [4, 3, 2] and by(and_names=["female"], limit=1) == [4]
+    assert by(and_names=["female", "nothing like it"]) == by(and_names=["?!"]) == by() == by(or_names=["nothing like it"]) == []
+    assert by(or_ids=[5], or_names=["nothing like it"]) == [4] and by(or_ids=[2, 5]) == [4, 2]
+    assert by(or_names=["female"], not_names=["excluded", "nothing like it"]) == [4, 2]
+    assert by(and_names=["οδος"]) == by(and_names=["ΟΔΟΣ"]) == [4]
+    files = spark.createDataFrame([(i, f"h{i}", "jpg" if i < 4 else "png", 1, 1) for i in (1, 2, 3, 4)], "id long, hash string, extension string, storage_id long, size_bytes long")
+    out.files = files
+    assert found(policy.search(out, "female", policy.Policy([".JPG"], deny=["Excluded"]))) == [2]
+    assert found(policy.search(out, "female", policy.Policy(["jpg"], deny=["excluded"], limit=2))) == []
+    assert sorted((r.file_id, r.tag_id) for r in policy.file_tag_ids(out, [2, 3], policy.Policy(deny=["excluded"])).collect()) == [(2, 1), (2, 2)]
+    assert {(r.file_id, r["name"], r.ns) for r in policy.file_tags(out, [2, 3, 9], policy.Policy(require=["female"], deny=["excluded"])).collect()} == {(2, "required", "n"), (2, "female", "e6")}
+
+
+def test_names_beyond_ascii_find_themselves(spark):
+    tags = spark.createDataFrame([(1, "ΟΔΟΣ", 1), (2, "हिन्दी", 1), (3, "İzmir", 1), (4, "ภาษาไทย", 1), (5, None, 1)], "id long, name string, count long")
+    for i, q in ((1, "ΟΔΟΣ"), (1, "οδο"), (2, "हिन्दी"), (2, "हिन"), (3, "İzm"), (4, "ภาษา")):
+        assert [(r.tag_id, r.score) for r in textsearch.search_tags(tags, q).collect()] == [(i, 0)], q
+
+
+def test_closure_of_a_long_chain(spark):
+    df = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(100, 0)], "a long, b long").coalesce(1)
+    assert hierarchy.closure(df.filter("a < 40"), "a", "b").count() == 40 * 41 // 2
+
+
+def test_trees(spark, rows):
+    nodes = spark.createDataFrame([("r", None, "root", "top"), ("a", "r", "folder", "a"), ("f", "a", "file", "x"), ("g", "r", "file", "y"), ("h", "f", "file", "z"), ("o", "gone", "file", "o"), ("c", "d", "folder", "c"), ("d", "c", "folder", "d")], "handle string, parent string, kind string, name string")
+    top = lambda *h: spark.createDataFrame([(x,) for x in h], "handle string")
+    assert rows(trees.files_below(nodes, top("r", "g", "c", "zz"))) == [("g", "g"), ("r", "f"), ("r", "g")]
+    assert rows(trees.paths(nodes)) == [("a", "top/a"), ("f", "top/a/x"), ("g", "top/y"), ("h", "top/a/x/z"), ("o", "o"), ("r", "top")]
+    full = nodes.withColumns({"size": F.lit(1), "created": F.lit(None).cast("long"), "modified": F.lit(5)})
+    assert rows(trees.metadata_tags(full, "s").filter("handle = 'g'").select("ns", "name")) == [("handle", "g"), ("modified", "5"), ("name", "y"), ("parent", "r"), ("path", "top/y"), ("size", "1"), ("snapshot", "s")]
+
+
+def test_queue_of_system_jobs(spark, rows):
+    j = spark.createDataFrame([(1, 1, 1, 1, True, '{"kind":"AlwaysTime","interval":7,"count":1}', "SYSTEM_X", "p", "u"), (2, 1, 1, 1, True, '{"kind":"AlwaysTime","interval":7,"count":0}', "a", "p", "u"), (3, 1, 1, 1, True, '{"kind":"AlwaysTime","interval":9}', "a", "p", "u"), (4, 1, 1, 1, True, None, "SYSTEM_FILE_HASH", "p", "u"), (5, 1, 1, 1, True, None, "SYSTEM_X", None, "u"), (6, 1, 1, 1, True, None, None, "x", "u")], "id long, time long, reptime long, priority long, is_running boolean, recreation string, site string, param string, user_data string")
+    assert [r[0] for r in rows(jobs.is_system(j).filter("system"))] == [1, 4]
+    done = j.filter("id < 5").select("id")
+    assert rows(jobs.completed(j, done, 50).select("id", "time", "reptime", "is_running")) == [(1, 50, 7, False), (3, 50, 9, False), (5, 1, 1, True), (6, 1, 1, True)]
+    assert rows(jobs.completed(jobs.completed(j, done, 50), done, 60).select("id")) == [(3,), (5,), (6,)]
+    assert rows(jobs.running(jobs.reset(j), [4]).filter("is_running").select("id")) == [(4,)]
+    assert rows(jobs.sites(j)) == [("SYSTEM_FILE_HASH",), ("SYSTEM_X",), ("a",)]
+
+
+def test_bitmaps_that_change(spark):
+    row = lambda *ids: spark.createDataFrame([(i, 1, 1) for i in ids], REL)
+    b = bitmaps.add_members(bitmaps.to_bitmaps(row(1, 2, 70_000)), row(2, 3, 200_000))
+    assert bitmaps.cardinality(b).first().n == 5
+    left = bitmaps.remove_members(b, row(70_000, 3, 4, 900_000))
+    assert bitmaps.cardinality(left).first().n == 3 and left.count() == 2
+
+
+def test_files_are_updated(spark, rows):
+    files = spark.createDataFrame([(1, "a", "x", 1, 5), (2, "b", "x", 1, None)], "id long, hash string, extension string, storage_id long, size_bytes long")
+    new = spark.createDataFrame([(2, None, "y", 3), (9, "c", "z", 1), (None, "c", "z", 1)], "id long, hash string, extension string, storage_id long")
+    assert rows(ingest.update_files(files, new)) == [(1, "a", "x", 1, 5), (2, None, "y", 3, None)]
+
+
+def test_only_touched_namespaces_are_written(c, spark, rows, tmp_path):
+    import os
+    import time
+
+    root = str(tmp_path / "g")
+    c.write_edges(root)
+    seen = lambda: {f"{p}/{f}": os.path.getmtime(f"{p}/{f}") for p, _, fs in os.walk(f"{root}/rel") for f in fs if f.startswith("part-")}
+    before = seen()
+    time.sleep(0.02)
+    ns = c.rel.select("namespace").orderBy("namespace").first().namespace
+    edges = spark.read.parquet(f"{root}/rel")
+    gone = edges.filter((F.col("namespace") == ns) & (F.col("file_id") > 1))
+    c.replace_namespaces(root, gone, gone.select("namespace"))
+    want = rows(c.rel.filter(f"namespace <> {ns} or file_id > 1").select("file_id", "tag_id"))
+    assert rows(spark.read.parquet(f"{root}/rel").select("file_id", "tag_id")) == want
+    kept = {p: t for p, t in before.items() if f"namespace={ns}/" not in p}
+    assert kept and all(seen().get(p) == t for p, t in kept.items())

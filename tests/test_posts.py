@@ -65,3 +65,15 @@ def test_registry(spark, rows):
         r.add("fan_out", "pages", lambda df: df)
     with pytest.raises(ValueError):
         r.run("parse", jobs, "site")
+
+
+def test_attachments_hits_and_chapters(spark, rows):
+    d = "ab" * 32
+    df = spark.createDataFrame([(1, [f"/x/{d}.png", "/x/y.zip"]), (2, None)], "id long, p array<string>")
+    assert rows(posts.attachments(df, "id", "p").select("id", "position", "sha256")) == [(1, 0, d.upper()), (1, 1, None)]
+    body = '{"results":[{"hits":[{"id":5,"user":{"id":7},"publishedAt":"2024-01-01T00:00:00.000Z","tagNames":["a",""]},{"user":{"id":8}}]}]}'
+    got = posts.hit_tags(posts.hits(spark.createDataFrame([(body,), ("no",), (None,)], "b string"), "b"))
+    assert rows(got.select("ns", "name")) == [("image", "5"), ("published", "1704067200"), ("tag", "a"), ("user", "7")]
+    series = spark.createDataFrame([("s", "https://x/s"), ("t", "https://x/t/chapter/2")], "series string, url string")
+    known = spark.createDataFrame([("s", 2)], "series string, chapter int")
+    assert rows(posts.chapter_jobs(series, known, 3).select("chapter", "url")) == [(1, "https://x/s/chapter/1"), (3, "https://x/s/chapter/3")]
