@@ -42,7 +42,7 @@ _ALL_PAIRS = _PAIRS.replace(" HAVING count(*) >= 30", "")
 SQL = {
     "p6_found": _LEAKS,
     "p1_found": f"{_PAIRS} SELECT tag_a, tag_b FROM p JOIN c x ON x.tag = tag_a JOIN c y ON y.tag = tag_b, t WHERE n_ab * t.n >= 8 * x.n * y.n",
-    "p1_lift": f"{_ALL_PAIRS} SELECT tag_a, tag_b, x.n AS n_a, y.n AS n_b, n_ab, t.n AS n_baskets, round(n_ab::DOUBLE * t.n / (x.n::DOUBLE * y.n), 6) AS lift, round(log2(n_ab::DOUBLE * t.n / (x.n::DOUBLE * y.n)), 6) AS pmi FROM p JOIN c x ON x.tag = tag_a JOIN c y ON y.tag = tag_b, t",
+    "p1_lift": f"{_ALL_PAIRS} SELECT tag_a, tag_b, x.n AS n_a, y.n AS n_b, n_ab, t.n AS n_baskets, n_ab::DOUBLE * t.n / (x.n::DOUBLE * y.n) AS lift, round(log2(n_ab::DOUBLE * t.n / (x.n::DOUBLE * y.n)), 6) AS pmi FROM p JOIN c x ON x.tag = tag_a JOIN c y ON y.tag = tag_b, t",
     "p1_pairs": f"{_ALL_PAIRS} SELECT tag_a, tag_b, x.n AS n_a, y.n AS n_b, n_ab, t.n AS n_baskets, n_ab::DOUBLE * t.n / (x.n::DOUBLE * y.n) AS lift FROM p JOIN c x ON x.tag = tag_a JOIN c y ON y.tag = tag_b, t",
     "p2_found": f"{_SIMILAR} SELECT least(x.fileid, y.fileid) AS fileid_a, greatest(x.fileid, y.fileid) AS fileid_b FROM (SELECT a, b FROM l UNION ALL SELECT cid, cid FROM k) q JOIN g x ON x.cid = q.a JOIN g y ON y.cid = q.b WHERE q.a < q.b OR x.fileid < y.fileid",
     "p2_between": f"""{_SIMILAR}, q AS (SELECT x.fileid AS a, y.fileid AS b FROM (SELECT a, b FROM l UNION ALL SELECT b, a FROM l UNION ALL SELECT cid, cid FROM k) q JOIN g x ON x.cid = q.a JOIN g y ON y.cid = q.b WHERE x.fileid % 20 = 0 AND y.fileid % 20 <> 0)

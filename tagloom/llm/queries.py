@@ -27,9 +27,9 @@ def p1_found(spark, d):
 
 
 def p1_lift(spark, d):
-    """Every pair that files carry together, with its lift and mutual information."""
+    """Every pair that files carry together, with its lift as it is and its mutual information to six places."""
     pairs = cooccurrence.cooccurrences(file_sets(spark, d), "fileid", "tagid_bitmap")
-    return pairs.select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"), "n_a", "n_b", "n_ab", "n_baskets", F.round("lift", 6).alias("lift"), F.round("pmi", 6).alias("pmi"))
+    return pairs.select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"), "n_a", "n_b", "n_ab", "n_baskets", "lift", F.round("pmi", 6).alias("pmi"))
 
 
 def p1_pairs(spark, d):
