@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.util import cut, members, ratio, whole
+from tagloom.util import cut, members, ratio, saved, whole
 
 #: Items of a basket that are paired in one place; a larger basket is taken apart, and its parts are paired two by two.
 BLOCK = 1024
@@ -45,7 +45,7 @@ def cooccurrences(baskets: DataFrame, basket: str, items: str, min_count: int =
     """
     num, den = ratio(min_lift)
     sets = baskets.select(members(F.col(items)).alias("_s")).filter(F.size("_s") > 0)
-    sets = cut(sets.withColumn("_id", F.monotonically_increasing_id()))
+    sets = saved(sets.withColumn("_id", F.monotonically_increasing_id()))
     total = sets.count()
     singles = cut(sets.select(F.explode("_s").alias("_i")).groupBy("_i").agg(F.count(F.lit(1)).alias("_n")))
     useful = singles.filter(F.col("_n") >= min_count).filter(whole(F.col("_n")) * num <= whole(F.lit(total)) * den)
