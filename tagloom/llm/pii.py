@@ -39,6 +39,8 @@ _AT = regex.compile(r"[@＠]|&(?:#0*64|#x0*40|commat);|\bat\b", regex.I)
 _PIECE = regex.compile(r"&#?\w+;|\p{Han}+|\p{Hiragana}+|\p{Katakana}+|(?:(?![\p{Han}\p{Hiragana}\p{Katakana}])\p{L})[\p{Latin}\p{Cyrillic}\p{Greek}\p{Arabic}\p{Devanagari}\p{Thai}\p{M}]*|\p{N}+|\S")
 _WORD = regex.compile(r"\p{L}{2}|\p{Han}")
 _NUMERAL = regex.compile(r"\p{Nd}")
+_HAN, _KANA = regex.compile(r"\p{Han}"), regex.compile(r"[\p{Hiragana}\p{Katakana}]")
+_NINES, _LOWER, _UPPER, _OTHER = (regex.compile(x) for x in (r"9+", r"\p{Ll}+", r"\p{Lu}+", r"\p{Lo}+"))
 _GIVEN = {g.lower() for g in GIVEN}
 
 
@@ -49,9 +51,9 @@ def _form(tok: str) -> str:
         return "entity"
     if not tok[0].isalpha():
         return tok
-    if regex.match(r"\p{Han}", tok):
+    if _HAN.match(tok):
         return f"han{min(len(tok), 4)}"
-    if regex.match(r"[\p{Hiragana}\p{Katakana}]", tok):
+    if _KANA.match(tok):
         return f"kana{min(len(tok), 4)}"
     if len(tok) == 1:
         return "Init" if tok.isupper() else "init"
@@ -62,10 +64,10 @@ def _form(tok: str) -> str:
 def _outline(chunk: str) -> str:
     """The shape of a run without spaces: letters as a or A, digits by their number."""
     s = chunk.strip(".,!?;:()<>\"'。、！")
-    s = regex.sub(r"9+", lambda m: f"{min(len(m[0]), 12)}", s)
-    s = regex.sub(r"\p{Ll}+", "a", s)
-    s = regex.sub(r"\p{Lu}+", lambda m: "A" if len(m[0]) == 1 else "AA", s)
-    return regex.sub(r"\p{Lo}+", "o", s)[:18]
+    s = _NINES.sub(lambda m: f"{min(len(m[0]), 12)}", s)
+    s = _LOWER.sub("a", s)
+    s = _UPPER.sub(lambda m: "A" if len(m[0]) == 1 else "AA", s)
+    return _OTHER.sub("o", s)[:18]
 
 
 def lexicon(vocabularies: Sequence[str] = VOCABULARIES) -> dict[str, int]:
