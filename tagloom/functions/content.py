@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # First bytes of file formats, in hex, and the extension they stand for.
 MAGIC = {"FFD8FF": "jpg", "89504E470D0A1A0A": "png", "47494638": "gif", "25504446": "pdf", "504B0304": "zip", "1F8B": "gz", "1A45DFA3": "webm", "4F676753": "ogg", "664C6143": "flac", "494433": "mp3", "425A68": "bz2", "377ABCAF271C": "7z", "526172211A07": "rar", "424D": "bmp"}
@@ -24,6 +28,51 @@ def hash_rows(df: DataFrame, key: str, content: str, algorithms: Sequence[str] =
     return df.filter(F.col(content).isNotNull()).select(key, F.inline(rows))
 
 
+#: Larger contents are trees of blocks, which have no identifier here.
+CID_BLOCK = 262_144
+_BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+
+
+def _varint(n: int) -> bytes:
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes([*out, n])
+
+
+def _cid_v0(content: bytes) -> str | None:
+    if len(content) > CID_BLOCK:
+        return None
+    size = _varint(len(content))
+    file = b"\x08\x02" + (b"\x12" + size + content if content else b"") + b"\x18" + size
+    digest = b"\x12\x20" + hashlib.sha256(b"\x0a" + _varint(len(file)) + file).digest()
+    n, out = int.from_bytes(digest, "big"), ""
+    while n:
+        n, k = divmod(n, 58)
+        out = _BASE58[k] + out
+    return out
+
+
+def _cid_v1(content: bytes) -> str | None:
+    if len(content) > CID_BLOCK:
+        return None
+    raw = b"\x01\x55\x12\x20" + hashlib.sha256(content).digest()
+    return "b" + base64.b32encode(raw).decode().rstrip("=").lower()
+
+
+@F.pandas_udf(T.StringType())
+def cid_v0(s: pd.Series) -> pd.Series:
+    """The content identifier of version 0 of bytes that fit into one block: a file node's digest in base 58; else null."""
+    return s.map(_cid_v0, na_action="ignore")
+
+
+@F.pandas_udf(T.StringType())
+def cid_v1(s: pd.Series) -> pd.Series:
+    """The content identifier of version 1: the digest of the bytes themselves, a raw block, in base 32; null for more than a block."""
+    return s.map(_cid_v1, na_action="ignore")
+
+
 def sharded_path(root: Column, digest: Column, extension: Column) -> Column:
     """root/ab/cd/ef/digest.extension; null for digests of six characters or fewer."""
     part = lambda i: F.substring(digest, i, 2)

@@ -158,3 +158,9 @@ def scan_tags(tags: DataFrame, pattern: str | None = None, text: str | None = No
     if text is not None:
         return rows.filter(F.col("name").contains(text)).select(F.col("id").alias("tag_id"), "name", F.lit(text).alias("match"))
     return rows.select(F.col("id").alias("tag_id"), "name", F.explode(F.regexp_extract_all("name", F.lit(pattern), F.lit(0))).alias("match"))
+
+
+def queued_matches(tags: DataFrame, pattern: str, site: str, priority: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Jobs for all that a pattern finds in tag names (site, param, priority), each once, and which tag each comes from (tag_id, param)."""
+    found = scan_tags(tags, pattern=pattern).select("tag_id", F.col("match").alias("param")).filter("param <> ''").distinct()
+    return found.select(F.lit(site).alias("site"), "param", F.lit(priority).cast("long").alias("priority")).distinct(), found

@@ -1214,3 +1214,17 @@ def replaced_namespaces(spark, d):
     actions = _actions(spark, d)
     c.replace_namespaces(root, ingest.apply_actions(c, actions, all_namespaces=False), ingest.named_tags(c, actions))
     return spark.read.parquet(f"{root}/rel").select("file_id", "tag_id")
+
+
+@query
+def tag_matches_queued(spark, d):
+    """Numbers in tag names as jobs, with the tags they come from."""
+    queue, links = textsearch.queued_matches(_named_tags(spark, d), "[0-9]{2,}", "numbers")
+    return queue.join(links, "param").select("site", "param", "priority", "tag_id")
+
+
+@query
+def content_ids(spark, d):
+    """Content identifiers of all documents; DuckDB has neither base 58 nor base 32."""
+    text = F.col("text").cast("binary")
+    return table(spark, d, "documents").select("doc_id", content.cid_v0(text).alias("v0"), content.cid_v1(text).alias("v1"))

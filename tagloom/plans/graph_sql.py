@@ -235,6 +235,7 @@ _SHOWN = """ext AS (SELECT id FROM gfiles WHERE extension = 'o' AND id NOT IN (S
 
 SQL |= {
     "search_groups_all": _g(f"SELECT file_id FROM rel GROUP BY file_id HAVING bool_or(tag_id = {_B2}) AND bool_or(tag_id IN (SELECT tag_id FROM widget)) AND bool_or(tag_id = {_B17} OR tag_id IN (SELECT tag_id FROM redw)) AND NOT bool_or(tag_id = {_SMALL} OR tag_id IN (SELECT tag_id FROM gadget)) ORDER BY file_id DESC LIMIT 200", _GROUPS),
+    "tag_matches_queued": f"{_NAMED} SELECT DISTINCT 'numbers' AS site, unnest(regexp_extract_all(name, '[0-9]{{2,}}')) AS param, 5 AS priority, id AS tag_id FROM nt",
     "search_groups_ids": _g(f"SELECT file_id FROM rel GROUP BY file_id HAVING bool_or(tag_id IN ({_RED}, {_B17})) AND NOT bool_or(tag_id = {_SMALL})"),
     "search_groups_unknown": "SELECT o_orderkey AS file_id FROM orders WHERE false",
     "policy_file_tags": _g(f"SELECT r.file_id, r.tag_id, t.name, t.ns FROM rel r JOIN tag0 t ON t.id = r.tag_id WHERE r.file_id IN ({_FILES}) AND r.file_id IN (SELECT id FROM ext)", _SHOWN),

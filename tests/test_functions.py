@@ -150,3 +150,10 @@ def test_typed_calls():
             r.call(*bad)
     with pytest.raises(ValueError):
         r.offer("f", 1, (int, str), print)
+
+
+def test_content_identifiers(spark):
+    df = spark.createDataFrame([(bytearray(b"hello world"),), (bytearray(b"x" * 262_145),), (None,), (bytearray(b""),)], "c binary")
+    got = [tuple(r) for r in df.select(content.cid_v0("c"), content.cid_v1("c")).collect()]
+    assert got[0] == ("Qmf412jQZiuVUtdgnB36FXFX7xg5V6KEbSJ4dpQuhkLyfD", "bafkreifzjut3te2nhyekklss27nh3k72ysco7y32koao5eei66wof36n5e")
+    assert got[1] == got[2] == (None, None) and got[3][0] == "QmbFMke1KXqnYyBBWxB74N4c5SBnJMVAiMNRcGu6x1AwQH"
