@@ -54,13 +54,15 @@ class TagCatalog:
         edges by file without a shuffle.
         """
         spark = self.rel.sparkSession
-        n = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-self.rel.count() // ROWS_PER_FILE))
+        # Written once to be counted, as edges may come from joins that cost more than a copy.
+        rel = saved(self.rel.select("file_id", "tag_id", "namespace"))
+        n = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rel.count() // ROWS_PER_FILE))
         if name is None:
             part = F.pmod(F.xxhash64("file_id"), F.lit(n))
-            edges = self.rel.repartition(n, "namespace", part).sortWithinPartitions("namespace", "tag_id", "file_id")
+            edges = rel.repartition(n, "namespace", part).sortWithinPartitions("namespace", "tag_id", "file_id")
             edges.write.mode("overwrite").partitionBy("namespace").parquet(f"{root}/rel")
             return spark.read.schema(schema.REL).parquet(f"{root}/rel")
-        writer = self.rel.repartition(n, "file_id").write.mode("overwrite").format("parquet").option("path", f"{root}/rel")
+        writer = rel.repartition(n, "file_id").write.mode("overwrite").format("parquet").option("path", f"{root}/rel")
         writer.partitionBy("namespace").bucketBy(n, "file_id").sortBy("tag_id").saveAsTable(name)
         return spark.table(name).select("file_id", "tag_id", "namespace")
 

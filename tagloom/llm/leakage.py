@@ -22,8 +22,8 @@ from tagloom.util import write_shared
 
 #: Units of a passage: words, or letters and digits where a script has no spaces.
 WORD_WINDOW, CHAR_WINDOW = 12, 25
-#: Positions of the embedding that one hash looks at.
-SAMPLED = 6
+#: Positions of the embedding that one hash looks at: fewer bring more candidates, more ask for more repetitions.
+SAMPLED = 8
 #: Windows of items in one block of the index.
 BLOCK_WINDOWS = 1_000_000
 #: Edited copies that the number of repetitions is measured on, and repetitions after which it is given up, with an error.
@@ -226,7 +226,9 @@ class _Index:
             while left:
                 p = int(rng.integers(len(c)))
                 if left >= 2 and rng.random() < 0.5:
-                    c = c[:p] + [int(rng.integers(1, 2**63))] + c[p:-1] if rng.random() < 0.5 else c[:p] + c[p + 1:] + [int(rng.integers(1, 2**63))]
+                    # One left out and another put in somewhere: the windows stay as long, what is between is shifted.
+                    del c[p]
+                    c.insert(int(rng.integers(len(c) + 1)), int(rng.integers(1, 2**63)))
                     left -= 2
                 else:
                     c[p] = int(rng.integers(1, 2**63))
