@@ -261,7 +261,7 @@ def set_classes(records: DataFrame, record: str, values: str, min_size: int = 1,
     return member, classes
 
 
-def similar_classes(classes: DataFrame, threshold: float, recall: float = 0.995, small_node: int = SMALL_NODE, seed: int = 0) -> DataFrame:
+def similar_classes(classes: DataFrame, threshold: float, recall: float = 0.999, small_node: int = SMALL_NODE, seed: int = 0) -> DataFrame:
     """Pairs of different sets with Jaccard similarity ``threshold`` or more: (cid_a, cid_b, n_common, n_union), cid_a < cid_b.
 
     Chosen paths: at a node of a tree a record follows some of its rarer tokens, picked by the node's own hash; records at one
@@ -359,7 +359,7 @@ def _proved(rows: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("cid_a"), F.greatest("x", "y").alias("cid_b"))
 
 
-def similar_pairs(records: DataFrame, record: str, values: str, threshold: float, min_size: int = 1, recall: float = 0.995) -> DataFrame:
+def similar_pairs(records: DataFrame, record: str, values: str, threshold: float, min_size: int = 1, recall: float = 0.999) -> DataFrame:
     """All pairs of records with Jaccard similarity ``threshold`` or more, copies included: (a, b, n_common, n_union), a < b.
 
     Classes of equal sets are compared as one; the pairs of a class's own copies and those of two similar classes come from
@@ -381,7 +381,7 @@ def _expanded(member: DataFrame, classes: DataFrame, links: DataFrame) -> tuple[
     return across, twins.select("x", "y", "n_common", F.col("n_common").alias("n_union"))
 
 
-def similar_pairs_between(left: DataFrame, right: DataFrame, record: str, values: str, threshold: float, min_size: int = 1, recall: float = 0.995) -> DataFrame:
+def similar_pairs_between(left: DataFrame, right: DataFrame, record: str, values: str, threshold: float, min_size: int = 1, recall: float = 0.999) -> DataFrame:
     """As ``similar_pairs``, between the records of two tables with the same columns: (a of ``left``, b of ``right``, n_common, n_union).
 
     Pairs within one table are sieved out before they are verified. Rows that repeat an id count as so many records, their
